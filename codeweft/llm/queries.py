@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeweft.core import load
-from codeweft.llm import neardup, packing, secrets, splitting, tokens
+from codeweft.llm import neardup, packing, secrets, sentences, splitting, tokens
 
 CONTAINER = 2048
 
@@ -50,9 +50,18 @@ def p8_fill(spark, sf_dir):
     return b.agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"), (F.sum("fill") / (F.count("*") * CONTAINER)).alias("used"))
 
 
+def p9_found(spark, sf_dir):
+    return sentences.units(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "end_pos").distinct()
+
+
+def p9_sentences(spark, sf_dir):
+    """doc_id, sent_no, end_pos, sentence."""
+    return sentences.units(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
-    "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sentences": p9_sentences,
 }
 
 _TRIPLES = """
