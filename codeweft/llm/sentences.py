@@ -84,7 +84,7 @@ def _masked(p: Column) -> Column:
 def _parted(p: Column) -> Column:
     """A paragraph with CUT at the ends of its sentences, placeholders turned back."""
     p = _masked(p)
-    p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+[)\\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
+    p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+[)\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
     # after a closing quote, a letter without case tells nothing: most often the sentence that holds the quote goes on
     p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+(?:[\x{{A0}}\x{{202F}} ]?[»›]|[{_CLOSERS}\"'])+)(?={_BLANK}+{_STARTS})(?!{_BLANK}+\p{{Lo}})(?<=[^)\]）])", f"$1{CUT}")
     p = F.regexp_replace(p, rf"([。！？｡]+[{_CLOSERS}]*)(?={_BLANK})", f"$1{CUT}")
