@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeweft.core import load
-from codeweft.llm import neardup, packing, secrets, sentences, splitting, tokens
+from codeweft.llm import neardup, packing, secrets, sentences, splitting, syntax, tokens
 
 CONTAINER = 2048
 
@@ -21,6 +21,25 @@ def p3_redacted(spark, sf_dir):
     return secrets.redacted(_code(spark, sf_dir, "sample_id", "code", "raw_content"), "sample_id", ["code", "raw_content"])
 
 
+def _checked(spark, sf_dir):
+    samples = _code(spark, sf_dir, "sample_id", "repo", "file_path", "language", "code")
+    return syntax.verdicts(syntax.records(samples, load(spark, sf_dir, "patches").select("patch_id", "file_path", "patched_code")))
+
+
+def p4_found(spark, sf_dir):
+    return _checked(spark, sf_dir).where("verdict is not null").select("kind", "record_id").distinct()
+
+
+def p4_places(spark, sf_dir):
+    """kind, record_id, repo, language, verdict ('token' or 'cut off'), place and line of the token at fault."""
+    return _checked(spark, sf_dir).where("verdict is not null").distinct()
+
+
+def p4_rates(spark, sf_dir):
+    """repo, language, n_texts, n_invalid, rate."""
+    return syntax.rates(_checked(spark, sf_dir))
+
+
 def p5_found(spark, sf_dir):
     return neardup.found_pairs(*neardup.similar(_code(spark, sf_dir, "sample_id", "code")))
 
@@ -60,7 +79,7 @@ def p9_sentences(spark, sf_dir):
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
+    "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
     "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sentences": p9_sentences,
 }
 
