@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeweft.core import load
-from codeweft.llm import neardup, packing, secrets, sentences, splitting, syntax, tokens
+from codeweft.llm import neardup, packing, provenance, secrets, sentences, splitting, syntax, tokens
 
 CONTAINER = 2048
 
@@ -12,6 +12,15 @@ def _code(spark, sf_dir, *cols):
     return load(spark, sf_dir, "code_samples").select(*cols)
 
 
+def p2_found(spark, sf_dir):
+    return provenance.found(_code(spark, sf_dir, "file_path", "repo", "raw_content"))
+
+
+def p2_files(spark, sf_dir):
+    """Every file with its grammar features and its kinds (generated, minified, copied, data_only, hand_written)."""
+    return provenance.judged(_code(spark, sf_dir, "file_path", "repo", "raw_content"))
+
+
 def p3_found(spark, sf_dir):
     return secrets.places(_code(spark, sf_dir, "file_path", "raw_content", "code"))
 
@@ -79,7 +88,7 @@ def p9_sentences(spark, sf_dir):
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
+    "p2_found": p2_found, "p2_files": p2_files, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
     "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sentences": p9_sentences,
 }
 
