@@ -1 +1 @@
-
+"""Scalar functions of the code model."""
