@@ -66,13 +66,13 @@ def _merge(links: DataFrame) -> DataFrame:
     ).select("src", "dst", "m.len", "m.mid", "span")
 
 
-def contract(links: DataFrame, paths: bool = True, max_rounds: int = 500) -> Contraction:
-    """Contract distinct links (src, dst). Without `paths`, links don't carry what they span (enough for cycles)."""
+def contract(links: DataFrame) -> Contraction:
+    """Contract distinct links (src, dst), each of which carries what it spans."""
     out = Contraction()
     e = cut(links.select("src", "dst", F.lit(1).alias("len"), F.expr(f"{_NONE} mid"), F.expr(f"{_NONE} span")))
-    for k in range(max_rounds):
-        if is_empty(e):
-            break
+    held: DataFrame | None = None  # (v, members) of the loops taken out so far
+    while not is_empty(e):
+        k = out.rounds
         ends = e.select(
             F.explode(
                 F.array(
@@ -95,14 +95,20 @@ def contract(links: DataFrame, paths: bool = True, max_rounds: int = 500) -> Con
         out.raked.append(cut(e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi")))
         inn = e.join(chosen.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("v"), F.col("src").alias("u"), F.col("len").alias("l1"), F.col("mid").alias("m1"), F.col("span").alias("s1"))
         on = e.join(chosen.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("len").alias("l2"), F.col("mid").alias("m2"), F.col("span").alias("s2"))
-        made = cut(inn.join(on, "v"))
+        pair = inn.join(on, "v")
+        if held is not None:  # what loops at v lies on the way as well
+            pair = pair.join(held, "v", "left").withColumn("s1", F.array_union("s1", F.coalesce("members", F.expr(_NONE)))).drop("members")
+        made = cut(pair)
         out.squeezed.append(made.select(F.col("v").alias("dst"), F.col("u").alias("src"), "w", F.col("l1").alias("len"), F.col("m1").alias("mid"), F.col("s1").alias("span")))
         new = made.select(
             F.col("u").alias("src"), F.col("w").alias("dst"), (F.col("l1") + F.col("l2")).alias("len"),
-            F.concat("m1", F.array("v"), "m2").alias("mid") if paths else F.expr(f"{_NONE} mid"),
-            F.concat("s1", F.array("v"), "s2").alias("span") if paths else F.expr(f"{_NONE} span"),
+            F.concat("m1", F.array("v"), "m2").alias("mid"), F.concat("s1", F.array("v"), "s2").alias("span"),
         )
-        out.loops.append(new.where("src = dst"))
+        loop = cut(new.where("src = dst").groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_set("span"))).alias("span")))
+        if not is_empty(loop):
+            out.loops.append(loop)
+            every = reduce(DataFrame.unionByName, out.loops)
+            held = cut(every.groupBy(F.col("src").alias("v")).agg(F.array_distinct(F.flatten(F.collect_set("span"))).alias("members")))
         gone = leaves.unionByName(chosen.select("id"))
         left = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
         e = cut(_merge(left.select(*new.columns).unionByName(new.where("src <> dst"))))
@@ -149,17 +155,41 @@ def core_parts(core: DataFrame) -> DataFrame:
     return every.join(many, "part", "left_semi").select("id", "part")
 
 
+def _contract_bare(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(rounds, core) for cycles alone: links carry nothing, and nodes without parents are raked like those without children.
+
+    A round's rows (v, u, w) are the unary nodes that went, with their parent and child at that time.
+    """
+    rounds: list[DataFrame] = []
+    e = cut(links.select("src", "dst"))
+    while not is_empty(e):
+        ends = e.select(F.col("src").alias("id"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("c")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("p"), F.lit(None).cast("string").alias("c")))
+        deg = ends.groupBy("id").agg(F.count("p").alias("i"), F.count("c").alias("o"), F.min("p").alias("p"), F.min("c").alias("c"))
+        low = deg.where("i = 0 or o = 0 or (i = 1 and o = 1)").select("id", "p", "c", ((F.col("i") == 0) | (F.col("o") == 0)).alias("end"), F.xxhash64(F.lit(len(rounds)), "id").alias("r"))
+        low = cut(low)
+        near = low.select(F.col("id").alias("n"), F.col("end").alias("ne"), F.col("r").alias("nr"))
+        free = F.expr("ne is null or (not ne and (r < nr or (r = nr and id < n)))")
+        up = low.where("not end").join(near, F.col("p") == F.col("n"), "left").where(free).select("id", "p", "c", "r")
+        made = cut(up.join(near, F.col("c") == F.col("n"), "left").where(free).select(F.col("id").alias("v"), F.col("p").alias("u"), F.col("c").alias("w")))
+        gone = low.where("end").select("id").unionByName(made.select(F.col("v").alias("id")))
+        if is_empty(gone):
+            break
+        rounds.append(made)
+        left = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        e = cut(left.select("src", "dst").unionByName(made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
+    return rounds, e
+
+
 def cycle_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, part): every node that lies on a cycle of two or more nodes; `part` names its strongly connected part.
 
     A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
     """
-    c = contract(clean_links(nodes, links), paths=False)
-    part = cut(core_parts(c.core))
-    for rec in reversed(c.squeezed):
-        mine = rec.select(F.col("dst").alias("v"), F.col("src").alias("u"), "w")
+    rounds, core = _contract_bare(clean_links(nodes, links))
+    part = cut(core_parts(core))
+    for rec in reversed(rounds):
         pu, pw = (part.select(F.col("id").alias(a), F.col("part").alias(f"p{a}")) for a in ("u", "w"))
-        got = mine.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
+        got = rec.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
         named = got.select("u", "v", F.coalesce("pu", "u").alias("part"))
         add = named.select(F.explode(F.array("u", "v")).alias("id"), "part").distinct()
         part = cut(part.unionByName(add.join(part, "id", "left_anti")))
