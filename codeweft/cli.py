@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.core import local_session
+from codeweft.core import cut, local_session
 from codeweft.operators import analysis, evaluation, extraction, graph_build, patching, results
 from codeweft.sources import scan, sinks
 
@@ -20,12 +20,13 @@ def extract(spark: SparkSession, path: str | None, snippet: str | None, language
     files = scan.snippet(spark, snippet, language or "") if snippet is not None else scan.scan(spark, path, list(config.skip_dirs))
     fn = extraction.extract_functions(files, config.max_function_lines).join(files.select("file_path", "file_ord"), "file_path")
     fn = fn.withColumn("fn_ord", F.col("file_ord").cast("bigint") * 1_000_000 + F.col("pos")).withColumn("id", F.concat("file_path", F.lit("::"), "function_name"))
-    return fn, extraction.imports(files), extraction.routes(files)
+    return cut(fn), cut(extraction.imports(files)), cut(extraction.routes(files))
 
 
 def call_graph(fn: DataFrame, imports: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = fn.select(F.col("id").alias("src"), F.explode("calls").alias("c")).select("src", "c.pos", "c.raw_call")
-    return graph_build.build(fn, calls, routes, imports)
+    graph, edges = graph_build.build(fn, calls, routes, imports)
+    return cut(graph), cut(edges)
 
 
 def _findings(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -73,10 +74,8 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
         dataset = o.dataset or (sinks.dataset_of(o.path) if o.path else None) or "default"
         folder = Path(config.output_dir) / dataset / (o.run_name or f"run_{stamp}")
         fn, imports, routes = extract(spark, o.path, o.snippet, o.language, config)
-        fn = fn.cache()
         sinks.save_extraction(fn, o.path or "<snippet>", str(folder / "extraction.json"), at)
         graph, edges = call_graph(fn, imports, routes)
-        graph = graph.cache()
         sinks.save_call_graph(graph, str(folder / "call_graph.json"), at)
         for r in results.language_counts(fn).orderBy("language").collect():
             print(f"{r.language}: {r.n} functions")
@@ -96,7 +95,7 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
             prompted = analysis.prompts(fn, graph.select("id", "callers", "callees")).join(fn.select("id", "function_name", "file_path", "language"), "id")
             reports = analysis.analyze(prompted, model).drop("id")
         reports = reports.join(fn.select("function_name", "file_path", "fn_ord"), ["function_name", "file_path"], "left").withColumn("run_id", F.lit(folder.name)).withColumn("finding_id", F.col("fn_ord"))
-        final = results.duplicate_groups(results.with_clamped_lines(reports, fn)).cache()
+        final = cut(results.duplicate_groups(results.with_clamped_lines(cut(reports), fn)))
         summary = results.run_summary(final).drop("run_id").first()
         sinks.save_run(final.orderBy("finding_id").drop("finding_id", "fn_ord", "run_id"), summary.asDict() if summary else {}, folder.name, str(folder / "analysis.json"), at)
         print(summary.asDict() if summary else {})
@@ -112,7 +111,7 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
         else:
             graph, edges = call_graph(*extract(spark, o.path, None, None, config))
         found = _findings(spark, [o.results]) if o.results else spark.createDataFrame([], "file_path string, function_name string, vulnerability_found boolean, severity string, finding_ord int")
-        shown = results.overlay(graph, found, "finding_ord").cache()
+        shown = cut(results.overlay(graph, found, "finding_ord"))
         Path(o.output_dir).mkdir(parents=True, exist_ok=True)
         if o.html:
             print(sinks.export_html(shown, edges, str(Path(o.output_dir) / "call_graph.html")))
@@ -126,7 +125,7 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
             print("no vulnerable findings")
             return 0
         made = patching.generate(rows, generator)
-        checked = patching.validated(made.withColumnRenamed("error", "made_error"))
+        checked = cut(patching.validated(made.withColumnRenamed("error", "made_error")))
         out = checked.select("function_name", "file_path", "cwe_id", "severity", "start_line", "end_line", "unified_diff", F.col("valid").alias("patch_valid"), F.coalesce("made_error", "error").alias("patch_error"), "patched_code")
         run_id = findings.select(F.first("run_id", True)).first()[0] or "run"
         print(sinks.save_patches(out, run_id, str(Path(o.output_dir) / f"{run_id}_patches.json"), at))
@@ -138,7 +137,7 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
         name = truth.select(F.first("dataset", True)).first()[0]
         findings = _findings(spark, o.results).withColumn("dataset", F.lit(name))
         rows = [r.asDict() for r in evaluation.compare(truth, findings).orderBy("run_id").collect()]  # one row a run
-        v = evaluation.verdicts(truth, findings).cache()
+        v = cut(evaluation.verdicts(truth, findings))
         for r in rows:
             sinks.save_evaluation(r, v.where(F.col("run_id") == r["run_id"]).drop("run_id"), str(Path(o.output_dir) / f"eval_{r['run_id']}.json"))
         print(sinks.comparison_table(rows))

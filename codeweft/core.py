@@ -19,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "codeweft")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", os.environ.get("CODEWEFT_DRIVER_MEMORY", "4g"))
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.core import cut
 from codeweft.functions.text import missing, norm_path
 
 _KEYS = ["run_id", "gt_ord"]
@@ -114,7 +115,7 @@ def run_modes(findings: DataFrame) -> DataFrame:
 
 def compare(truth: DataFrame, findings: DataFrame) -> DataFrame:
     """One row a run with all measures."""
-    v = verdicts(truth, findings)
+    v = cut(verdicts(truth, findings))
     return metrics(v).join(cwe_accuracy(v).select("run_id", "cwe_accuracy"), "run_id", "left").join(hallucination_rate(v).select("run_id", "hallucination_rate"), "run_id", "left").join(
         unique_recall(v).select("run_id", "unique_recall"), "run_id", "left"
     ).join(run_modes(findings), "run_id", "left")

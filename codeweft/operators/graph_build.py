@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.core import cut
 from codeweft.functions import text as T
 
 # Objects whose methods are the runtime's, fixed values.
@@ -164,13 +165,13 @@ def adjacency(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build(functions: DataFrame, calls: DataFrame, routes: DataFrame, imports: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(graph, edges): nodes with the ten columns of the exported graph, externals included, and all links."""
-    n = with_route_entries(nodes(functions), routes)
-    r = resolve_static(calls, n)
+    n = cut(with_route_entries(nodes(functions), routes))
+    r = cut(resolve_static(calls.select("src", "raw_call").distinct(), n))
     via = resolve_imports(r.where("name is null"), imports, functions, n) if imports is not None else None
     inside = internal_edges(r, n)
     if via is not None:
         inside = inside.unionByName(via.select("src", "dst")).distinct()
-    edges = inside.unionByName(external_edges(r, via))
+    edges = cut(inside.unionByName(external_edges(r, via)))
     flagged = taint_flags(n, edges).select("id", "function_name", "file_path", "is_entry_point", "is_infrastructure", F.lit(False).alias("is_external"), "is_taint_source", "is_taint_sink")
     ext = edges.where(F.col("dst").startswith("external::")).select(F.col("dst").alias("id")).distinct()
     no = F.lit(False)

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from codeweft import schemas
 from codeweft.functions.text import SKIP_DIRS, in_skipped_folder, language_of
 from codeweft.operators.extraction import SUPPORTED
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_utf8(raw: pd.Series) -> pd.Series:
     """UTF-8 with the replacement character for what isn't."""
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
