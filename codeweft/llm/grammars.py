@@ -189,13 +189,13 @@ unit: ext*
 ext: function | declaration | ';' | template ext | 'namespace' attr* (NAME ('::' NAME)*)? '{' ext* '}' | 'inline' 'namespace' NAME '{' ext* '}' | 'extern' STRING ('{' ext* '}' | ext) | 'template' ext | 'asm' '(' STRING+ ')' ';'
 template: 'template' '<' (tparam (',' tparam)*)? '>'
 tparam: ('class' | 'typename') '...'? NAME? ('=' typeid)? | template 'class' '...'? NAME? ('=' qname)? | specs (declarator | abstract)? ('=' addx)?
-function: specs declarator trailer body | specs? special trailer body
+function: specs declarator trailer body | lead* special trailer body
 special: scope? '~'? NAME suffixf | scope? 'operator' convtype suffixf
 convtype: specs ('*' | '&')*
 trailer: ('const' | 'volatile' | '&' | '&&' | 'noexcept' ('(' cond ')')? | 'override' | 'final' | 'throw' '(' (typeid (',' typeid)*)? ')' | attr)* ('->' typeid)?
 body: (':' meminit (',' meminit)*)? blk | 'try' (':' meminit (',' meminit)*)? blk handler+ | '=' ('default' | 'delete') ';'
 meminit: qname ('(' (initarg (',' initarg)*)? ')' | braces) '...'?
-declaration: specs (initdecl (',' initdecl)*)? ';' | 'static_assert' '(' cond (',' STRING+)? ')' ';' | 'using' 'namespace' qname ';' | 'using' 'typename'? qname (',' qname)* ';' | 'using' NAME attr* '=' typeid ';' | 'namespace' NAME '=' qname ';' | specs? special trailer ('=' (NUMBER | 'default' | 'delete'))? ';' | attr+ ';' | specs '&'? '&'? '[' NAME (',' NAME)* ']' ('=' assign | braces | '(' assign ')') ';'
+declaration: specs (initdecl (',' initdecl)*)? ';' | 'static_assert' '(' cond (',' STRING+)? ')' ';' | 'using' 'namespace' qname ';' | 'using' 'typename'? qname (',' qname)* ';' | 'using' NAME attr* '=' typeid ';' | 'namespace' NAME '=' qname ';' | lead* special trailer ('=' (NUMBER | 'default' | 'delete'))? ';' | attr+ ';' | specs '&'? '&'? '[' NAME (',' NAME)* ']' ('=' assign | braces | '(' assign ')') ';'
 initdecl: declarator trailer ('=' init | '=' ('default' | 'delete') | braces | '(' (initarg (',' initarg)*)? ')')?
 init: assign | braces
 initarg: init '...'?

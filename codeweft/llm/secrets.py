@@ -79,7 +79,7 @@ _IDENT = r"(?P<n>[^\W\d][\w]*(?:[-.][A-Za-z]\w*)*)"
 _ASSIGN = re.compile(
     _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]{1,400})"""
 )
-_BARE = re.compile(r"(?:(?<![\w.])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*)\s{0,2}[=:]\s{0,2}(?P<v>[^\s'\"`;&,()<>{}\[\]]{6,200})")
+_BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*)\s{0,2}[=:]\s{0,2}(?P<v>(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6,200})")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|--|<!--)\s*(.*)$|^\s*[*;]\s(.*)$")
@@ -252,7 +252,7 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
         yield *m.span(m.lastgroup), m.lastgroup
     for m in _ADDRESS.finditer(text):
         v = m["v"]
-        if not re.fullmatch(r"(?i)\$\{?\w+\}?|<\w+>|\{+\w*\}+|%s|\$\w+|pass(?:word|wd)?|secret|pwd|x+|\*+|changeme|your\S*", v):
+        if not re.fullmatch(r"(?i)\$\{?\w+\}?|<\w+>|\{+\w*\}+|%s|\$\w+|pass(?:word|wd)?|secret|pwd|x+|\*+|changeme|your\S*|redacted", v):
             yield *m.span("v"), "address"
     for m in _HEADER.finditer(text):
         v = m["v"]
