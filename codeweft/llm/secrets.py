@@ -79,6 +79,7 @@ _IDENT = r"(?P<n>[^\W\d][\w]*(?:[-.][A-Za-z]\w*)*)"
 _ASSIGN = re.compile(
     _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]{1,400})"""
 )
+_DEFINE = re.compile(r"#[ \t]*define[ \t]+(?P<n>\w+)[ \t]+\(?[ \t]*[LuU]?\"(?P<v>[^\"\n]{1,400})\"")
 _BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*)\s{0,2}[=:]\s{0,2}(?P<v>(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6,200})")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
@@ -271,7 +272,8 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _ASSIGN.finditer(text):
         name, v = m["n"], m["v"]
         if names_credential(name):
-            if text[m.end("n") : m.start("v")].strip("\\\"' ({[`")[:1] == "," and not m["pre"].strip():
+            comma = text[m.end("n") : m.start("v")].strip("\\\"' ({[`")[:1] == ","
+            if comma and not m["pre"].strip() and text[m.end("n") : m.end("n") + 1] not in ("'", '"'):
                 continue
             v = v.rstrip("\\")
             if looks_secret(v):
@@ -280,6 +282,9 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
             close = re.match(r"[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,100})[\"'`]\s*[)\]}]", text[m.end("v") : m.end("v") + 140])
             if close and looks_secret(close[1]):
                 yield m.end("v") + close.start(1), m.end("v") + close.end(1), "pair"
+    for m in _DEFINE.finditer(text):
+        if names_credential(m["n"]) and looks_secret(m["v"]):
+            yield *m.span("v"), "named"
     for m in _BARE.finditer(text):
         if names_credential(m["n"].split(".")[-1]):
             v = m["v"].split("\\n")[0].split("\\r")[0].rstrip("\\")
