@@ -68,6 +68,7 @@ _FORMS = re.compile(
     r")"
 )
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,;()])*[A-Za-z0-9+/=]{16,})*")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"`<>{}]*:(?P<v>[^\s@/'\"`]{3,})@")
 _HEADER = re.compile(r"(?i)\b(?P<scheme>bearer|basic|token|apikey|digest)[ \t]+(?P<v>[A-Za-z0-9+/=._~-]{12,})")
@@ -233,7 +234,7 @@ def _scan(text: str, depth: int) -> list[tuple[int, int, str]]:
         for m in _BLOCK.finditer(text):
             end = _BLOCK_END.search(text, m.end())
             nxt = _BLOCK.search(text, m.end())
-            stop = end.end() if end and not (nxt and nxt.start() < end.start()) else m.end()
+            stop = end.end() if end and not (nxt and nxt.start() < end.start()) else _BODY.match(text, m.end()).end()  # its end may be cut off
             if len(re.findall(r"[A-Za-z0-9+/=]{16,}", text[m.end() : stop])):
                 found.append((m.start(), stop, "private_key"))
     if depth < MAX_LAYERS:
