@@ -7,7 +7,7 @@ import itertools
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,24 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, within: str | None = None) -> DataFrame:
+    """df with `name`: its rows' numbers from 0 in the order of unique columns, within each value of `within` if given.
+
+    No task holds a group: rows are range-partitioned and numbered within their part, and the parts' offsets are added.
+    """
+    keys = ([within] if within else []) + order
+    placed = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    local = cut(placed.withColumn("__n", F.row_number().over(Window.partitionBy("__part", *([within] if within else [])).orderBy(*order))))
+    group = ["__part", within] if within else ["__part"]
+    sizes = local.groupBy(*group).agg(F.count("*").alias("__size"))  # one row for each part and group
+    upto = (Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__part").alias("__p"), *([F.col(within).alias("__g")] if within else []), F.sum("__size").over(upto).alias("__before"))
+    cond = F.col("__part") == F.col("__p")
+    if within:
+        cond = cond & F.col(within).eqNullSafe(F.col("__g"))
+    return local.join(before, cond, "left").select(*df.columns, (F.col("__n") - 1 + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))
+
+
 def latest(df: DataFrame, key: str, ts: str) -> DataFrame:
     """One row for each key: the earliest of its repeats (they carry the same content later).
 

@@ -23,6 +23,9 @@ CWE_RULES = [
 ]
 SUMMARY_CHARS = 120
 MAX_STEPS = 5
+# Texts of verdicts that stand for a missing answer, fixed values.
+UNREADABLE = "Parse error — could not read LLM response."
+NO_ANSWER = "ReAct loop reached max steps without a final answer."
 
 
 def code_map(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,8 +89,8 @@ def answers(raw: DataFrame) -> DataFrame:
         F.when(ok, normalize_cwe(get("cwe_id"))).alias("cwe_id"),
         F.when(ok, F.coalesce(F.from_json(get("affected_lines"), "array<int>"), F.expr("cast(array() as array<int>)"))).otherwise(F.expr("cast(array() as array<int>)")).alias("affected_lines"),
         F.when(ok, get("severity")).alias("severity"),
-        F.when(ok, F.coalesce(get("explanation"), F.lit(""))).otherwise("Parse error — could not read LLM response.").alias("explanation"),
-        F.when(ok, F.coalesce(F.try_to_number(get("confidence"), F.lit("9D999999999")).cast("double"), get("confidence").try_cast("double"), F.lit(0.0))).otherwise(0.0).alias("confidence"),
+        F.when(ok, F.coalesce(get("explanation"), F.lit(""))).otherwise(UNREADABLE).alias("explanation"),
+        F.when(ok, F.coalesce(get("confidence").try_cast("double"), F.lit(0.0))).otherwise(0.0).alias("confidence"),
         F.when(ok, truthy("hallucination_flag")).otherwise(True).alias("hallucination_flag"),
         F.when(~ok, "json_parse_error").alias("error"),
     )
@@ -106,7 +109,7 @@ def parse_report(text: str, sample: dict) -> dict:
         if not isinstance(d, dict):
             raise ValueError("no object")
     except ValueError:
-        return base | {"vulnerability_found": False, "cwe_id": None, "affected_lines": [], "severity": None, "explanation": "Parse error — could not read LLM response.", "patch_suggestion": "", "confidence": 0.0, "hallucination_flag": True, "error": "json_parse_error"}
+        return base | {"vulnerability_found": False, "cwe_id": None, "affected_lines": [], "severity": None, "explanation": UNREADABLE, "patch_suggestion": "", "confidence": 0.0, "hallucination_flag": True, "error": "json_parse_error"}
     cwe = str(d["cwe_id"]).strip() if d.get("cwe_id") else None
     if cwe and cwe.upper().startswith("CWE-"):
         cwe = "CWE-" + cwe[4:]
@@ -159,7 +162,10 @@ def memory_context(findings: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 @dataclass
 class GraphTools:
-    """Answers of the six tools to an agent, from a collected neighbourhood (nodes: id -> row as dict; code: id or name -> text)."""
+    """Answers of the six tools to an agent, from a collected neighbourhood (nodes: id -> row as dict; code: id or name -> text).
+
+    The wording of the answers is fixed: prompts and recorded traces rely on it.
+    """
 
     nodes: dict[str, dict]
     code: dict[str, str] = field(default_factory=dict)
@@ -235,7 +241,7 @@ class Agent:
                 report = parse_report(text, sample)
             break
         if report is None:
-            report = parse_report("", sample) | {"explanation": "ReAct loop reached max steps without a final answer.", "error": "max_steps_exceeded"}
+            report = parse_report("", sample) | {"explanation": NO_ANSWER, "error": "max_steps_exceeded"}
         report["analysis_mode"] = "react_loop"
         if not report["vulnerability_found"] and not report["confidence"] and not report["explanation"] and not report["error"]:
             report = parse_report(self.model(json.dumps({"function": sample["function_name"], "code": sample.get("code")})), sample) | {"analysis_mode": "react_loop_fallback"}

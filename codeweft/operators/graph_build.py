@@ -74,6 +74,7 @@ def resolve_imports(unresolved: DataFrame, imports: DataFrame, functions: DataFr
 
 
 Resolver = Callable[[dict], dict]
+CODE_CHARS = 1500  # of the caller's code that a resolver is shown
 
 
 def cache_key(caller, raw_call, candidates):
@@ -81,10 +82,12 @@ def cache_key(caller, raw_call, candidates):
     return F.sha2(F.to_json(F.struct(F.sort_array(candidates).alias("candidates"), caller.alias("caller"), raw_call.alias("raw_call"))), 256)
 
 
-def resolve_cached(unresolved: DataFrame, candidates: list[str], cache: DataFrame, resolver: Resolver | None = None) -> DataFrame:
+def resolve_cached(unresolved: DataFrame, candidates: list[str], cache: DataFrame, resolver: Resolver | None = None, code: DataFrame | None = None) -> DataFrame:
     """(src, raw_call, key, target, resolved_by): a sole candidate, else none for runtime objects, else the cache, else the resolver (tier 3).
 
     A cached null counts as an answer. Errors of the resolver give a null target. Without a resolver the rest stays null.
+    The resolver is asked with the first CODE_CHARS characters of the caller's code where `code`(id, code) is given; only
+    rows that need it reach it, and columns are cut before they leave the JVM.
     """
     cand = F.array(*[F.lit(c) for c in sorted(set(candidates))]) if candidates else F.expr("cast(array() as array<string>)")
     d = unresolved.select("src", "raw_call").distinct().withColumn("key", cache_key(F.col("src"), F.col("raw_call"), cand))
@@ -99,20 +102,22 @@ def resolve_cached(unresolved: DataFrame, candidates: list[str], cache: DataFram
     if resolver is None:
         return j
     allowed = sorted(set(candidates))
+    texts = j.select("src").limit(0).select(F.col("src").alias("id"), F.lit("").alias("caller_code")) if code is None else code.select("id", F.substring("code", 1, CODE_CHARS).alias("caller_code"))
+    settled = j.where("resolved_by <> 'resolver'")
+    asked = j.where("resolved_by = 'resolver'").join(texts, F.col("src") == F.col("id"), "left").drop("id")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f = f.copy()
-            for i in f.index[f["resolved_by"] == "resolver"]:
+            for i in f.index:
                 try:
-                    got = resolver({"caller": f.at[i, "src"], "raw_call": f.at[i, "raw_call"], "candidates": allowed}) or {}
-                    t = salvage_target(got, allowed)
+                    got = resolver({"caller": f.at[i, "src"], "raw_call": f.at[i, "raw_call"], "caller_code": f.at[i, "caller_code"] or "", "candidates": allowed}) or {}
+                    f.at[i, "target"] = salvage_target(got, allowed)
                 except Exception:  # noqa: BLE001 - a failing service leaves the call unresolved
-                    t = None
-                f.at[i, "target"] = t
-            yield f
+                    f.at[i, "target"] = None
+            yield f[["src", "raw_call", "key", "target", "resolved_by"]]
 
-    return j.mapInPandas(ask, j.schema)
+    return settled.unionByName(asked.mapInPandas(ask, j.schema))
 
 
 # Keys under which older entries hold the target, fixed values.

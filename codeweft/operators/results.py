@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.core import numbered
 from codeweft.functions.text import missing, node_id
 
 # Colours of severities and roles in graph exports, fixed values.
@@ -51,12 +52,12 @@ def duplicate_groups(findings: DataFrame, run: str = "run_id", order: str = "fin
     """Findings with `duplicate_group`: for vulnerable rows of the same name and CWE in a run, the group's number by first appearance from 0.
 
     Only groups of two or more have a number, so numbers may have gaps; other rows have null. Groups are aggregated first,
-    so that a hot group is no window partition.
+    so that neither a hot group nor a hot run is held by one task.
     """
     eligible = _yes("vulnerability_found") & missing("cwe_id").isNotNull() & missing("function_name").isNotNull()
     key = [run, "function_name", "cwe_id"]
     g = findings.where(eligible).groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("members"))
-    ranked = g.withColumn("no", F.dense_rank().over(Window.partitionBy(run).orderBy("first")) - 1).where("members > 1").select(*key, F.col("no").cast("bigint").alias("no"))
+    ranked = numbered(g, ["first"], "no", within=run).where("members > 1").select(*key, "no")
     return findings.join(ranked, key, "left").withColumn("duplicate_group", F.when(eligible, F.col("no"))).drop("no")
 
 

@@ -12,10 +12,13 @@ def p1_found(spark, sf_dir):
 
 
 def p1_hierarchy(spark, sf_dir):
-    """id, root, depth, path (ids joined by ' > '), on_cycle."""
-    g = load(spark, sf_dir, "call_graph_nodes").select("id", "callers", "callees")
+    """id, root, depth, path (ids joined by ' > '), on_cycle, is_top (nothing calls it) beside the entry point noted in the table."""
+    g = load(spark, sf_dir, "call_graph_nodes").select("id", "callers", "callees", "is_entry_point")
     paths, _ = H.hierarchy(g, H.call_links(g))
-    return paths.select("id", "root", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "on_cycle")
+    noted = g.groupBy("id").agg(F.bool_or("is_entry_point").alias("noted_entry_point"))
+    return paths.join(noted, "id").select(
+        "id", "root", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "on_cycle", F.coalesce(F.col("depth") == 0, F.lit(False)).alias("is_top"), "noted_entry_point"
+    )
 
 
 def p1_descendants(spark, sf_dir):
@@ -46,6 +49,7 @@ walk(id, path) AS (
   SELECT l.b, list_append(w.path, l.b) FROM walk w JOIN links l ON w.id = l.a WHERE NOT list_contains(w.path, l.b)),
 best AS (SELECT id, min({{'n': len(path), 'p': path}}) AS m FROM walk GROUP BY id)
 SELECT i.id AS id, b.m.p[1] AS root, CAST(b.m.n - 1 AS BIGINT) AS depth, array_to_string(b.m.p, ' > ') AS path,
-  EXISTS (SELECT 1 FROM reach r WHERE r.a = i.id AND r.b = i.id) AS on_cycle
+  EXISTS (SELECT 1 FROM reach r WHERE r.a = i.id AND r.b = i.id) AS on_cycle, coalesce(b.m.n = 1, false) AS is_top,
+  (SELECT bool_or(is_entry_point) FROM call_graph_nodes c WHERE c.id = i.id) AS noted_entry_point
 FROM ids i LEFT JOIN best b ON i.id = b.id""",
 }

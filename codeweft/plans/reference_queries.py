@@ -512,7 +512,8 @@ def event_windows(spark, d):
 
 
 def flagship(spark, d) -> DataFrame:
-    """Counts of the call graph beside its ten widest fan-outs."""
-    e = t.edges(spark, d)
-    top = e.groupBy("src").agg(F.count("*").alias("fan_out")).orderBy(F.desc("fan_out"), "src").limit(10)
-    return top.join(F.broadcast(graph_query.summary(t.graph(spark, d))), how="inner", on=F.lit(True))
+    """(kind, name, n): the call graph's counts and its ten widest fan-outs."""
+    top = t.edges(spark, d).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+    s = graph_query.summary(t.graph(spark, d))
+    counts = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("n")) for c in s.columns])).alias("x")).select("x.*")
+    return counts.select(F.lit("count").alias("kind"), "name", "n").unionByName(top.select(F.lit("fan-out").alias("kind"), "name", "n"))

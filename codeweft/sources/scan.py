@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from codeweft import schemas
+from codeweft.core import cut, numbered
 from codeweft.functions.text import SKIP_DIRS, in_skipped_folder, language_of
 from codeweft.operators.extraction import SUPPORTED
 
@@ -39,7 +40,7 @@ def scan(spark: SparkSession, root: str, skip: list[str] = SKIP_DIRS) -> DataFra
     rel = F.element_at(F.split(full, "/"), -1) if single else F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:///'), {len(base) + 2})")
     f = raw.select(rel.alias("file_path"), F.col("content").alias("raw"))
     f = f.where(~in_skipped_folder("file_path", skip)).withColumn("language", language_of("file_path")).where(F.col("language").isin(*SUPPORTED))
-    order = f.select("file_path").withColumn("file_ord", F.row_number().over(Window.orderBy(F.split("file_path", "/"))))  # paths only
+    order = numbered(f.select("file_path", F.split("file_path", "/").alias("parts")), ["parts"], "file_ord").select("file_path", (F.col("file_ord") + 1).alias("file_ord"))
     return f.select("file_path", "language", decode_utf8("raw").alias("content")).join(order, "file_path")
 
 
@@ -115,6 +116,17 @@ class EdgeCache:
     def add(self, rows: DataFrame) -> None:
         rows.join(self.table().select("key"), "key", "left_anti").select(*[f.name for f in schemas.EDGE_CACHE.fields]).write.mode("append").parquet(self.path)
 
+    def _replace(self, rows: DataFrame) -> None:
+        kept = cut(rows)  # read and written path are the same
+        kept.write.mode("overwrite").parquet(self.path)
+
+    def delete(self, keys: list[str]) -> None:
+        gone = self.spark.createDataFrame([(k,) for k in keys], "key string")
+        self._replace(self.table().join(gone, "key", "left_anti"))
+
+    def clear(self) -> None:
+        self._replace(self.table().limit(0))
+
     def stats(self) -> dict:
         r = self.table().agg(F.count("*").alias("total"), F.count_if(F.col("target").isNotNull()).alias("resolved")).first()
         return {"total": r.total, "resolved": r.resolved, "external": r.total - r.resolved}

@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 from codeweft import cli
-from codeweft.core import cut, latest, load, shared_folder
+from codeweft.core import cut, latest, load, numbered, shared_folder
 from codeweft.sources import scan, sinks
 from codeweft.streaming import ingest
 
@@ -72,6 +72,10 @@ def test_readers(spark, tmp_path):
     cache.add(rows)
     cache.add(rows)
     assert cache.stats() == {"total": 2, "resolved": 1, "external": 1}
+    cache.delete(["k", "none"])
+    assert [r.key for r in cache.table().collect()] == ["n"]
+    cache.clear()
+    assert cache.stats()["total"] == 0
     assert sinks.dataset_of("x/datasets/shop/a.js") == "shop" and sinks.dataset_of("x") is None
     assert sinks.comparison_table([{"run_id": "r", "precision": 0.125}]).splitlines()[-1].startswith("| r | - | 0.12 |")
 
@@ -91,6 +95,13 @@ def test_core(spark):
     assert shared_folder(spark)
     d = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (None, "c", 1)], "k int, v string, t int")
     assert {(r.k, r.v) for r in latest(d, "k", "t").collect()} == {(1, "b"), (None, "c")}
+    many = spark.createDataFrame([(i % 3 or None, i * 7 % 101) for i in range(100)], "g int, v int").repartition(5)
+    for within in (None, "g"):
+        seen = {}
+        for r in sorted(numbered(many, ["v"], "no", within).collect(), key=lambda r: r.v):
+            key = r.g if within else 0
+            assert r.no == seen.get(key, 0)
+            seen[key] = r.no + 1
     assert cut(d).count() == 3 and load(spark, SF, "nation").count() == 25
 
 
@@ -103,4 +114,4 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() == 10
+    assert e.entry(spark).where("kind = 'fan-out'").count() == 10

@@ -65,9 +65,9 @@ def test_cached_resolution(spark):
     def ask(q):
         if q["raw_call"] == "obj.fail":
             raise RuntimeError("down")
-        return {"callee": "b"}
+        return {"callee": "b" if len(q["caller_code"]) == 1500 else "zz"}
 
-    got = {r.raw_call: (r.target, r.resolved_by) for r in G.resolve_cached(rest, ["b", "a"], cache, ask).collect()}
+    got = {r.raw_call: (r.target, r.resolved_by) for r in G.resolve_cached(rest, ["b", "a"], cache, ask, spark.createDataFrame([("s", "x" * 9000)], "id string, code string")).collect()}
     assert got == {"res.send": (None, "static"), "obj.go": ("a", "cache"), "obj.stop": (None, "cache"), "obj.ask": ("b", "resolver"), "obj.fail": (None, "resolver")}
     assert {r.target for r in G.resolve_cached(rest, ["only"], cache).collect()} == {"only"}
     assert G.salvage_target({"edges": [{"callee": "a"}]}, ["a"]) == "a" and G.salvage_target({"target": "x"}, ["a"]) is None and G.salvage_target({}, ["a"]) is None
