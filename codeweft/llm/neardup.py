@@ -214,8 +214,9 @@ def similar(df: DataFrame, key: str = "sample_id", text: str = "code", t: float
     first = d.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "uid")).alias("m")).select("n", "s1", "s2", F.col("m.id").alias("rep"), F.col("m.uid").alias("uid"))
     first = cut(first)
     members = cut(d.select("id", "n", "s1", "s2").distinct().join(first.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("id", "rep"))
-    spare = d.select("uid").join(first.select("uid"), "uid", "left_anti")
-    reps = d.select("uid", "triples").join(spare, "uid", "left_anti")
+    spare = cut(d.select("uid").join(first.select("uid"), "uid", "left_anti"))
+    few = spare.count() <= BROADCAST_ROWS  # else the sets themselves are shuffled
+    reps = d.select("uid", "triples").join(F.broadcast(spare) if few else spare, "uid", "left_anti")
     each = reps.select("uid", F.explode("triples").alias("h"))
     df2 = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(df2, "h").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
