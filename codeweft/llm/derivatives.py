@@ -17,7 +17,7 @@ import re
 
 NEWLINE_BEFORE = 1 << 12  # added to a token's number where a line break precedes it
 _PIECE = re.compile(r"\s*('[^']*'|[A-Za-z_]\w*|[|()?*+])")
-MAX_STATES = 150_000
+MAX_STATES = 60_000
 
 
 class Grammar:

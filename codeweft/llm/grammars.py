@@ -1,6 +1,7 @@
 """Grammars of Python 3.13, ECMAScript 2022, C11 and C++17 in the notation of `derivatives`.
 
-C and C++ are parsed without a symbol table, so a name may be a type wherever one could stand.
+C and C++ are parsed without a symbol table, so a name may be a type wherever one could stand. What begins alike inside
+brackets is factored, or every level of nesting would double the summands.
 """
 
 PYTHON = r"""
@@ -34,19 +35,22 @@ bitor: unary (binary unary)*
 binary: '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@'
 unary: ('+' | '-' | '~') unary | 'await'? atom trailer* ('**' unary)?
 trailer: final | '(' args? ')'
-atom: name | NUMBER | (STRING | fstring)+ | '(' (yield_expr | star_named (',' star_named)* ','? | named comp)? ')' | '[' (star_named (',' star_named)* ','? | named comp)? ']' | '{' (pair (',' pair)* ','? | expr ':' expr comp | star_named (',' star_named)* ','? | named comp)? '}' | '...' | 'True' | 'False' | 'None'
+atom: name | NUMBER | (STRING | fstring)+ | '(' (yield_expr | items)? ')' | '[' items? ']' | '{' (expr (':' expr (comp | morepairs) | comp | more) | name ':=' expr (comp | more) | '*' bitor more | '**' bitor morepairs)? '}' | '...' | 'True' | 'False' | 'None'
+items: named (comp | more) | '*' bitor more
+more: (',' star_named)* ','?
+morepairs: (',' pair)* ','?
 pair: expr ':' expr | '**' bitor
 fstring: FSTART field* FEND
 field: FOPEN (yield_expr | star_exprs) FEQ? FCONV? (FCOLON field*)? FCLOSE
 comp: ('async'? 'for' targets 'in' disj ('if' cond)*)+
 cond: disj | name ':=' expr
 args: posarg (',' posarg)* (',' kwargs)? ','? | kwargs ','?
-posarg: named | '*' expr | named comp
+posarg: named comp? | '*' expr
 kwargs: kwarg (',' kwarg)* (',' dictarg (',' dictarg)*)? | dictarg (',' dictarg)*
 kwarg: name '=' expr | '*' expr
 dictarg: name '=' expr | '**' expr
 slices: slice (',' slice)* ','?
-slice: expr? ':' expr? (':' expr?)? | named | '*' bitor
+slice: named (':' expr? (':' expr?)?)? | ':' expr? (':' expr?)? | '*' bitor
 params: plain (',' plain)* (',' '/')? (',' defaulted)? ','? | defaulted ','?
 plain: name (':' expr)?
 defaulted: plain '=' expr (',' (plain '=' expr | '/'))* (',' starred)? | starred
@@ -104,14 +108,14 @@ ident: NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'from' | 'as' | 'let'
 idname: ident | KEYWORD | 'await' | 'yield' | 'import' | 'export' | 'default' | 'var' | 'const' | 'if' | 'else' | 'while' | 'do' | 'for' | 'continue' | 'break' | 'return' | 'throw' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'with' | 'debugger' | 'function' | 'class' | 'extends' | 'new' | 'delete' | 'void' | 'typeof' | 'instanceof' | 'in' | 'this' | 'super' | 'null' | 'true' | 'false' | 'enum'
 propname: idname | STRING | NUMBER | '[' assign ']'
 expr: assign (',' assign)*
-assign: cond | left assignop assign | 'async'? arrowhead '=>' arrowbody | 'yield' ('*'? assign)?
+assign: left (assignop assign | ('++' | '--')? operated) | prefixed operated | PRIVATE 'in' un operated | 'async'? arrowhead '=>' arrowbody | 'yield' ('*'? assign)?
+operated: (binop un)* ('?' assign ':' assign)?
 arrowhead: ident | '(' params ')'
 arrowbody: '{' stmt* '}' | assign_nb
 assignop: '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-cond: bin ('?' assign ':' assign)?
-bin: un (binop un)* | PRIVATE 'in' bin
 binop: '??' | '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>>' | '>>>' | '+' | '-' | '*' | '/' | '%' | '**'
-un: ('delete' | 'void' | 'typeof' | '+' | '-' | '~' | '!' | 'await') un | ('++' | '--' | PREINC) un | left ('++' | '--')?
+prefixed: ('delete' | 'void' | 'typeof' | '+' | '-' | '~' | '!' | 'await' | '++' | '--' | PREINC) un
+un: prefixed | left ('++' | '--')?
 left: prim tail* | newx tail*
 newx: 'new' (newx | prim newtail*) arglist? | 'new' '.' NAME
 newtail: '.' (idname | PRIVATE) | '[' expr ']' | template
@@ -131,7 +135,7 @@ member: ';' | 'static'? (cmethod | cname ('=' assign)? semi) | 'static' blk
 cmethod: ('async'? '*'? | 'get' | 'set') cname fnrest
 cname: propname | PRIVATE
 """
-JAVASCRIPT_SPINE = ["expr", "assign", "cond", "bin", "un", "left", "prim", "obj", "fndecl", "anonfn", "classexpr"]
+JAVASCRIPT_SPINE = ["expr", "assign", "left", "prim", "obj", "fndecl", "anonfn", "classexpr"]
 
 _C_EXPR = r"""
 expr: assign (',' assign)*

@@ -252,7 +252,7 @@ class PythonLexer(Lexer):
 class JavaScriptLexer(Lexer):
     _ident = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
     _token = re.compile(
-        r"(?P<ws>[^\S\r\n\u2028\u2029]+|\ufeff)|(?P<nl>[\r\n\u2028\u2029]+)|(?P<com>//[^\r\n\u2028\u2029]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)|(?P<name>" + _ident + r")|(?P<priv>#" + _ident + r")"
+        r"(?P<ws>[^\S\r\n\u2028\u2029]+|\ufeff)|(?P<nl>[\r\n\u2028\u2029]+)|(?P<com>//[^\r\n\u2028\u2029]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)|(?P<name>" + _ident + r")|(?P<priv>#" + _ident + r")"
         r"|(?P<num>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|0n|[1-9](?:_?\d)*n|(?:0|[1-9](?:_?\d)*|0\d+)(?:\.(?:\d(?:_?\d)*)?)?(?:[eE][+-]?\d(?:_?\d)*)?|\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?)"
         r"|(?P<str>\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*')"
         r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|\*\*|<<|>>|[-+*%&|^!~<>=?:;,.()\[\]{}])|(?P<slash>/)|(?P<tick>`)"
@@ -323,6 +323,8 @@ class JavaScriptLexer(Lexer):
                 if kind == self.THEAD:
                     braces.append("t")
                 value = kind == self.TSTRING
+            elif what == "slash" and text.startswith("*", pos):
+                kind = self.open
             elif what == "slash":
                 r = None if value else self._regex.match(text, start)
                 if r:
@@ -377,7 +379,7 @@ class JavaScriptLexer(Lexer):
 
 class CLexer(Lexer):
     _token = re.compile(
-        r"(?P<ws>(?:[ \t\v\f\r\n]|\\\r?\n)+)|(?P<com>//(?:[^\\\n]|\\\r?\n|\\.)*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)"
+        r"(?P<ws>(?:[ \t\v\f\r\n]|\\\r?\n)+)|(?P<com>//(?:[^\\\n]|\\\r?\n|\\.)*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)"
         r"|(?P<str>(?:u8|[uUL])?(?:R\"(?P<mark>[^()\\\s]{0,16})\([\s\S]*?\)(?P=mark)\"|\"(?:[^\"\\\n]|\\(?:\r?\n|.))*\"))|(?P<chr>(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+')|(?P<name>(?:[^\W\d]|\$)[\w$]*)"
         r"|(?P<num>\.?\d(?:[eEpP][+-]|'(?=[\da-fA-F])|[\w.])*)|(?P<op>->\*|<<=|>>=|\.\.\.|<=>|\.\*|::|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^~!<>=?:;,.(){}\[\]])"
     )
@@ -455,6 +457,8 @@ class CLexer(Lexer):
             s = m[0]
             if what == "name":
                 kind = words.get(s, NAME)
+            elif what == "op" and s == "/" and text.startswith("*", pos):
+                kind = self.open
             elif what == "op":
                 kind = words.get(s)
                 if kind is None:
@@ -482,7 +486,7 @@ class CLexer(Lexer):
                 kind = self.STRING
             kinds.append(kind)
             at.append(start)
-            if kind == self.bad:
+            if kind in (self.bad, self.open):
                 return kinds, at
         if taken:
             kinds.append(self.bad)

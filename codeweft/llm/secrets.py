@@ -70,18 +70,18 @@ _FORMS = re.compile(
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,;()])*[A-Za-z0-9+/=]{16,})*")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"`<>{}]*:(?P<v>[^\s@/'\"`]{3,})@")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:/@'\"`<>{}]*:(?P<v>[^\s@/'\"`]{3,})@")
 _HEADER = re.compile(r"(?i)\b(?P<scheme>bearer|basic|token|apikey|digest)[ \t]+(?P<v>[A-Za-z0-9+/=._~-]{12,})")
 _USER = re.compile(r"(?:^|\s)(?:-u|--user|--proxy-user)[ =]['\"]?[^\s:'\"]+:(?P<v>[^\s'\"\\]{4,})")
 _FLAG = re.compile(
     r"(?:^|[\s'\"`\[(,{])(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth-?token|access-?token|passphrase|key)|-p|-P|-w)(?:\s+|=|['\"]\s*,\s*['\"])['\"]?(?P<v>[^\s'\"`,\\)\]]{6,})"
 )
-_IDENT = r"(?P<n>[^\W\d][\w]*(?:[-.][A-Za-z]\w*)*)"
+_IDENT = r"(?P<n>[^\W\d]\w*+(?:[-.][A-Za-z]\w*+)*+)"
 _ASSIGN = re.compile(
-    _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]{1,400})"""
+    r"(?:(?<![\w\\.-])|(?<=\\[nrt]))" + _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]{1,400})"""
 )
 _DEFINE = re.compile(r"#[ \t]*define[ \t]+(?P<n>\w+)[ \t]+\(?[ \t]*[LuU]?\"(?P<v>[^\"\n]{1,400})\"")
-_BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*)\s{0,2}[=:]\s{0,2}(?P<v>(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6,200})")
+_BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*+)\s{0,2}[=:]\s{0,2}(?P<v>(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6,200})")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|--|<!--)\s*(.*)$|^\s*[*;]\s(.*)$")
@@ -293,24 +293,30 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
             odd = re.search(r"\w\(|^\w+\.\w+(?:\.|\[|$)|->|::|^&|\)$|\w+\[", v)
             if looks_secret(v) and not odd and before != "?" and any(c.isdigit() or c in "!@#$%^&*+/=~" for c in v):
                 yield m.start("v"), m.start("v") + len(v), "bare"
+    end, note, told = -1, None, False
     for m in _SAID.finditer(text):  # a comment that says what a literal near it is, or holds the value itself
-        a, b = _line(text, m.start())
-        line = text[a:b]
-        note = _COMMENT.search(line)
+        if m.start() >= end:  # a new line
+            a, end = _line(text, m.start())
+            line, told = text[a:end], False
+            note = _COMMENT.search(line)
+            alone = bool(note) and not line[: note.start()].strip()
         if not note or note.start() > m.start() - a:
             continue
-        own = _AFTER.match(text[m.end() : b])
+        own = _AFTER.match(text, m.end(), end)
         if own and looks_secret(own["v"].rstrip(".)")):
-            yield m.end() + own.start("v"), m.end() + own.end("v"), "comment"
+            yield *own.span("v"), "comment"
             continue
-        if not line[: note.start()].strip():
-            a, b = _line(text, min(b + 1, len(text)))
-            line, note = text[a:b], None
-        code = line[: note.start()] if note else line
+        if told:
+            continue
+        told = True
+        at, code = a, line[: note.start()]
+        if alone:
+            at, stop = _line(text, min(end + 1, len(text)))
+            code = text[at:stop]
         for lit in _LITERAL.finditer(code):
             v = lit[lit.lastindex]
             if looks_secret(v) and (any(c.isdigit() for c in v) or re.search(r"[^\w\s.-]", v)):
-                yield a + lit.start(lit.lastindex), a + lit.end(lit.lastindex), "said"
+                yield at + lit.start(lit.lastindex), at + lit.end(lit.lastindex), "said"
 
 
 _PIECES = re.compile(r"[\"'`]\s*(?:\+|\\|\.|,)?\s*[\"'`](?P<v>[A-Za-z0-9+/=_!@#$%^&*~.-]{6,})(?=[\"'`])")
