@@ -7,7 +7,7 @@ placeholder of the same length, boundaries are found by terminator patterns of t
 turned back. Lengths never change, so positions are sums of lengths.
 
 An abbreviation that can close a sentence (etc., p.m., и т. д.) closes it where the next word doesn't begin in lower
-case; identifiers such as `readUser` or `a/b.c` count as beginnings. Quotations are followed for QUOTE characters. An
+case; identifiers such as `readUser` or `a/b.c` count as beginnings. Quotations between straight marks are followed for QUOTE characters. An
 open fence runs to the end of the text. Null, empty and blank texts have no units. Private-use characters of the
 placeholder block that a text holds itself are read as any other symbol.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUOTE = 600
+QUOTE = 600  # longest quotation between marks that do not tell opening from closing
 CUT = "\U000F0000"  # a boundary
 # terminator -> placeholder
 _TERMINATORS = ".!?。！？।؟"
@@ -64,32 +64,53 @@ def _placeholder(c: str) -> str:
     return _MASKS[_TERMINATORS.index(c)]
 
 
-def _masked(p: Column) -> Column:
+# What asks for more than the rules of Latin, Cyrillic and the like without quotations.
+_RICH = rf"[{_IN}{_OUT}\"’‘।؟。！？｡॥۔\x{{0E00}}-\x{{0E7F}}]"
+
+
+def _masked(p: Column, rich: bool) -> Column:
     """A paragraph with placeholders for terminators that end no sentence."""
     dot = _placeholder(".")
-    p = F.regexp_replace(p, rf"„([^„“”]{{0,{QUOTE}}})“", f"„$1{_DE}")
-    p = F.regexp_replace(p, rf"(?<![\p{{L}}\p{{N}}_{{\[,:\\])\"(?=\S)([^\"]{{1,{QUOTE}}})(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
+    if rich:
+        p = _quotes(p)
     # each pattern begins at a dot, which is rare, and looks back from there
     p = F.regexp_replace(p, r"\.(?=\s{1,3}(?:B|h|a|d|R|ex|ej|e|е|к|д|п|UU)\.)(?<=(?<![\p{L}\p{N}])(?:z|d|u|i|p|т|EE)\.)", dot)
     p = F.regexp_replace(p, rf"\.(?=\s)(?<=(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{_esc(_SPACED)}|{_esc(_NEVER)})\.|\([sv]\.)", dot)
     p = F.regexp_replace(p, rf"\.(?=\s{{1,3}}[#§]?\p{{N}})(?<=(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{_esc(_NUMBERED)})\.)", dot)
     p = F.regexp_replace(p, r"\.(?=\s{1,3}\p{Lu}[\p{Ll}'’.])(?<=(?<![\p{L}\p{N}.'’-])(?:\p{Lu}|Th|Ch)\.)", dot)
     p = F.regexp_replace(p, rf"\.(?=\s{{1,3}}(?:{_MONTHS})\b)(?<=(?<![\p{{L}}\p{{N}}.,])\d{{1,2}}\.)", dot)
-    for c in _TERMINATORS:
-        follows = r"(?=\s)" if c in ".!?؟।" else ""
-        p = F.regexp_replace(p, rf"[{c}]{follows}(?![\s.!?]*[{_OUT}])(?=[^{_IN}{_OUT}]{{1,{QUOTE}}}[{_OUT}])", _placeholder(c))
+    return _inside(p) if rich else p
+
+
+def _quotes(p: Column) -> Column:
+    """German closing quotes and straight ones told apart from opening ones."""
+    p = F.regexp_replace(p, rf"„([^„“”]{{0,{QUOTE}}})“", f"„$1{_DE}")
+    p = F.regexp_replace(p, rf"(?<![\p{{L}}\p{{N}}_{{\[,:\\])\"(?=\S)([^\"]{{1,{QUOTE}}})(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
     return p
 
 
-def _parted(p: Column) -> Column:
+def _inside(p: Column) -> Column:
+    """Placeholders for terminators within quotations, those before the closing quote excepted."""
+    quoted = rf"^[{_IN}][^{_IN}{_OUT}]*[{_OUT}]$"
+
+    def mask(q: Column) -> Column:
+        tail = F.regexp_extract(q, rf"([\s{_TERMINATORS}…]*[{_OUT}])$", 1)
+        return F.concat(F.translate(q.substr(F.lit(1), F.length(q) - F.length(tail)), _TERMINATORS, _MASKS), tail)
+
+    parts = F.split(p, rf"(?=[{_IN}])|(?<=[{_OUT}])")
+    return F.array_join(F.transform(parts, lambda q: F.when(q.rlike(quoted), mask(q)).otherwise(q)), "")
+
+
+def _parted(p: Column, rich: bool) -> Column:
     """A paragraph with CUT at the ends of its sentences, placeholders turned back."""
-    p = _masked(p)
+    p = _masked(p, rich)
     p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+[)\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
-    # after a closing quote, a letter without case tells nothing: most often the sentence that holds the quote goes on
-    p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+(?:[\x{{A0}}\x{{202F}} ]?[»›]|[{_CLOSERS}\"'])+)(?={_BLANK}+{_STARTS})(?!{_BLANK}+\p{{Lo}})(?<=[^)\]）])", f"$1{CUT}")
-    p = F.regexp_replace(p, rf"([。！？｡]+[{_CLOSERS}]*)(?={_BLANK})", f"$1{CUT}")
-    p = F.regexp_replace(p, rf"([。！？｡]+)(?![。！？｡{_CLOSERS}\s{CUT}])", f"$1{CUT}")
-    p = F.regexp_replace(p, r"(?<=[\x{0E00}-\x{0E7F}])(?=\s+[\x{0E00}-\x{0E7F}])", CUT)
+    if rich:
+        # after a closing quote, a letter without case tells nothing: most often the sentence that holds the quote goes on
+        p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+(?:[\x{{A0}}\x{{202F}} ]?[»›]|[{_CLOSERS}\"'])+)(?={_BLANK}+{_STARTS})(?!{_BLANK}+\p{{Lo}})(?<=[^)\]）])", f"$1{CUT}")
+        p = F.regexp_replace(p, rf"([。！？｡]+[{_CLOSERS}]*)(?={_BLANK})", f"$1{CUT}")
+        p = F.regexp_replace(p, rf"([。！？｡]+)(?![。！？｡{_CLOSERS}\s{CUT}])", f"$1{CUT}")
+        p = F.regexp_replace(p, r"(?<=[\x{0E00}-\x{0E7F}])(?=\s+[\x{0E00}-\x{0E7F}])", CUT)
     return F.translate(p, _MASKS + _OPEN + _CLOSE + _DE, _TERMINATORS + '""“')
 
 
@@ -100,7 +121,7 @@ def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = src.select("k", F.monotonically_increasing_id().alias("row"), F.translate("t", own, "�" * len(own)).alias("t"))
     blocks = rows.select("k", "row", F.posexplode(F.split(F.regexp_replace("t", _BLOCKS, f"{CUT}$1$3$4{CUT}$5"), CUT)).alias("b", "block"))
     whole = F.col("block").rlike(rf"^(?:[ \t]{{0,3}}(?:`{{3}}|~{{3}}|#{{1,6}}(?:\s|$)))|^{_ITEM}[^\n]*\r?$")
-    parts = F.when(whole, F.array("block")).otherwise(F.split(_parted(F.col("block")), CUT))
+    parts = F.when(whole, F.array("block")).otherwise(F.split(F.when(F.col("block").rlike(_RICH), _parted(F.col("block"), True)).otherwise(_parted(F.col("block"), False)), CUT))
     pieces = blocks.where("block <> ''").select("k", "row", "b", F.posexplode(parts).alias("p", "piece"))
     kept = F.rtrim(F.col("piece"), F.lit(_SPACES))
     w = Window.partitionBy("row").orderBy("b", "p")
