@@ -7,7 +7,8 @@ placeholders, references to the environment or a vault, digests, ids and plain w
 
 Literals are then decoded, layer by layer: escapes, percent, hex and base64. What a layer yields is scanned the same
 way, and bytes are read as key containers by their binary grammar (DER private keys, OpenSSH and JSON key files). A find
-in any layer marks the whole enclosing literal of the outermost text. Layers are followed to MAX_LAYERS.
+in any layer marks the whole enclosing literal of the outermost text. Layers are followed until nothing decodes; each is
+shorter than the one before. Values have no greatest length.
 
 Redaction puts MARK in place of each value and leaves every other character, so code keeps its quotes, escapes and line
 breaks (a redacted private key keeps its lines). Null and empty texts have no places and stay as they are.
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LAYERS = 4
 MARK = "REDACTED"
 CACHE_TEXTS = 2_000
 
@@ -53,7 +53,7 @@ _HINTS = (
 )
 _PLACE = re.compile(
     r"(?ix)^(?: x{4,} | \*{3,} | \.{3,} | -{3,} | (?:change|replace|insert|fill|put|add|set|enter|use|type)[-_ ]?(?:me|this|your|it|here|in|the|a)?.* | your[-_ ].* | my[-_ ]?(?:pass|secret|token).*"
-    r"| <.*> | .*\$\{.*\}.* | \$\(.*\) | \$\w+ | \{\{.*\}\} | \{\w*\} | %\(?\w+\)?s? | example.* | dummy.* | sample.* | placeholder.* | todo.* | none | null | nil | undefined | redacted.* | test(?:ing)?\d* | secret | password\d{0,3}"
+    r"| <.*> | [^$\n]*+(?:\$(?!\{)[^$\n]*+)*+\$\{.*\}.* | \$\(.*\) | \$\w+ | \{\{.*\}\} | \{\w*\} | %\(?\w+\)?s? | example.* | dummy.* | sample.* | placeholder.* | todo.* | none | null | nil | undefined | redacted.* | test(?:ing)?\d* | secret | password\d{0,3}"
     r"| passw?d? | token | admin | root | user | guest | foo\w* | bar | baz | env[:.].* | (?:vault|kms|ssm|secrets?|arn|op|keyring|sops|gcp|aws)[:/].* | projects/.* | (?:os|process)\.env.* | .*getenv.* | sha(?:1|224|256|384|512)-.* | \{(?:ssha|sha|crypt)\}.* )$"
 )
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
@@ -78,17 +78,19 @@ _FLAG = re.compile(
 )
 _IDENT = r"(?P<n>[^\W\d]\w*+(?:[-.][A-Za-z]\w*+)*+)"
 _ASSIGN = re.compile(
-    r"(?:(?<![\w\\.-])|(?<=\\[nrt]))" + _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]{1,400})"""
+    r"(?:(?<![\w\\.-])|(?<=\\[nrt]))" + _IDENT + r"""(?:\[[^\]\n]*\])?\\?["']?\s{0,3}(?::\s*[\w.\[\], |<>*&]{1,30}?\s*=(?!=)|:=|===?|!==?|=>|=|:|,)\s{0,3}\\?(?P<pre>[({\[]{0,2}\s{0,3}(?:[rbfuLR]|u8)?)(?P<q>"{3}|'{3}|"|'|`)(?P<v>[^"'`\n]+)"""
 )
-_DEFINE = re.compile(r"#[ \t]*define[ \t]+(?P<n>\w+)[ \t]+\(?[ \t]*[LuU]?\"(?P<v>[^\"\n]{1,400})\"")
-_BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*+)\s{0,2}[=:]\s{0,2}(?P<v>(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6,200})")
+_DEFINE = re.compile(r"#[ \t]*define[ \t]+(?P<n>\w+)[ \t]+\(?[ \t]*[LuU]?\"(?P<v>[^\"\n]+)\"")
+_BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*+)\s{0,2}[=:]\s{0,2}(?=(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6})")
+_WORD = re.compile(r"(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt]))++")
+_SECOND = re.compile(r"[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,})[\"'`]\s*[)\]}]")  # the second literal of a pair
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|--|<!--)\s*(.*)$|^\s*[*;]\s(.*)$")
 _AFTER = re.compile(r"\s*(?:[:=]|is|ist|est|es|é|는|は|为|是)\s*['\"`]?(?P<v>[^\s'\"`,;]{6,})")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 _ESCAPED = re.compile(r"(?:\\\\?x[0-9a-fA-F]{2}){8,}|(?:\\\\?u[0-9a-fA-F]{4}){6,}|(?:\\[0-7]{3}){8,}")
-_PERCENT = re.compile(r"[^\s%'\"]{0,40}(?:%[0-9A-Fa-f]{2}[^\s%'\"]{0,40}){3,}")
+_PERCENT = re.compile(r"(?<![^\s%'\"])[^\s%'\"]*+(?:%[0-9A-Fa-f]{2}[^\s%'\"]*+){3,}")
 
 
 def _words(name: str) -> list[str]:
@@ -104,7 +106,7 @@ def names_credential(name: str) -> bool:
 
 def looks_secret(v: str, low: int = 8) -> bool:
     """Whether a named value looks like a chosen or drawn credential rather than a word, a reference or a placeholder."""
-    if len(v) < low or len(v) > 4096 or _PLACE.match(v) or _UUID.match(v) or _PUBLIC.match(v) or " " in v.strip():
+    if len(v) < low or _PLACE.match(v) or _UUID.match(v) or _PUBLIC.match(v) or " " in v.strip():
         return False
     if len(set(v)) < 5:
         return False
@@ -115,7 +117,7 @@ def looks_secret(v: str, low: int = 8) -> bool:
     if re.fullmatch(r"https?://\S+|[\w./-]+\.(?:js|py|c|h|cpp|json|ya?ml|pem|txt|key|env|conf)", v):
         return False
     mixed = any(c.islower() for c in v) and any(c.isupper() for c in v)
-    return letters and (digits or other or (mixed and not re.fullmatch(r"(?:[A-Z]?[a-z]+){1,6}|[a-z]+(?:[A-Z][a-z]+)+", v)) or (mixed and len(v) >= 16 and sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:], strict=False)) > len(v) * 0.45))
+    return letters and (digits or other or (mixed and not re.fullmatch(r"(?:[A-Z]?[a-z]++){1,6}|[a-z]+(?:[A-Z][a-z]+)+", v)) or (mixed and len(v) >= 16 and sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:], strict=False)) > len(v) * 0.45))
 
 
 def _basic(v: str) -> bool:
@@ -228,24 +230,36 @@ def _runs(text: str) -> Iterator[re.Match]:
         yield from _PERCENT.finditer(text)
 
 
-def _scan(text: str, depth: int) -> list[tuple[int, int, str]]:
-    found: list[tuple[int, int, str]] = []
+def _plain(text: str) -> Iterator[tuple[int, int, str]]:
+    """Finds of a text as it stands."""
     if "PRIVATE KEY" in text:
         for m in _BLOCK.finditer(text):
             end = _BLOCK_END.search(text, m.end())
             nxt = _BLOCK.search(text, m.end())
             stop = end.end() if end and not (nxt and nxt.start() < end.start()) else _BODY.match(text, m.end()).end()  # its end may be cut off
             if len(re.findall(r"[A-Za-z0-9+/=]{16,}", text[m.end() : stop])):
-                found.append((m.start(), stop, "private_key"))
-    if depth < MAX_LAYERS:
-        for m in _runs(text):
-            for raw in layers(m[0]):
-                inner = _text(raw)
-                if is_key_container(raw) or (inner and len(inner) >= 8 and inner != m[0] and _scan(inner, depth + 1)):
-                    found.append((m.start(), m.end(), "encoded"))
+                yield m.start(), stop, "private_key"
     for a, b in _near(text):
-        found += [(a + x, a + y, kind) for x, y, kind in _lines(text[a:b])]
-    return found
+        yield from ((a + x, a + y, kind) for x, y, kind in _lines(text[a:b]))
+
+
+def _holds(run: str) -> bool:
+    """Whether what a run of characters stands for, in whatever layer, holds a credential."""
+    rest = list(layers(run))
+    while rest:
+        raw = rest.pop()
+        if is_key_container(raw):
+            return True
+        inner = _text(raw)
+        if inner and len(inner) >= 8:
+            if next(_plain(inner), None):
+                return True
+            rest += [x for m in _runs(inner) if m[0] != run for x in layers(m[0])]
+    return False
+
+
+def _scan(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "encoded") for m in _runs(text) if _holds(m[0])] + list(_plain(text))
 
 
 def _lines(text: str) -> Iterator[tuple[int, int, str]]:
@@ -270,9 +284,11 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
         v = m["v"]
         if looks_secret(v, 6) and any(c.isalpha() for c in v) and any(c.isdigit() or not c.isalnum() for c in v):
             yield *m.span("v"), "flag"
-    for m in _ASSIGN.finditer(text):
-        name, v = m["n"], m["v"]
+    at = 0
+    while m := _ASSIGN.search(text, at):  # the value of a name of something else is searched: another name may stand in it
+        name, v, at = m["n"], m["v"], m.start("v")
         if names_credential(name):
+            at = m.end()
             comma = text[m.end("n") : m.start("v")].strip("\\\"' ({[`")[:1] == ","
             if comma and not m["pre"].strip() and text[m.end("n") : m.end("n") + 1] not in ("'", '"'):
                 continue
@@ -280,19 +296,23 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
             if looks_secret(v):
                 yield m.start("v"), m.start("v") + len(v), "named"
         elif m["pre"].strip() and _AUTH & set(_words(name)[:2]):
-            close = re.match(r"[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,100})[\"'`]\s*[)\]}]", text[m.end("v") : m.end("v") + 140])
+            close = _SECOND.match(text, m.end("v"))
             if close and looks_secret(close[1]):
-                yield m.end("v") + close.start(1), m.end("v") + close.end(1), "pair"
+                yield *close.span(1), "pair"
     for m in _DEFINE.finditer(text):
         if names_credential(m["n"]) and looks_secret(m["v"]):
             yield *m.span("v"), "named"
-    for m in _BARE.finditer(text):
+    at = 0
+    while m := _BARE.search(text, at):
+        at = m.end()
         if names_credential(m["n"].split(".")[-1]):
-            v = m["v"].split("\\n")[0].split("\\r")[0].rstrip("\\")
+            v = _WORD.match(text, at)[0]
+            at += len(v)
+            v = v.split("\\n")[0].split("\\r")[0].rstrip("\\")
             before = text[max(0, m.start() - 1) : m.start()]
             odd = re.search(r"\w\(|^\w+\.\w+(?:\.|\[|$)|->|::|^&|\)$|\w+\[", v)
             if looks_secret(v) and not odd and before != "?" and any(c.isdigit() or c in "!@#$%^&*+/=~" for c in v):
-                yield m.start("v"), m.start("v") + len(v), "bare"
+                yield m.end(), m.end() + len(v), "bare"
     end, note, told = -1, None, False
     for m in _SAID.finditer(text):  # a comment that says what a literal near it is, or holds the value itself
         if m.start() >= end:  # a new line
@@ -326,7 +346,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, kind) of the credential values of a text, in order."""
     if not text:
         return []
-    got = sorted(_scan(text, 0), key=lambda x: (x[0], -x[1]))
+    got = sorted(_scan(text), key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in got:
         if out and a < out[-1][1]:

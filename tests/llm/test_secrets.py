@@ -44,6 +44,31 @@ def test_clean(line):
     assert S.find(f"a\n{line}\nb") == [] and S.redact(line) == line
 
 
+LONG = "".join(base64.b64encode(bytes([i, 255 - i, 7 * i % 256])).decode() for i in range(1, 250)).replace("/", "x").replace("+", "y")
+
+
+@pytest.mark.parametrize("line", ['session_token = "{}"', "REFRESH_TOKEN={}", '#define API_TOKEN "{}"', 'static const char *login_x[] = {{"svc", "{}"}};'])
+@pytest.mark.parametrize("value", [LONG, LONG * 6])
+def test_long_values_go_whole(line, value):
+    text = "first()\n" + line.format(value) + "\nlast()\n"
+    assert S.line_numbers(text) == [2] and S.redact(text) == "first()\n" + line.format(S.MARK) + "\nlast()\n"
+
+
+def test_name_within_a_long_value():
+    text = 'page = "' + "<p>" * 300 + "password='Kq8#vT2m9x'\"\n"
+    assert "Kq8#" not in S.redact(text) and "Kq8#" not in S.redact("a=" + "b:" * 300 + "password=Kq8#vT2m9x\n")
+
+
+def test_layers_are_followed_to_the_last():
+    v = "x " + TOKEN
+    for n in range(1, 13):
+        v = base64.b64encode(v.encode()).decode() if n % 2 else v.encode().hex()
+        assert S.line_numbers(f'a = 1\nblob = "{v}"\n') == [2], n
+        assert S.redact(f'blob = "{v}"\n') == f'blob = "{S.MARK}"\n'
+    far = "".join(f"%{b:02X}" for b in ("k=" + TOKEN).encode()) + "z" * 90
+    assert S.redact(f'q = "{far}"') == f'q = "{S.MARK}"'
+
+
 def test_private_key_block():
     assert S.line_numbers(PEM) == [2]
     out = S.redact(PEM)
