@@ -45,12 +45,18 @@ _SAID = re.compile(
     r"(?i)pass ?words?\b|pass(?:wort|wd|phrase|code)\b|kennwort|contrase[nñ]a|mot de passe|\bsenha\b|пароль|密码|密碼|パスワード|비밀번호|كلمة المرور|पासवर्ड|รหัสผ่าน"
     r"|(?:signing|hmac|api|secret|private|encryption|access|shared|session|master|aes|symmetric) ?(?:key|secret|token)s?\b|\bcredentials?\b"
 )
-# What a line holds, in lower case, if a find can begin in it; other lines need no closer look. Fixed values.
-_HINTS = (
-    "pass", "pwd", "kennw", "contrase", "senha", "clave", "mdp", "парол", "密码", "密碼", "パスワ", "비밀번", "المرور", "पासवर्ड", "รหัส",
-    "secret", "token", "key", "credential", "auth", "login", "bearer ", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat",
-    "glpat", "xox", "npm_", "pypi-", "sk_live", "rk_live", "aiza", "eyj", "hook", "://", "-u ", "--user", "--proxy-user", "-p ", "-p'", '-p"', "-w ", "-w'", '-w"', "--p",
+# What a line holds, in lower case, if a find can begin in it; other lines need no closer look. Each pattern below is
+# implied: the names, pairs and _AUTH, what _SAID says, the forms, addresses, schemes of headers and flags.
+_SAYS = ("pass", "kennwort", "contrase", "senha", "парол", "密码", "密碼", "パスワ", "비밀번", "المرور", "पासवर्ड", "รหัส", "credential")
+_HINTS = tuple(
+    {*_SAYS, *_AUTH, *(b for _, b in _PAIRS), *(n for n in _NAMES if not any(s in n for s in _SAYS))}
+    | {"bearer", "basic", "digest", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat", "glpat", "xox", "npm_", "pypi-", "sk_live", "rk_live", "aiza", "eyj", "hook", "://", "--user", "--proxy-user"}
 )
+# Flags of one letter, and names in two words (p_wd).
+_FLAGGED = re.compile(r"-(?:u[ =]|[pw][\s='\"])")
+_PARTED = re.compile("|".join("[-_.]*".join(n) for n in sorted(_NAMES) if not any(m != n and m in n for m in _NAMES)))
+_SAME = str.maketrans("ſıİ", "sii")  # equal letters where case is ignored
+_BELOW = re.compile(r"(?:\n[^\w\n]*+(?=\n))*+(?:\n[^\n]*+)?")  # lines without a word, and one more
 _PLACE = re.compile(
     r"(?ix)^(?: x{4,} | \*{3,} | \.{3,} | -{3,} | (?:change|replace|insert|fill|put|add|set|enter|use|type)[-_ ]?(?:me|this|your|it|here|in|the|a)?.* | your[-_ ].* | my[-_ ]?(?:pass|secret|token).*"
     r"| <.*> | [^$\n]*+(?:\$(?!\{)[^$\n]*+)*+\$\{.*\}.* | \$\(.*\) | \$\w+ | \{\{.*\}\} | \{\w*\} | %\(?\w+\)?s? | example.* | dummy.* | sample.* | placeholder.* | todo.* | none | null | nil | undefined | redacted.* | test(?:ing)?\d* | secret | password\d{0,3}"
@@ -200,10 +206,12 @@ def _line(text: str, at: int) -> tuple[int, int]:
 
 
 def _near(text: str) -> list[tuple[int, int]]:
-    """Disjoint ranges of the lines with a hint, each with the line after it."""
+    """Disjoint ranges of the lines with a hint, each with the line after it (lines without a word are passed over)."""
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when lowered
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    if not low.isascii():
+        low = low.translate(_SAME)
     starts: set[int] = set()
     for hint in _HINTS:
         at = low.find(hint)
@@ -211,10 +219,11 @@ def _near(text: str) -> list[tuple[int, int]]:
             starts.add(low.rfind("\n", 0, at) + 1)
             at = low.find("\n", at)
             at = low.find(hint, at) if at >= 0 else -1
+    for pattern in (_FLAGGED, _PARTED):
+        starts.update(low.rfind("\n", 0, m.start()) + 1 for m in pattern.finditer(low))
     out: list[tuple[int, int]] = []
     for a in sorted(starts):
-        b = _line(text, a)[1]
-        b = _line(text, b + 1)[1] if b < len(text) else b
+        b = _BELOW.match(text, _line(text, a)[1]).end()
         if out and a <= out[-1][1] + 1:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:

@@ -69,6 +69,24 @@ def test_layers_are_followed_to_the_last():
     assert S.redact(f'q = "{far}"') == f'q = "{S.MARK}"'
 
 
+ALONE = [
+    *(f'{n} = "Kq8#vT2m9x"' for n in sorted(S._NAMES)), *(f'{a}_{b} = "Kq8#vT2m9x"' for a, b in sorted(S._PAIRS)), *(f'x = 1; {n} = ("svc", "Kq8#vT2m9x")' for n in sorted(S._AUTH - S._NAMES)),
+    'p_wd = "Kq8#vT2m9x"', 'Cla__ve = "Kq8#vT2m9x"', 'x = "Basic dW5pdDprM3Z2MXJ0bG52T3U="', 'x = "Digest lzJ4youSRZba8Ui6JdQCWrlpD1UkUfeq4Y0Ga1hX"', 'x = "Bearer\tlzJ4youSRZba8Ui6JdQCWrlpD1UkUfeq4Y0Ga1hX"',
+    *(f"run {f}{g}Kq8#vT2m9x" for f in ("-p", "-P", "-w", "--pass", "--secret") for g in (" ", "\t", "=")), "run -u=unit:Kq8#vT2m9x", "run -u unit:Kq8#vT2m9x", "run --user unit:Kq8#vT2m9x", 'run("-w", "Kq8#vT2m9x")', "x = 1  # mot de passe: Kq8#vT2m9x",
+    'x = 1  # 비밀번호: Kq8#vT2m9x', 'd = "mongodb://device:CCkzac3GQDKVKN@usage.example:7345/h"',
+]
+
+
+@pytest.mark.parametrize("line", ALONE)
+def test_found_alone_on_a_line(line):
+    text = f"first()\n\n{line}\n\nlast()\n"
+    assert S.line_numbers(text) == [3] and "Kq8#" not in S.redact(text)
+
+
+def test_value_lines_below_its_name():
+    assert S.line_numbers('x()\nwachtwoord\n  =\n"Kq8#vT2m9x"\n') == [4] and S.line_numbers("run -p\n\n\n  Kq8#vT2m9x\n") == [4]
+
+
 def test_private_key_block():
     assert S.line_numbers(PEM) == [2]
     out = S.redact(PEM)
