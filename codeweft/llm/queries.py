@@ -1,9 +1,10 @@
-"""Queries of problems 2 to 9."""
+"""Queries of problems 2 to 9, and patch_validate with the parsers of problem 4."""
 
 from pyspark.sql import functions as F
 
 from codeweft.core import load
 from codeweft.llm import neardup, packing, provenance, secrets, sentences, splitting, syntax, tokens
+from codeweft.plans import reference_queries
 
 CONTAINER = 2048
 
@@ -49,6 +50,11 @@ def p4_rates(spark, sf_dir):
     return syntax.rates(_checked(spark, sf_dir))
 
 
+def patch_validate(spark, sf_dir):
+    """In place of the one of the core, which only pairs brackets and quotes in JavaScript, C and C++."""
+    return reference_queries.patch_validate(spark, sf_dir, syntax.parses)
+
+
 def p5_found(spark, sf_dir):
     return neardup.found_pairs(*neardup.similar(_code(spark, sf_dir, "sample_id", "code")))
 
@@ -90,6 +96,7 @@ def p9_sentences(spark, sf_dir):
 QUERIES = {
     "p2_found": p2_found, "p2_files": p2_files, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
     "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sentences": p9_sentences,
+    "patch_validate": patch_validate,
 }
 
 _TRIPLES = """

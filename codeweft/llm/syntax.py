@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.functions.source_tokens import is_balanced
 from codeweft.llm import grammars as G
 from codeweft.llm.derivatives import Grammar, Parser
 from codeweft.llm.lexers import CLexer, JavaScriptLexer, PythonLexer
@@ -49,6 +50,11 @@ def check(text: str | None, language: str) -> tuple[str, int] | None:
     return ("cut off" if kinds[bad] == lexer.open else "token"), at[bad]
 
 
+def parses(text: str, language: str) -> bool:
+    """Whether a text is valid: Python by its own parser, the other languages by derivatives."""
+    return is_balanced(text, language) if language == "python" else check(text, language) is None
+
+
 def normal_language(c: Column) -> Column:
     """Lower case, trimmed, common aliases folded."""
     low = F.lower(F.trim(c))

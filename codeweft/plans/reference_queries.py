@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.core import load
 from codeweft.functions import text as T
+from codeweft.functions.source_tokens import is_balanced
 from codeweft.operators import analysis, evaluation, extraction, graph_build, graph_query, patching, results
 from codeweft.plans import tables as t
 from codeweft.sources import sinks
@@ -376,11 +377,11 @@ def patch_join(spark, d):
 
 
 @query()
-def patch_validate(spark, d):
-    """Every proposal applied to the function it was made for (no SQL; tested on fixtures)."""
+def patch_validate(spark, d, parses=is_balanced):
+    """Every proposal applied to the function it was made for (no SQL; tested on fixtures). `parses` judges what comes out."""
     fn = t.functions(spark, d, "code").groupBy("function_name", "file_path").agg(F.max_by(F.struct("code", "language"), "fn_ord").alias("f")).select("function_name", "file_path", "f.*")
     p = t.patches(spark, d).select("patch_id", "function_name", "file_path", "unified_diff").join(fn, ["function_name", "file_path"], "left")
-    return patching.validated(p).select("patch_id", "valid", "error", F.md5("patched_code").alias("patched_md5"))
+    return patching.validated(p, parses).select("patch_id", "valid", "error", F.md5("patched_code").alias("patched_md5"))
 
 
 @query("""SELECT run_id, count(*) AS total, count(*) FILTER (WHERE patch_valid) AS valid, count(*) FILTER (WHERE NOT coalesce(patch_valid, false)) AS invalid FROM (SELECT DISTINCT run_id, patch_id, patch_valid FROM patches) GROUP BY run_id""")
