@@ -67,9 +67,8 @@ def _fill(text: str, at: list[int], cost: list[float], gap: int) -> tuple[list[i
     for p, c in zip([*at, len(text)], [*cost, 0.0], strict=True):
         if p - prev > gap:
             spaces = [m.end() + prev for m in re.finditer(r"[ \t;,]", text[prev:p])]
-            mids = spaces if len(spaces) < 4096 else spaces[:: len(spaces) // 2048]
             last = prev
-            for s in [*mids, p]:
+            for s in [*spaces, p]:
                 while s - last > gap:
                     step = last + max(1, gap // 2)
                     while step < s - 1 and "̀" <= text[step] <= "ͯ" or text[step] == "\n" and text[step - 1] == "\r":

@@ -70,6 +70,15 @@ def test_best_of_all_cuts():
             assert abs(total(S.cuts(text, limit, overlap)) - best[0]) < 1e-9
 
 
+@pytest.mark.parametrize("dense", [5_000, 150_000])
+def test_every_blank_is_offered(dense):
+    """No cut within a word where blanks are dense in one part of a long line and sparse in another."""
+    text = "1 " * dense + "wordofsomelength " * 3_000
+    at, cost = S._fill(text, *S.boundaries(text), 950)
+    assert at == [i + 1 for i, c in enumerate(text[:-1]) if c == " "] and set(cost) == {S.PENALTY["space"]}
+    assert all(text[b - 1] == " " for _, b in S.pieces(text)) and joined(text, S.pieces(text), 200) == text
+
+
 def test_rows(spark):
     big = "".join(FUNC.format(i=i) for i in range(40))
     d = spark.createDataFrame([(1, "f", big, big + "#"), (1, "f", big, big + "#"), (2, "f", "short", big + "#"), (3, None, None, None), (4, "g", "", "a" * 4000), (None, "h", "z" * 5000, None)], "sample_id bigint, file_path string, code string, raw_content string").repartition(3)
