@@ -7,8 +7,8 @@ placeholder of the same length, boundaries are found by terminator patterns of t
 turned back. Lengths never change, so positions are sums of lengths.
 
 An abbreviation that can close a sentence (etc., p.m., и т. д.) closes it where the next word doesn't begin in lower
-case; identifiers such as `readUser` or `a/b.c` count as beginnings. Quotations between straight marks are followed for QUOTE characters. An
-open fence runs to the end of the text. Null, empty and blank texts have no units. Private-use characters of the
+case; identifiers such as `readUser` or `a/b.c` count as beginnings. An open
+fence runs to the end of the text. Null, empty and blank texts have no units. Private-use characters of the
 placeholder block that a text holds itself are read as any other symbol.
 """
 
@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUOTE = 600  # longest quotation between marks that do not tell opening from closing
 CUT = "\U000F0000"  # a boundary
 # terminator -> placeholder
 _TERMINATORS = ".!?。！？।؟"
 _MASKS = "".join(chr(0xF0010 + i) for i in range(len(_TERMINATORS)))
 _OPEN, _CLOSE, _DE = "\U000F0030", "\U000F0031", "\U000F0032"  # straight quote that opens, one that closes, German closing quote
+_NUMBERED_LINE = "\U000F0033"  # stands at the end of a line that begins with a number, while blocks are parted
 
 # Abbreviations, fixed values. Those that never end a sentence:
 _NEVER = (
@@ -46,7 +46,7 @@ _BLOCKS = (
     r"|(^[ \t]{0,3}#{1,6}(?:[ \t][^\n]*)?$)"
     r"|(^[ \t]{0,8}[-*•‣▪+][ \t]+[^\n]*$"
     # a numbered item comes first, after a blank line or after another one
-    rf"|^(?={_NUMBER})(?:(?<=\A)|(?<=\n[ \t]{{0,8}}\r?\n)|(?<=\n{_NUMBER}[^\n]{{0,800}}\n)|(?<=\A{_NUMBER}[^\n]{{0,800}}\n)){_NUMBER}[^\n]*$)"
+    rf"|^(?={_NUMBER})(?:(?<=\A)|(?<=\n[ \t]{{0,8}}\r?\n)|(?<={_NUMBERED_LINE}\n)){_NUMBER}[^\n]*$)"
     r"|(^[ \t]*\r?\n)"
 )
 _OPENERS = "“„«「『（(\\[‘¿¡‹" + _OPEN
@@ -84,8 +84,8 @@ def _masked(p: Column, rich: bool) -> Column:
 
 def _quotes(p: Column) -> Column:
     """German closing quotes and straight ones told apart from opening ones."""
-    p = F.regexp_replace(p, rf"„([^„“”]{{0,{QUOTE}}})“", f"„$1{_DE}")
-    p = F.regexp_replace(p, rf"(?<![\p{{L}}\p{{N}}_{{\[,:\\])\"(?=\S)([^\"]{{1,{QUOTE}}})(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
+    p = F.regexp_replace(p, rf"„([^„“”]*+)“", f"„$1{_DE}")
+    p = F.regexp_replace(p, rf"(?<![\p{{L}}\p{{N}}_{{\[,:\\])\"(?=\S)([^\"]++)(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
     return p
 
 
@@ -116,10 +116,12 @@ def _parted(p: Column, rich: bool) -> Column:
 
 def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_no bigint from 0, end_pos bigint, sentence) of every unit that is not blank."""
-    own = "".join(chr(c) for c in (0xF0000, 0xF0030, 0xF0031, 0xF0032)) + _MASKS
+    own = "".join(chr(c) for c in (0xF0000, 0xF0030, 0xF0031, 0xF0032, 0xF0033)) + _MASKS
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null and t <> ''")
     rows = src.select("k", F.monotonically_increasing_id().alias("row"), F.translate("t", own, "�" * len(own)).alias("t"))
-    blocks = rows.select("k", "row", F.posexplode(F.split(F.regexp_replace("t", _BLOCKS, f"{CUT}$1$3$4{CUT}$5"), CUT)).alias("b", "block"))
+    marked = F.regexp_replace("t", rf"((?:\A|(?<=\n)){_NUMBER}[^\n]*+)(?=\n)", f"$1{_NUMBERED_LINE}")
+    parted = F.translate(F.regexp_replace(marked, _BLOCKS, f"{CUT}$1$3$4{CUT}$5"), _NUMBERED_LINE, "")
+    blocks = rows.select("k", "row", F.posexplode(F.split(parted, CUT)).alias("b", "block"))
     whole = F.col("block").rlike(rf"^(?:[ \t]{{0,3}}(?:`{{3}}|~{{3}}|#{{1,6}}(?:\s|$)))|^{_ITEM}[^\n]*\r?$")
     parts = F.when(whole, F.array("block")).otherwise(F.split(F.when(F.col("block").rlike(_RICH), _parted(F.col("block"), True)).otherwise(_parted(F.col("block"), False)), CUT))
     pieces = blocks.where("block <> ''").select("k", "row", "b", F.posexplode(parts).alias("p", "piece"))

@@ -24,6 +24,9 @@ CASES = [
     ("- a. B c. D\n- e\n\n1. One. Two\n2. Three\n\nText\r\nmore.\r\n\r\n> Quoted. Text.", ["- a. B c. D", "- e", "1. One. Two", "2. Three", "Text\r\nmore.", "> Quoted.", "Text."]),
     ("Before.\n\n```python\nx = 1. Y\n\n# Z. W\n```\n\nAfter. End", ["Before.", "```python\nx = 1. Y\n\n# Z. W\n```", "After.", "End"]),
     ("```\nnever. Closed\n\nx", ["```\nnever. Closed\n\nx"]),
+    ('He wrote: "' + "No. Stop here. " * 60 + 'End." and left. Then he came.', ['He wrote: "' + "No. Stop here. " * 60 + 'End." and left.', "Then he came."]),
+    ("Sie sagte: „" + "Nein. Halt. " * 80 + "Gut.“ und ging. Dann kam er.", ["Sie sagte: „" + "Nein. Halt. " * 80 + "Gut.“ und ging.", "Dann kam er."]),
+    ("1. One" + " and more" * 120 + ". Yes\n2. Two. Three\nText", ["1. One" + " and more" * 120 + ". Yes", "2. Two. Three", "Text"]),
     ("", []), ("  \n\t\n ", []), (None, []),
 ]
 
