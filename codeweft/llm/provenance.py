@@ -8,8 +8,8 @@ and the locally most frequent ones that repeat are replaced everywhere at once).
   of accessors, tables and descriptors stand together; what people write repeats here and there;
 * blob: the share of the text in literals that no grammar shortens (their own Re-Pair over characters saves next to
   nothing), and the number of bare values that stand in one row;
-* notes: the comment lines at the head of the file as rules, with names, versions and hashes left open. Rules that files
-  of MIN_REPOS or more repositories share and that state an origin mark generated and copied-in files. A note that is met
+* notes: the comment lines at the head of the file (all up to the first code) and after its last code as rules, with
+  names, versions and hashes left open. Rules that files of MIN_REPOS or more repositories share and that state an origin mark generated and copied-in files. A note that is met
   in fewer repositories counts too where it states the origin in full.
 
 Identifiers of one or two letters on lines without end mark minified text (its sequence has hardly any line ends). A file
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from codeweft.core import cut
 
 LONG, OFTEN, FAMILY, GAP, BLOB, BLOB_CHARS, VALUES, LISTED, MIN_REPOS = 8, 4, 120, 4, 0.35, 300, 60, 1, 3
+HEAD_LINES = 24  # among which comments at the margin count as the head's although code came before
 BATCH_SYMBOLS = 1_500_000
 _TOKEN = re.compile(
     r"(?P<nl>\n)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<num>\d[\w.]*)|(?P<word>[A-Za-z][a-z]*|_+)|(?P<op>[^\s\w])|(?P<other>\w+)"
@@ -184,13 +185,28 @@ def blob_parts(text: str) -> tuple[list[tuple[int, str]], int]:
     return out, most
 
 
+_CODE_LIKE = ("#include", "#define", "#if", "#pragma", "#ifndef", "#endif", "#!")
+_GUARD = re.compile(r"#!|#\s*(?:ifndef|define|pragma)\b|['\"]use strict['\"]")
+
+
+def _is_note(line: str, s: str) -> bool:
+    return s.startswith(("//", "#", "--", "<!--", "*")) and not s.startswith(_CODE_LIKE) and line[:1] not in " \t"
+
+
 def head_notes(text: str) -> list[str]:
-    """Comment lines before the first code (after it, those that stand at the margin among the first lines)."""
-    out, inside = [], ""
-    for line in text[:6000].replace("\r", "").split("\n")[:24]:
+    """Comment lines before the first code, however many (after it, those that stand at the margin among the first lines)."""
+    out, inside, code, at, no = [], "", False, 0, 0
+    while at <= len(text) and (no < HEAD_LINES or not code or inside):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end].replace("\r", "")
+        at, no = end + 1, no + 1
         s = line.strip()
         if inside:
-            out.append(s)
+            if not code or no <= HEAD_LINES:
+                out.append(s)
+            elif no > HEAD_LINES:
+                break
             if inside in s:
                 inside = ""
         elif s.startswith("/*"):
@@ -200,8 +216,31 @@ def head_notes(text: str) -> list[str]:
             inside = "" if len(s) > 5 and s.endswith(s[:3]) else s[:3]
             if line[:1] in "\"'":
                 out.append(s)
-        elif s.startswith(("//", "#", "--", "<!--", "*")) and not s.startswith(("#include", "#define", "#if", "#pragma", "#ifndef", "#!")) and line[:1] not in " \t":
+        elif _is_note(line, s):
             out.append(s)
+        elif s and not _GUARD.match(s):
+            code = True
+    return out
+
+
+def tail_notes(text: str) -> list[str]:
+    """Comment lines after the last code."""
+    out, end = [], len(text.rstrip())
+    while end > 0:
+        at = text.rfind("\n", 0, end) + 1
+        line = text[at:end].replace("\r", "")
+        s = line.strip()
+        if s.endswith("*/"):
+            at = text.rfind("/*", 0, end)
+            if at < 0 or text[text.rfind("\n", 0, at) + 1 : at].strip():
+                break
+            out += [x.strip() for x in text[at:end].split("\n")]
+            at = text.rfind("\n", 0, at) + 1
+        elif s and _is_note(line, s):
+            out.append(s)
+        elif s:
+            break
+        end = at - 1
     return out
 
 
@@ -221,7 +260,7 @@ _SCHEMA = "file_path string, repo string, n_symbols bigint, n_chars bigint, fami
 
 def _judge_notes(text: str) -> list[dict]:
     out = []
-    for note in head_notes(text):
+    for note in dict.fromkeys(head_notes(text) + tail_notes(text)):
         denied = bool(_DENIED.search(note))
         kind = None if denied else "generated" if _GENERATED.search(note) else "copied" if _COPIED.search(note) else None
         if kind:

@@ -75,5 +75,17 @@ def test_kinds(verdict):
     assert found == {p for p, r in by.items() if not r.hand_written}
 
 
+LICENSE = "".join(f"// Clause {i}: redistribution is permitted, conditions {i} apply.\n" for i in range(180))
+
+
+@pytest.mark.parametrize("note", ["Code generated by protoc-x v1.2.3. DO NOT EDIT.", "Vendored from https://x.example/src at revision 72441ba082e2."])
+def test_notes_below_a_long_licence_and_at_the_foot(note):
+    body = "#include <a.h>\n" + hand(60)
+    block = "/*\n" + LICENSE.replace("// ", " * ") + " */\n"
+    for text in (LICENSE + f"// {note}\n" + body, block + f"/* {note} */\n" + body, body + f"\n// {note}\n\n", body + f"/*\n * x\n * {note}\n */\n", body + f"# {note}\r\n"):
+        assert len(P._judge_notes(text)) == 1
+    assert not P._judge_notes(body + f"    # {note}\n" + body) and not P._judge_notes(LICENSE + body)
+
+
 def test_empty(spark):
     assert P.found(spark.createDataFrame([], "file_path string, repo string, raw_content string")).count() == 0
