@@ -33,7 +33,7 @@ from codeweft.core import cut
 
 LONG, OFTEN, FAMILY, GAP, BLOB, BLOB_CHARS, VALUES, LISTED, MIN_REPOS = 8, 4, 120, 4, 0.35, 300, 60, 1, 3
 HEAD_LINES = 24  # among which comments at the margin count as the head's although code came before
-BATCH_SYMBOLS = 1_500_000
+BATCH_SYMBOLS, BLOCK_CHARS = 1_500_000, 1 << 20
 _TOKEN = re.compile(
     r"(?P<nl>\n)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<num>\d[\w.]*)|(?P<word>[A-Za-z][a-z]*|_+)|(?P<op>[^\s\w])|(?P<other>\w+)"
 )
@@ -88,21 +88,22 @@ class Sequences:
         return out
 
 
-def repair(seqs: list[np.ndarray], rounds: int = 14, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(seqs: list[np.ndarray], least: int = 2, spans: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair grammars of several sequences, each with its own counts.
 
     Returns (owner, symbol, length) of what is left of the sequences, `length` being the number of first symbols under one,
     and the number of rules of each sequence.
-    A round replaces every pair that repeats in its sequence and is nowhere beside a more frequent one.
+    A round replaces every pair that repeats in its sequence and is nowhere beside a more frequent one; where that leaves
+    none, the most frequent one. Sequences in which no pair repeats are finished and leave the rounds. Every place of a rule
+    of LONG or more first symbols is added to `spans` as (begin among all first symbols, length, places of the rule).
     """
     owner = np.repeat(np.arange(len(seqs), dtype=np.int64), [len(s) for s in seqs])
     sym = np.concatenate(seqs).astype(np.int64) if seqs else np.zeros(0, dtype=np.int64)
-    length = np.ones(len(sym), dtype=np.int64)
+    length, start = np.ones(len(sym), dtype=np.int64), np.arange(len(sym))
     rules = np.zeros(len(seqs), dtype=np.int64)
     fresh = int(sym.max()) + 1 if len(sym) else 1
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    done = []
+    while len(sym) > 1:
         same = owner[1:] == owner[:-1]
         with np.errstate(over="ignore"):
             key = (sym[:-1] * np.int64(-7046029254386353131)) ^ (sym[1:] * np.int64(-4417276706812531889) + (owner[1:] << np.int64(20)))
@@ -117,56 +118,93 @@ def repair(seqs: list[np.ndarray], rounds: int = 14, least: int = 2) -> tuple[np
         pick = (c >= least) & (c > before) & (c >= after)
         pick[1:] &= ~pick[:-1]
         at = np.flatnonzero(pick)
+        used = np.bincount(inverse[at], minlength=len(counts))
+        at = at[used[inverse[at]] >= least]
+        busy = np.zeros(len(seqs), dtype=bool)
+        busy[owner[at]] = True
+        usable = np.flatnonzero(c >= least)
+        usable = usable[~busy[owner[usable]]]
+        if len(usable):
+            rank = np.bincount(inverse[usable], minlength=len(counts))[inverse[usable]] * np.int64(len(counts)) + inverse[usable]
+            best = np.full(len(seqs), np.int64(least) * len(counts))
+            np.maximum.at(best, owner[usable], rank)
+            more = usable[rank == best[owner[usable]]]
+            more = more[np.bincount(inverse[more], minlength=len(counts))[inverse[more]] >= least]
+            at = np.sort(np.r_[at, more])
+            busy[owner[more]] = True
         if not len(at):
             break
         _, made, used = np.unique(inverse[at], return_inverse=True, return_counts=True)
-        keep = used[made] >= least
-        at, made = at[keep], made[keep]
-        if not len(at):
-            break
         sym[at] = fresh + made
         rules += np.bincount(owner[at[np.unique(made, return_index=True)[1]]], minlength=len(seqs))
         length[at] += length[at + 1]
+        if spans is not None:
+            big = length[at] >= LONG
+            spans.append((start[at[big]], length[at[big]], used[made[big]]))
         fresh += int(made.max()) + 1
         left = np.ones(len(sym), dtype=bool)
         left[at + 1] = False
-        sym, length, owner = sym[left], length[left], owner[left]
+        live = left & busy[owner]
+        if not busy[owner[left]].all():
+            over = left & ~busy[owner]
+            done.append((owner[over], sym[over], length[over]))
+        sym, length, owner, start = sym[live], length[live], owner[live], start[live]
+    if done:
+        owner, sym, length = (np.concatenate(x) for x in zip(*done, (owner, sym, length), strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, sym, length = owner[order], sym[order], length[order]
     return owner, sym, length, rules
 
 
 def families(seqs: list[np.ndarray]) -> np.ndarray:
     """Of each sequence, the most symbols in one stretch under long rules that the sequence uses often.
 
-    A stretch may be broken by GAP other symbols (the word that differs from member to member).
+    A rule's places within longer rules count. A stretch may be broken by GAP other symbols (the word that differs from
+    member to member).
     """
-    owner, sym, length, _ = repair(seqs)
-    if not len(sym):
-        return np.zeros(len(seqs), dtype=np.int64)
-    _, inverse, counts = np.unique(owner * (int(sym.max()) + 1) + sym, return_inverse=True, return_counts=True)
-    # a rule of several times the length used as many times less often is the same family
-    often = (length >= LONG) & (counts[inverse] >= 2) & (counts[inverse] * (length // LONG) >= OFTEN)
-    place = np.cumsum(length) - length  # where each symbol begins
-    at = np.flatnonzero(often)
-    if not len(at):
-        return np.zeros(len(seqs), dtype=np.int64)
-    gap = place[at[1:]] - (place[at[:-1]] + length[at[:-1]])
-    new = np.r_[True, (gap > GAP) | (owner[at[1:]] != owner[at[:-1]])]
-    total = np.bincount(np.cumsum(new) - 1, weights=length[at])
     out = np.zeros(len(seqs))
-    np.maximum.at(out, owner[at[new]], total)
+    spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    repair(seqs, spans=spans)
+    if not spans:
+        return out.astype(np.int64)
+    begin, length, used = (np.concatenate(x) for x in zip(*spans, strict=True))
+    often = used >= OFTEN
+    total = sum(map(len, seqs))
+    edge = np.zeros(total + 1, dtype=np.int64)
+    np.add.at(edge, begin[often], 1)
+    np.add.at(edge, begin[often] + length[often], -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1]))
+    if not len(at):
+        return out.astype(np.int64)
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])[at]
+    new = np.r_[True, (np.diff(at) > GAP + 1) | (np.diff(owner) != 0)]
+    np.maximum.at(out, owner[new], np.bincount(np.cumsum(new) - 1))
     return out.astype(np.int64)
 
 
 def _incompressible(parts: list[str]) -> np.ndarray:
-    """Of each literal, whether a grammar over its characters saves next to nothing (in bits, the rules included)."""
+    """Of each literal, whether a grammar over its characters saves next to nothing (in bits, the rules included).
+
+    Literals over BLOCK_CHARS are taken block by block, and the bits of the blocks added up.
+    """
     if not parts:
         return np.zeros(0, dtype=bool)
-    seqs = [np.frombuffer(p[:65536].encode("utf-16-le"), dtype=np.uint16).astype(np.int64) for p in parts]
-    owner, sym, _, rules = repair(seqs, rounds=8)
-    left = np.bincount(owner, minlength=len(parts))
-    kinds = np.bincount(np.unique(np.stack([owner, sym]), axis=1)[0], minlength=len(parts))
-    n, alphabet = np.array([len(x) for x in seqs]), np.array([len(np.unique(x)) for x in seqs])
-    return (left + 2 * rules) * np.log2(kinds + 2) > 0.8 * n * np.log2(alphabet + 1)
+    bits, plain = np.zeros(len(parts)), np.zeros(len(parts))
+    blocks = [(k, p[at : at + BLOCK_CHARS]) for k, p in enumerate(parts) for at in range(0, len(p), BLOCK_CHARS)]
+    while blocks:
+        size, many = 0, 0
+        while many < len(blocks) and size < 2 * BLOCK_CHARS:
+            size, many = size + len(blocks[many][1]), many + 1
+        now, blocks = blocks[:many], blocks[many:]
+        which = np.array([k for k, _ in now])
+        seqs = [np.frombuffer(p.encode("utf-16-le"), dtype=np.uint16).astype(np.int64) for _, p in now]
+        owner, sym, _, rules = repair(seqs)
+        left = np.bincount(owner, minlength=many)
+        kinds = np.bincount(np.unique(np.stack([owner, sym]), axis=1)[0], minlength=many)
+        n, alphabet = np.array([len(x) for x in seqs]), np.array([len(np.unique(x)) for x in seqs])
+        np.add.at(bits, which, (left + 2 * rules) * np.log2(kinds + 2))
+        np.add.at(plain, which, n * np.log2(alphabet + 1))
+    return bits > 0.8 * plain
 
 
 def blob_parts(text: str) -> tuple[list[tuple[int, str]], int]:

@@ -55,6 +55,27 @@ def test_incompressible():
     assert P._incompressible(parts).tolist() == [True, False, False, True]
 
 
+def test_literals_are_judged_whole():
+    r = random.Random(5)
+    packed = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=600_000))
+    assert P._incompressible(["A" * 70_000 + packed, packed[:70_000] + "AB" * 600_000]).tolist() == [True, False]
+
+
+def test_grammars_are_finished():
+    r = np.random.default_rng(3)
+    seqs = [r.integers(0, 4, 3000), r.integers(0, 60, 2000), np.array([1, 2] * 40_000), np.array([1, 2, 3] * 5), np.array([9] * 17)]
+    owner, sym, length, _ = P.repair(seqs)
+    for k, s in enumerate(seqs):
+        x = sym[owner == k].tolist()
+        pairs, last = {}, None
+        for i, p in enumerate(zip(x, x[1:], strict=False)):
+            if p == last and i - 1 == at:  # the middle of a run
+                last = None
+                continue
+            pairs[p], last, at = pairs.get(p, 0) + 1, p, i
+        assert length[owner == k].sum() == len(s) and max(pairs.values(), default=0) < 2
+
+
 @pytest.fixture(scope="module")
 def verdict(spark):
     files = {"a/acc.cpp": ACCESSORS, "a/table.py": TABLE, "a/data.py": DATA, "a/blob.py": BLOB, "a/min.js": MINIFIED, "x/node_modules/y/z.js": hand(seed=5), "static/libs/q-1.2/f.py": hand(seed=6), "src/vendor-01/minify.py": hand(seed=7), "e.py": "", "n.py": None}
