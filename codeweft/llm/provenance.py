@@ -9,8 +9,10 @@ and the locally most frequent ones that repeat are replaced everywhere at once).
 * blob: the share of the text in literals that no grammar shortens (their own Re-Pair over characters saves next to
   nothing), and the number of bare values that stand in one row;
 * notes: the comment lines at the head of the file (all up to the first code) and after its last code as rules, with
-  names, versions and hashes left open. Rules that files of MIN_REPOS or more repositories share and that state an origin mark generated and copied-in files. A note that is met
-  in fewer repositories counts too where it states the origin in full.
+  names, versions and hashes left open. Those that state an origin mark generated and copied-in files, in however many
+  repositories they are met (a count that is given but decides nothing);
+* start: the start rule of the file, comments and blanks left out. One of START_LINES or more lines that MIN_REPOS or more
+  repositories share marks a copied-in file, whatever its head says. Shared rules of parts decide nothing (see README).
 
 Identifiers of one or two letters on lines without end mark minified text (its sequence has hardly any line ends). A file
 in a folder for foreign code is copied in.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from codeweft.core import cut
 
 LONG, OFTEN, FAMILY, GAP, BLOB, BLOB_CHARS, VALUES, LISTED, MIN_REPOS = 8, 4, 120, 4, 0.35, 300, 60, 1, 3
+START_LINES = 60  # fewer lines may agree by chance or habit
 HEAD_LINES = 24  # among which comments at the margin count as the head's although code came before
 BATCH_SYMBOLS, BLOCK_CHARS = 1_500_000, 1 << 20
 _TOKEN = re.compile(
@@ -224,6 +227,8 @@ def blob_parts(text: str) -> tuple[list[tuple[int, str]], int]:
 
 
 _CODE_LIKE = ("#include", "#define", "#if", "#pragma", "#ifndef", "#endif", "#!")
+_BLOCK_COMMENT = re.compile(r"^[ \t]*/\*(?s:.*?)\*/[ \t\r]*$", re.M)
+_HEAD_STRING = re.compile(r"\A(?:[ \t]*(?:#[^\n]*)?\n)*+(?:\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)''')")
 _GUARD = re.compile(r"#!|#\s*(?:ifndef|define|pragma)\b|['\"]use strict['\"]")
 
 
@@ -282,6 +287,13 @@ def tail_notes(text: str) -> list[str]:
     return out
 
 
+def start_rule(text: str) -> int | None:
+    """Hash of a file's code lines without comment lines, docstring at the head, blanks; None below START_LINES lines."""
+    rows = _HEAD_STRING.sub("", _BLOCK_COMMENT.sub("", text)).split("\n")
+    kept = [" ".join(s.split()) for x in rows if (s := x.strip()) and not (s.startswith(("//", "#", "--", "<!--")) and not s.startswith(_CODE_LIKE))]
+    return xxhash.xxh64_intdigest("\n".join(kept)) - (1 << 63) if len(kept) >= START_LINES else None
+
+
 def note_rule(note: str) -> str:
     """A note with names, versions, hashes and dates left open."""
     s = re.sub(r"https?://\S+", "@", note.strip("#/*\"'!- \t").lower())
@@ -291,9 +303,9 @@ def note_rule(note: str) -> str:
 
 _FIELDS = [
     ("file_path", pa.string()), ("repo", pa.string()), ("n_symbols", pa.int64()), ("n_chars", pa.int64()), ("family", pa.int64()), ("blob", pa.float64()), ("row_values", pa.int64()), ("name_len", pa.float64()),
-    ("line_symbols", pa.float64()), ("listed", pa.int64()), ("notes", pa.list_(pa.struct([("rule", pa.int64()), ("kind", pa.string()), ("full", pa.bool_())]))),
+    ("line_symbols", pa.float64()), ("listed", pa.int64()), ("notes", pa.list_(pa.struct([("rule", pa.int64()), ("kind", pa.string())]))), ("start", pa.int64()),
 ]
-_SCHEMA = "file_path string, repo string, n_symbols bigint, n_chars bigint, family bigint, blob double, row_values bigint, name_len double, line_symbols double, listed bigint, notes array<struct<rule:bigint,kind:string,full:boolean>>"
+_SCHEMA = "file_path string, repo string, n_symbols bigint, n_chars bigint, family bigint, blob double, row_values bigint, name_len double, line_symbols double, listed bigint, notes array<struct<rule:bigint,kind:string>>, start bigint"
 
 
 def _judge_notes(text: str) -> list[dict]:
@@ -302,7 +314,7 @@ def _judge_notes(text: str) -> list[dict]:
         denied = bool(_DENIED.search(note))
         kind = None if denied else "generated" if _GENERATED.search(note) else "copied" if _COPIED.search(note) else None
         if kind:
-            out.append({"rule": xxhash.xxh64_intdigest(note_rule(note)) - (1 << 63), "kind": kind, "full": True})
+            out.append({"rule": xxhash.xxh64_intdigest(note_rule(note)) - (1 << 63), "kind": kind})
     return out
 
 
@@ -330,7 +342,7 @@ def features(df: DataFrame) -> DataFrame:
                 names = _NAME.findall(text)
                 lines = sum(1 for x in text.split("\n") if x.strip()) or 1
                 row = (path, repo, len(seq), len(text), int(family[k]), float(blob[k] / len(text)), bare[k][1], sum(map(len, names)) / max(1, len(names)), len(seq) / lines,
-                       len(_SOURCE_NOTE.findall(text)) + len(_DESCRIPTOR.findall(text)), _judge_notes(text))
+                       len(_SOURCE_NOTE.findall(text)) + len(_DESCRIPTOR.findall(text)), _judge_notes(text), start_rule(text))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
@@ -358,19 +370,20 @@ def features(df: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame) -> DataFrame:
     """(file_path, repo, generated, minified, copied, blob, hand_written) and the features of every file."""
-    one = cut(features(df)).groupBy("file_path").agg(F.min_by(F.struct("repo", "n_symbols", "n_chars", "family", "blob", "row_values", "name_len", "line_symbols", "listed", "notes"), F.coalesce("repo", F.lit(""))).alias("f")).select("file_path", "f.*")
+    one = cut(features(df)).groupBy("file_path").agg(F.min_by(F.struct("repo", "n_symbols", "n_chars", "family", "blob", "row_values", "name_len", "line_symbols", "listed", "notes", "start"), F.coalesce("repo", F.lit(""))).alias("f")).select("file_path", "f.*")
     note = one.select("file_path", "repo", F.explode("notes").alias("n")).select("file_path", "repo", "n.*")
     shared = note.select("rule", "repo").distinct().groupBy("rule").agg(F.count("*").alias("repos"))
-    said = note.join(shared, "rule").where(F.col("full") | (F.col("repos") >= MIN_REPOS)).groupBy("file_path").agg(
+    said = note.join(shared, "rule").groupBy("file_path").agg(
         F.bool_or(F.col("kind") == "generated").alias("g"), F.bool_or(F.col("kind") == "copied").alias("c"), F.max("repos").alias("note_repos")
     )
-    f = one.join(said, "file_path", "left")
+    copies = one.where("start is not null").select("start", "repo").distinct().groupBy("start").agg(F.count("*").alias("start_repos")).where(F.col("start_repos") >= MIN_REPOS)
+    f = one.join(said, "file_path", "left").join(copies, "start", "left")
     yes = F.coalesce(F.col("g"), F.lit(False))
     f = f.withColumn("generated", yes | ((F.col("family") >= FAMILY) & (F.col("row_values") < VALUES)) | (F.col("listed") >= LISTED))
     f = f.withColumn("minified", (F.col("name_len") < 5.2) & (F.col("line_symbols") > 40))
-    f = f.withColumn("copied", F.coalesce(F.col("c"), F.lit(False)) | F.col("file_path").rlike(_FOREIGN.pattern))
+    f = f.withColumn("copied", F.coalesce(F.col("c"), F.lit(False)) | F.col("start_repos").isNotNull() | F.col("file_path").rlike(_FOREIGN.pattern))
     f = f.withColumn("data_only", ((F.col("blob") >= BLOB) & (F.col("blob") * F.col("n_chars") >= BLOB_CHARS)) | (F.col("row_values") >= VALUES))
-    return f.withColumn("hand_written", ~(F.col("generated") | F.col("minified") | F.col("copied") | F.col("data_only"))).drop("notes", "g", "c")
+    return f.withColumn("hand_written", ~(F.col("generated") | F.col("minified") | F.col("copied") | F.col("data_only"))).drop("notes", "start", "g", "c")
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -108,5 +108,14 @@ def test_notes_below_a_long_licence_and_at_the_foot(note):
     assert not P._judge_notes(body + f"    # {note}\n" + body) and not P._judge_notes(LICENSE + body)
 
 
+def test_copies_in_several_repositories(spark):
+    """Marked whatever their heads say; copies in two repositories and short ones are not."""
+    lib, two, short = hand(80, seed=50), hand(80, seed=51), hand(8, seed=52)
+    heads = ["", "# Grown in the lab.\n# Second line.\n\n", '"""Some words.\n\nMore of them.\n"""\n\n']
+    files = [(f"r{i}/lib.py", f"r{i}", h + lib) for i, h in enumerate(heads)] + [(f"r{i}/short.py", f"r{i}", short) for i in range(3)] + [(f"r{i}/{n}.py", f"r{i}", two) for i in range(2) for n in "ab"]
+    df = spark.createDataFrame(files, "file_path string, repo string, raw_content string").repartition(3)
+    assert {r.file_path for r in P.found(df).collect()} == {"r0/lib.py", "r1/lib.py", "r2/lib.py"}
+
+
 def test_empty(spark):
     assert P.found(spark.createDataFrame([], "file_path string, repo string, raw_content string")).count() == 0
