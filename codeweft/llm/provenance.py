@@ -8,11 +8,15 @@ and the locally most frequent ones that repeat are replaced everywhere at once).
   of accessors, tables and descriptors stand together; what people write repeats here and there;
 * blob: the share of the text in literals that no grammar shortens (their own Re-Pair over characters saves next to
   nothing), and the number of bare values that stand in one row;
-* notes: the comment lines at the head of the file (all up to the first code) and after its last code as rules, with
-  names, versions and hashes left open. Those that state an origin mark generated and copied-in files, in however many
-  repositories they are met (a count that is given but decides nothing);
-* start: the start rule of the file, comments and blanks left out. One of START_LINES or more lines that MIN_REPOS or more
-  repositories share marks a copied-in file, whatever its head says. Shared rules of parts decide nothing (see README).
+* shared: a second grammar over the file's code lines (comments and blanks left out), whose pairs are taken by their
+  contents alone, so that a stretch yields the same rules, named by content hashes, in whatever file it stands. Rules that
+  join one definition to the next, with SIDE or more lines of each, are counted over repositories. A file of START_LINES or
+  more lines is copied in, whatever its head says, if MIN_REPOS or more repositories hold its start rule (all of its code),
+  or rules under SHARED or more of its joints, MIN_JOINTS at least. Rules within one definition do not count: developers copy single functions from
+  project to project, but not rows of them in one order;
+* notes: the comment lines at the head of the file (all up to the first code) and after its last code. Those that state an
+  origin mark generated and copied-in files. A copyright or licence line alone states none: its holder must not be the
+  project itself, and the notes must give a release of what was copied.
 
 Identifiers of one or two letters on lines without end mark minified text (its sequence has hardly any line ends). A file
 in a folder for foreign code is copied in.
@@ -33,8 +37,9 @@ from pyspark.sql import functions as F
 
 from codeweft.core import cut
 
-LONG, OFTEN, FAMILY, GAP, BLOB, BLOB_CHARS, VALUES, LISTED, MIN_REPOS = 8, 4, 120, 4, 0.35, 300, 60, 1, 3
+LONG, OFTEN, FAMILY, GAP, BLOB, BLOB_CHARS, VALUES, LISTED, MIN_REPOS = 8, 4, 120, 4, 0.35, 300, 60, 3, 3
 START_LINES = 60  # fewer lines may agree by chance or habit
+SHARED, MIN_JOINTS, SIDE = 0.25, 2, 3  # share and number of joints of definitions under shared rules; lines on either side of one
 HEAD_LINES = 24  # among which comments at the margin count as the head's although code came before
 BATCH_SYMBOLS, BLOCK_CHARS = 1_500_000, 1 << 20
 _TOKEN = re.compile(
@@ -49,19 +54,25 @@ _NAME = re.compile(r"(?<![\w$\"'.])[A-Za-z_$][\w$]*")
 _FOREIGN = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|vendored|third[_-]?party|3rdparty|extern|externals|deps|(?:contrib|src|lib)/bundled|(?:static|public|assets)/(?:libs?|vendors?))/")
 # Statements of origin, fixed values: how tools and people say it.
 _GENERATED = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:file|source|code|by|from|on)|\b(?:file|code|source|module|header|content)s? (?:is|was|has been|were|are)? ?(?:automatically |auto-?|machine )?generated (?:by|from|with|using|on)"
+    r"(?i)@generated\b|\bgenerated (?:file|code|section) (?:ends?|starts?|begins?)\b|<auto-?generated|\bauto-?generated (?:file|source|code|by|from|on)|\b(?:file|code|source|module|header|content)s? (?:is|was|has been|were|are)? ?(?:automatically |auto-?|machine )?generated (?:by|from|with|using|on)"
     r"|^\W*(?:code |file |source )?generated (?:by|from|with|automatically|on) |this is an? (?:auto-?|automatically |machine-?)?generated (?:source|file|code)|\bmachine[- ]generated ?:|automatically generated (?:from|by|on|file|source)|g[ée]n[ée]r[ée]e? (?:par|automatiquement|à partir|depuis|avec)|fichier g[ée]n[ée]r[ée]"
     r"|archivo (?:generado|producido|creado autom)|generado (?:por|autom|desde|a partir)|automatisch (?:erzeugt|generiert|erstellt)|(?:erzeugt|generiert) (?:aus|von|mit)\b|arquivo gerado|gerado (?:por|automaticamente)|сгенерирован|自动生成|自動生成|자동 생성"
 )
 _COPIED = re.compile(
-    r"(?i)\bvendored (?:from|copy|at)|imported (?:unchanged|verbatim|as is|unmodified)|copied (?:unchanged|verbatim|unmodified)|unmodified copy|\bdistributed by the\b.*\b(?:project|under)\b|\(c\) .{1,60}?\b(?:contributors|authors|developers|maintainers)\b|SPDX-FileCopyrightText|@licen[sc]e\b.*|^\W*upstream:\s*\S|report to the upstream"
-    r"|^\W*origin: .{1,40} release|\bv\d+\.\d+\.\d+ \| "
+    r"(?i)\bvendored (?:from|copy|at)|imported (?:unchanged|verbatim|as is|unmodified)|copied (?:unchanged|verbatim|unmodified)|unmodified copy|\bdistributed by the\b.*\b(?:project|under)\b|^\W*upstream:\s*\S|report to the upstream"
+    r"|^\W*origin: .{1,40} release"
 )
+# Holders of rights and releases: evidence of copying only together, and only if the holder is not the project itself.
+_HOLDER = re.compile(r"(?i)(?:\(c\)|copyright|filecopyrighttext:?)[\s\d,–-]*(?:\(c\)[\s\d,–-]*)?(?:the )?(?P<h>[\w .-]{2,60}?)[ ,]+(?:and )?(?:its )?(?:contributors|authors|developers|maintainers|project|team)\b")
+_RELEASE = re.compile(r"(?i)^\W*@?version:?\s+v?\d+\.\d|\bv?\d+\.\d+\.\d+\b")
+_BANNER = re.compile(r"(?i)^\W*(?P<h>[\w.-]+)\s+v\d+\.\d+\.\d+ \| ")
 _DENIED = re.compile(
     r"(?i)\bnot (?:auto-?)?generated\b|generated (?:\w+ )?(?:files?|code|stubs?|client|types?|bindings?) (?:are|is|were|was|we|that|which|must|should)\b|-generated \w+ (?:we|that|which)\b|\b(?:writes?|checks?|detects?|skips?|finds?|removes?|replaces?|tests?|parses?|reads?|adds?|looks?|strips?|lists?|counts?|handles?|tells?|explains?)\b.{0,60}\b(?:generated|do not edit|vendor|minif|marker)"
     r"|hand[- ]?(?:written|maintained|kept)|by hand, edit|written by hand"
 )
 _SOURCE_NOTE = re.compile(r"^\s*(?://|#|/\*|\*)\s*(?:source: ?)?[\w./-]+\.[a-z]\w{0,9}:\d+\s*(?:\*/)?\s*$", re.M)
+# A comment that is nothing but a line of a generator's input (schemas, grammars, templates): fixed suffixes.
+_INPUT_NOTE = re.compile(r"\.(?:proto|idl|thrift|avdl|fbs|capnp|xsd|wsdl|y|yy|l|ll|g4|peg|tmpl|tpl|j2|mako|erb|in):\d+\s*(?:\*/)?\s*$")
 _DESCRIPTOR = re.compile(r"=\s*b?[\"'](?:\\x[0-9a-fA-F]{2}){3,}[\w\\]*[\"']")
 
 
@@ -287,39 +298,127 @@ def tail_notes(text: str) -> list[str]:
     return out
 
 
-def start_rule(text: str) -> int | None:
-    """Hash of a file's code lines without comment lines, docstring at the head, blanks; None below START_LINES lines."""
+# A line with which a definition begins that no other one holds.
+_DEFINES = re.compile(
+    r"(?:async )?def |class |function\b|(?:export |default |async )+(?:function|class|const|let)\b|(?:const|let|var) [\w$]+ = (?:async )?(?:function\b|\(|[\w$]+ =>)"
+    r"|(?:struct|enum|union|namespace|template|typedef)\b|(?!(?:if|for|while|switch|return|else|do|import|from)\b)[\w][\w:<>,*&~ ]*\([^;]*\)[\w ]*\{?$"
+)
+
+
+def code_lines(text: str) -> tuple[list[str], list[int]]:
+    """Code lines without comment lines, docstring at the head, blanks and indentation, and which of them begin definitions at the margin."""
     rows = _HEAD_STRING.sub("", _BLOCK_COMMENT.sub("", text)).split("\n")
-    kept = [" ".join(s.split()) for x in rows if (s := x.strip()) and not (s.startswith(("//", "#", "--", "<!--")) and not s.startswith(_CODE_LIKE))]
-    return xxhash.xxh64_intdigest("\n".join(kept)) - (1 << 63) if len(kept) >= START_LINES else None
+    kept, starts = [], []
+    for x in rows:
+        s = x.strip()
+        if s and not (s.startswith(("//", "#", "--", "<!--")) and not s.startswith(_CODE_LIKE)):
+            if x[0] not in " \t" and _DEFINES.match(s):
+                starts.append(len(kept))
+            kept.append(" ".join(s.split()))
+    return kept, starts
+
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of an ordered pair."""
+    with np.errstate(over="ignore"):
+        x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15) + (a << np.uint64(7)))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return x ^ (x >> np.uint64(29))
 
-def note_rule(note: str) -> str:
-    """A note with names, versions, hashes and dates left open."""
-    s = re.sub(r"https?://\S+", "@", note.strip("#/*\"'!- \t").lower())
-    s = re.sub(r"\b[0-9a-f]{5,40}\b|\bv?\d[\w.-]*", "0", s)
-    return re.sub(r"\b(from|by|of|the|in|for|tool|spdx-filecopyrighttext: 0|\(c\)|origin:|this is a copy of)\s+[\w.-]+", r"\1 @", s)
 
+def content_rules(lines: list[list[str]], starts: list[list[int]]) -> list[list[tuple[int, int, int]]]:
+    """Of each file, (rule, first, number) of the rules that hold joints, by the first of them and how many they are; the whole file's start rule as (rule, -1, 0).
 
+    Joints are the starts of definitions but one in the first line, numbered in each file from 0.
+
+    Runs of a symbol become one, then each pair that is less than its neighbours by its hash becomes a rule, until one symbol
+    is left of every file. What becomes a pair depends on the symbols beside it and nothing else.
+    """
+    out: list[list[tuple[int, int, int]]] = [[(xxhash.xxh64_intdigest("\n".join(x)) - (1 << 63), -1, 0)] for x in lines]
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    if not len(owner):
+        return out
+    sym = np.array([xxhash.xxh64_intdigest(x) for one in lines for x in one], dtype=np.uint64)
+    size = np.array([len(x) for x in lines])
+    base = np.r_[0, np.cumsum(size)[:-1]]
+    mark = np.zeros(len(sym) + 1, dtype=np.int64)
+    for k, at in enumerate(starts):
+        mark[base[k] + np.array([x for x in at if x], dtype=np.int64)] = 1
+    upto = np.r_[0, np.cumsum(mark[:-1])]
+    begin, length = np.arange(len(sym)), np.ones(len(sym), dtype=np.int64)
+
+    def emit(fresh: np.ndarray) -> None:
+        fresh = fresh[length[fresh] >= 2 * SIDE]
+        o, b, e = owner[fresh], begin[fresh] + SIDE, begin[fresh] + length[fresh] - SIDE + 1
+        first, many = upto[b] - upto[base[o]], upto[e] - upto[b]
+        good = many > 0
+        for k, *r in zip(o[good].tolist(), sym[fresh][good].view(np.int64).tolist(), first[good].tolist(), many[good].tolist(), strict=True):
+            out[k].append(tuple(r))
+
+    while True:
+        before = len(sym)
+        new = np.r_[True, (sym[1:] != sym[:-1]) | (owner[1:] != owner[:-1])]
+        if not new.all():  # runs
+            first = np.flatnonzero(new)
+            many = np.diff(np.r_[first, len(sym)])
+            total = np.add.reduceat(length, first)
+            sym, owner, begin, length = sym[first], owner[first], begin[first], total
+            run = np.flatnonzero(many > 1)
+            sym[run] = _mix(sym[run], many[run].astype(np.uint64))
+            emit(run)
+        if len(sym) < 2:
+            break
+        inside = owner[1:] == owner[:-1]
+        rank = _mix(sym[:-1], sym[1:]) >> np.uint64(1)
+        rank[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        pick = inside & (rank < np.r_[np.uint64(0xFFFFFFFFFFFFFFFF), rank[:-1]]) & (rank <= np.r_[rank[1:], np.uint64(0xFFFFFFFFFFFFFFFF)])
+        at = np.flatnonzero(pick)
+        sym[at] = _mix(sym[at], sym[at + 1])
+        length[at] += length[at + 1]
+        left = np.ones(len(sym), dtype=bool)
+        left[at + 1] = False
+        moved = np.zeros(len(sym), dtype=bool)
+        moved[at] = True
+        sym, owner, begin, length, moved = sym[left], owner[left], begin[left], length[left], moved[left]
+        emit(np.flatnonzero(moved))
+        if len(sym) == before:
+            break
+    return out
+
+
+_RULE = pa.struct([("rule", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 _FIELDS = [
     ("file_path", pa.string()), ("repo", pa.string()), ("n_symbols", pa.int64()), ("n_chars", pa.int64()), ("family", pa.int64()), ("blob", pa.float64()), ("row_values", pa.int64()), ("name_len", pa.float64()),
-    ("line_symbols", pa.float64()), ("listed", pa.int64()), ("notes", pa.list_(pa.struct([("rule", pa.int64()), ("kind", pa.string())]))), ("start", pa.int64()),
+    ("line_symbols", pa.float64()), ("listed", pa.int64()), ("says", pa.string()), ("joints", pa.int64()), ("rules", pa.list_(_RULE)),
 ]
-_SCHEMA = "file_path string, repo string, n_symbols bigint, n_chars bigint, family bigint, blob double, row_values bigint, name_len double, line_symbols double, listed bigint, notes array<struct<rule:bigint,kind:string>>, start bigint"
+_SCHEMA = "file_path string, repo string, n_symbols bigint, n_chars bigint, family bigint, blob double, row_values bigint, name_len double, line_symbols double, listed bigint, says string, joints bigint, rules array<struct<rule:bigint,at:bigint,n:bigint>>"
 
 
-def _judge_notes(text: str) -> list[dict]:
-    out = []
-    for note in dict.fromkeys(head_notes(text) + tail_notes(text)):
-        denied = bool(_DENIED.search(note))
-        kind = None if denied else "generated" if _GENERATED.search(note) else "copied" if _COPIED.search(note) else None
-        if kind:
-            out.append({"rule": xxhash.xxh64_intdigest(note_rule(note)) - (1 << 63), "kind": kind})
-    return out
+def _plain_name(s: str) -> str:
+    return "-".join(re.findall(r"[^\W_]+", s.lower()))
+
+
+def _own(holder: str, repo: str | None) -> bool:
+    """Whether a named holder is the project that a repository is named for."""
+    name, own = _plain_name(holder), _plain_name(repo or "")
+    return not name or own == name or own.startswith(name + "-")
+
+
+def _judge_notes(text: str, repo: str | None = None) -> list[str]:
+    """'generated' or 'copied' for each note of a file that states an origin."""
+    notes = [x for x in dict.fromkeys(head_notes(text) + tail_notes(text)) if not _DENIED.search(x)]
+    kinds = ["generated" if _GENERATED.search(x) else "copied" if _COPIED.search(x) or (m := _BANNER.search(x)) and not _own(m["h"], repo) else "" for x in notes]
+    foreign = any((m := _HOLDER.search(x)) and not _own(m["h"], repo) for x in notes)
+    return [k for k in kinds if k] or ["copied"] * (foreign and any(_RELEASE.search(x) for x in notes))
+
+
+def listed_inputs(text: str) -> int:
+    """Comments that name a line of another file and literals of raw bytes given to names; one that names a generator's input is enough."""
+    notes = _SOURCE_NOTE.findall(text)
+    return LISTED if any(_INPUT_NOTE.search(x) for x in notes) else len(notes) + len(_DESCRIPTOR.findall(text))
 
 
 def features(df: DataFrame) -> DataFrame:
-    """One row a file and task: grammar features and head notes of (repo, file_path, raw_content)."""
+    """One row a file and task: grammar features, content rules and stated origin of (repo, file_path, raw_content)."""
     src = df.select("file_path", "repo", "raw_content").where("file_path is not null and raw_content is not null and raw_content <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,12 +436,15 @@ def features(df: DataFrame) -> DataFrame:
             blob = np.zeros(len(held))
             for (k, n, _), d in zip(parts, dull, strict=True):
                 blob[k] += n * bool(d)
+            kept = [code_lines(text) for *_, text, _s in held]
+            big = [k for k, (x, _) in enumerate(kept) if len(x) >= START_LINES]
+            rules = dict(zip(big, content_rules([kept[k][0] for k in big], [kept[k][1] for k in big]), strict=True))
             cols: list[list] = [[] for _ in _FIELDS]
             for k, (path, repo, text, seq) in enumerate(held):
                 names = _NAME.findall(text)
                 lines = sum(1 for x in text.split("\n") if x.strip()) or 1
                 row = (path, repo, len(seq), len(text), int(family[k]), float(blob[k] / len(text)), bare[k][1], sum(map(len, names)) / max(1, len(names)), len(seq) / lines,
-                       len(_SOURCE_NOTE.findall(text)) + len(_DESCRIPTOR.findall(text)), _judge_notes(text), start_rule(text))
+                       listed_inputs(text), max(_judge_notes(text, repo), default=None), sum(x > 0 for x in kept[k][1]), [{"rule": r, "at": x, "n": n} for r, x, n in rules.get(k, ())])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
@@ -368,22 +470,26 @@ def features(df: DataFrame) -> DataFrame:
     return src.mapInArrow(run, _SCHEMA)
 
 
+def shared_joints(rules: DataFrame) -> DataFrame:
+    """(file_path, whole, held) of (file_path, repo, rule, at, n): whether MIN_REPOS or more repositories hold a file's start rule, and its joints under rules they hold."""
+    many = rules.select("rule", "repo").distinct().groupBy("rule").agg(F.count("*").alias("repos")).where(F.col("repos") >= MIN_REPOS).select("rule")
+    places = F.when(F.col("at") >= 0, F.sequence("at", F.col("at") + F.col("n") - 1))
+    held = F.array_distinct(F.flatten(F.collect_set(places)))  # a file's own, no more than its lines
+    return rules.join(many, "rule", "left_semi").groupBy("file_path").agg(F.bool_or(F.col("at") < 0).alias("whole"), F.size(held).alias("held"))
+
+
 def judged(df: DataFrame) -> DataFrame:
-    """(file_path, repo, generated, minified, copied, blob, hand_written) and the features of every file."""
-    one = cut(features(df)).groupBy("file_path").agg(F.min_by(F.struct("repo", "n_symbols", "n_chars", "family", "blob", "row_values", "name_len", "line_symbols", "listed", "notes", "start"), F.coalesce("repo", F.lit(""))).alias("f")).select("file_path", "f.*")
-    note = one.select("file_path", "repo", F.explode("notes").alias("n")).select("file_path", "repo", "n.*")
-    shared = note.select("rule", "repo").distinct().groupBy("rule").agg(F.count("*").alias("repos"))
-    said = note.join(shared, "rule").groupBy("file_path").agg(
-        F.bool_or(F.col("kind") == "generated").alias("g"), F.bool_or(F.col("kind") == "copied").alias("c"), F.max("repos").alias("note_repos")
-    )
-    copies = one.where("start is not null").select("start", "repo").distinct().groupBy("start").agg(F.count("*").alias("start_repos")).where(F.col("start_repos") >= MIN_REPOS)
-    f = one.join(said, "file_path", "left").join(copies, "start", "left")
-    yes = F.coalesce(F.col("g"), F.lit(False))
-    f = f.withColumn("generated", yes | ((F.col("family") >= FAMILY) & (F.col("row_values") < VALUES)) | (F.col("listed") >= LISTED))
+    """(file_path, repo, generated, minified, copied, data_only, hand_written) and the features of every file."""
+    kept = [n for n, _ in _FIELDS if n != "file_path"]
+    one = cut(features(df).groupBy("file_path").agg(F.min_by(F.struct(*kept), F.coalesce("repo", F.lit(""))).alias("f")).select("file_path", "f.*"))
+    rules = one.select("file_path", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("rules").alias("r")).select("file_path", "repo", "r.*")
+    f = one.drop("rules").join(shared_joints(rules), "file_path", "left").withColumn("shared", F.coalesce(F.try_divide("held", "joints"), F.lit(0.0)))
+    says = lambda kind: F.coalesce(F.col("says") == kind, F.lit(False))
+    f = f.withColumn("generated", says("generated") | ((F.col("family") >= FAMILY) & (F.col("row_values") < VALUES)) | (F.col("listed") >= LISTED))
     f = f.withColumn("minified", (F.col("name_len") < 5.2) & (F.col("line_symbols") > 40))
-    f = f.withColumn("copied", F.coalesce(F.col("c"), F.lit(False)) | F.col("start_repos").isNotNull() | F.col("file_path").rlike(_FOREIGN.pattern))
+    f = f.withColumn("copied", says("copied") | F.coalesce(F.col("whole") | ((F.col("shared") >= SHARED) & (F.col("held") >= MIN_JOINTS)), F.lit(False)) | F.col("file_path").rlike(_FOREIGN.pattern))
     f = f.withColumn("data_only", ((F.col("blob") >= BLOB) & (F.col("blob") * F.col("n_chars") >= BLOB_CHARS)) | (F.col("row_values") >= VALUES))
-    return f.withColumn("hand_written", ~(F.col("generated") | F.col("minified") | F.col("copied") | F.col("data_only"))).drop("notes", "start", "g", "c")
+    return f.withColumn("hand_written", ~(F.col("generated") | F.col("minified") | F.col("copied") | F.col("data_only"))).drop("says", "whole", "held")
 
 
 def found(df: DataFrame) -> DataFrame:

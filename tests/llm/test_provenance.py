@@ -117,5 +117,49 @@ def test_copies_in_several_repositories(spark):
     assert {r.file_path for r in P.found(df).collect()} == {"r0/lib.py", "r1/lib.py", "r2/lib.py"}
 
 
+def library(n, seed):
+    return "import os\n\n" + "\n".join(hand(9, seed=seed * 1000 + i).split("\n\n\n")[1] for i in range(n))
+
+
+def test_changed_copies_share_rules(spark):
+    """A file of many definitions in several repositories without a note, each copy changed in places; single functions in common are no copy."""
+    r = random.Random(8)
+    lib, fns = library(60, 1), [hand(30, seed=700 + i).split("\n\n\n")[1] for i in range(6)]
+    files = []
+    for k in range(8):
+        lines = lib.split("\n")
+        for _ in range(3):
+            lines[r.randrange(len(lines))] = f"    changed_{k} = {r.random()}"
+        files.append((f"r{k}/lib.py", f"r{k}", "\n".join(lines)))
+        files.append((f"r{k}/own.py", f"r{k}", library(4, 50 + k) + fns[k % 6] + library(4, 80 + k) + fns[(k + 2) % 6] + library(4, 110 + k)))
+    files += [(f"r{k}/two.py", f"r{k}", library(40, 3)) for k in range(2)]
+    d = spark.createDataFrame(files, "file_path string, repo string, raw_content string").repartition(5)
+    got = {x.file_path: x for x in P.judged(d).collect()}
+    assert {p for p, x in got.items() if not x.hand_written} == {f"r{k}/lib.py" for k in range(8)}
+    assert min(got[f"r{k}/lib.py"].shared for k in range(8)) > 2 * P.SHARED and max(x.shared for p, x in got.items() if "lib" not in p) == 0
+
+
+def test_rules_depend_on_contents_alone():
+    a, b, c = (P.code_lines(library(12, k)) for k in (5, 6, 7))
+    alone = [P.content_rules([x], [at])[0] for x, at in (a, b, c)]
+    assert P.content_rules([a[0], b[0], c[0]], [a[1], b[1], c[1]]) == alone and P.content_rules([], []) == []
+    runs = P.content_rules([["0,"] * 500, ["x"]], [[3, 9], []])
+    assert runs[0][0][1:] == (-1, 0) and len(runs[1]) == 1
+
+
+@pytest.mark.parametrize(
+    ("note", "kinds"),
+    [("# (c) 2024 Harbor contributors", []), ("# @license MIT", []), ("# SPDX-FileCopyrightText: 2024 Harbor Gateway authors", []), ("# harbor-gateway v1.2.3 | MIT", []), ("# (c) 2021 the fjordkit authors", []),
+     ("# @name fjordkit\n# @version 1.17.5\n# @license BSD-3-Clause, (c) the fjordkit authors", ["copied"]), ("# fjordkit v1.17.5 | MIT", ["copied"]), ("# (c) Harbor contributors\n# version 1.0.2", [])],
+)
+def test_holders(note, kinds):
+    assert P._judge_notes(note + "\n" + hand(), "harbor-gateway") == kinds
+
+
+@pytest.mark.parametrize(("line", "listed"), [("    # utils.c:12", False), ("    mark = '\\x01\\x02\\x03\\x04'", False), ("    # socket.proto:53", True)])
+def test_lone_signs(line, listed):
+    assert (P.listed_inputs(hand() + line + "\n" + hand(seed=3)) >= P.LISTED) == listed
+
+
 def test_empty(spark):
     assert P.found(spark.createDataFrame([], "file_path string, repo string, raw_content string")).count() == 0
