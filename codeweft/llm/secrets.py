@@ -6,18 +6,24 @@ says password, token, key, ...). A named value counts only if it looks drawn at
 placeholders, references to the environment or a vault, digests, ids and plain words are none.
 
 Literals are then decoded, layer by layer: escapes, percent, hex and base64. What a layer yields is scanned the same
-way, and bytes are read as key containers by their binary grammar (DER private keys, OpenSSH and JSON key files). A find
-in any layer marks the whole enclosing literal of the outermost text. Layers are followed until nothing decodes; each is
-shorter than the one before. Values have no greatest length.
+way, bytes are read as key containers by their binary grammar (DER private keys to their last field, OpenSSH ones by their
+length prefixes), and objects in JSON by their fields. A find in any layer marks the whole encoded run of the outermost
+text. Layers are followed until nothing decodes; each is shorter than the one before. Values have no greatest length.
 
-Redaction puts MARK in place of each value and leaves every other character, so code keeps its quotes, escapes and line
-breaks (a redacted private key keeps its lines). Null and empty texts have no places and stay as they are.
+Literals that are joined (side by side, by `+` or over lines) are one value, scanned and decoded as a whole: it begins at
+the first piece, and the others are finds of the kind `part`, which have no line of their own. Values in a list, in a
+string of several lines or in a block below a key are found as well.
+
+Redaction puts MARK in place of each value, wherever else in the text it stands, and leaves every other character, so code
+keeps its quotes, escapes and line breaks (a redacted private key keeps its lines). Null and empty texts have no places and
+stay as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import json
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -27,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "REDACTED"
-CACHE_TEXTS = 2_000
+CACHE_CHARS = 16_000_000
 
 # What names a credential: words of an identifier, fixed values in several languages.
 _NAMES = {
-    "password", "passwords", "passwd", "passwort", "kennwort", "pwd", "pass", "passphrase", "passcode", "secret", "token", "apikey",
+    "password", "passwords", "passwd", "passwort", "kennwort", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "token", "apikey",
     "credential", "credentials", "contrasena", "contraseña", "clave", "mdp", "motdepasse", "senha", "пароль", "wachtwoord", "psw",
 }
 _PAIRS = {
@@ -40,9 +46,10 @@ _PAIRS = {
     for b in ("key", "token", "secret")
 }
 _AUTH = {"auth", "login", "creds", "cred", "credentials", "basic", "account"}
+_WORDS = {"passphrase", "password", "passwords", "passwd", "pwd"}  # what may be several words or letters alone
 _NOT_NAMES = {"public", "pub", "checksum", "digest", "integrity", "etag", "commit", "uuid", "fingerprint", "pixel", "trace"}
 _SAID = re.compile(
-    r"(?i)pass ?words?\b|pass(?:wort|wd|phrase|code)\b|kennwort|contrase[nñ]a|mot de passe|\bsenha\b|пароль|密码|密碼|パスワード|비밀번호|كلمة المرور|पासवर्ड|รหัสผ่าน"
+    r"(?i)pass ?words?\b|\bpw\b|pass(?:wort|wd|phrase|code)\b|kennwort|contrase[nñ]a|mot de passe|\bsenha\b|пароль|密码|密碼|パスワード|비밀번호|كلمة المرور|पासवर्ड|รหัสผ่าน"
     r"|(?:signing|hmac|api|secret|private|encryption|access|shared|session|master|aes|symmetric) ?(?:key|secret|token)s?\b|\bcredentials?\b"
 )
 # What a line holds, in lower case, if a find can begin in it; other lines need no closer look. Each pattern below is
@@ -62,6 +69,7 @@ _PLACE = re.compile(
     r"| <.*> | [^$\n]*+(?:\$(?!\{)[^$\n]*+)*+\$\{.*\}.* | \$\(.*\) | \$\w+ | \{\{.*\}\} | \{\w*\} | %\(?\w+\)?s? | example.* | dummy.* | sample.* | placeholder.* | todo.* | none | null | nil | undefined | redacted.* | test(?:ing)?\d* | secret | password\d{0,3}"
     r"| passw?d? | token | admin | root | user | guest | foo\w* | bar | baz | env[:.].* | (?:vault|kms|ssm|secrets?|arn|op|keyring|sops|gcp|aws)[:/].* | projects/.* | (?:os|process)\.env.* | .*getenv.* | sha(?:1|224|256|384|512)-.* | \{(?:ssha|sha|crypt)\}.* )$"
 )
+_PROSE = re.compile(r"(?i)\b(?:the|a|an|your|this|that|is|are|was|must|should|can|cannot|not|please|for|to|of|in|with|and|or|passphrase|password)\b")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _PUBLIC = re.compile(r"^(?:ssh-(?:rsa|ed25519|dss)|ecdsa-)\b|BEGIN (?:PUBLIC|CERTIFICATE)")
 
@@ -89,6 +97,14 @@ _ASSIGN = re.compile(
 _DEFINE = re.compile(r"#[ \t]*define[ \t]+(?P<n>\w+)[ \t]+\(?[ \t]*[LuU]?\"(?P<v>[^\"\n]+)\"")
 _BARE = re.compile(r"(?:(?<![\w.\\])|(?<=\\[nrt]))(?P<n>[A-Za-z][\w.-]*+)\s{0,2}[=:]\s{0,2}(?=(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt])){6})")
 _WORD = re.compile(r"(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt]))++")
+# The next literal joined to one that ends, or in a list behind it; the seam of two; values in blocks.
+_JOIN = re.compile(r"[\"'`](?:[ \t]*\\?\r?\n?[ \t]*|\s*\+\s*(?:\\\r?\n\s*)?)[rbfuLR]{0,2}[\"'`](?P<v>[^\"'`\n]+)(?=[\"'`])")
+_NEXT = re.compile(r"[\"'`]\s*,\s*[rbfuLR]{0,2}[\"'`](?P<v>[^\"'`\n]+)(?=[\"'`])")
+_SEAM = re.compile(r"(?<=[A-Za-z0-9+/=_%-])[\"'`](?=(?:[ \t]*\\?\r?\n?[ \t]*|\s*\+\s*(?:\\\r?\n\s*)?)[rbfuLR]{0,2}[\"'`][A-Za-z0-9+/=_%-])")
+_BLOCK_VALUE = re.compile(
+    r"(?m)(?<![\w.-])(?P<n>[A-Za-z]\w*)[\"']?\s{0,3}[:=]\s{0,3}[rbfuLR]{0,2}(?P<q>\"{3}|'{3})\s*\n\s*(?P<v>[^\s\"'][^\"']*?)\s*(?P=q)"
+    r"|^[ \t]*(?:- )?[\"']?(?P<k>[A-Za-z][\w.-]*)[\"']?:[ \t]+[|>][-+\d]*[ \t]*\r?\n(?P<i>[ \t]+)(?P<w>\S[^\n]*(?:\n(?P=i)\S[^\n]*)*)"
+)
 _SECOND = re.compile(r"[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,})[\"'`]\s*[)\]}]")  # the second literal of a pair
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
@@ -104,10 +120,10 @@ def _words(name: str) -> list[str]:
 
 
 def names_credential(name: str) -> bool:
+    """Whether a name holds a credential's word that no other word before or right behind it makes something else (public_key, token_digest)."""
     w = _words(name)
-    if _NOT_NAMES & set(w):
-        return False
-    return bool(_NAMES & set(w)) or any(p in _PAIRS for p in zip(w, w[1:], strict=False)) or "".join(w[:2]) in _NAMES
+    at = [i for i, x in enumerate(w) if x in _NAMES] + [i + 1 for i, p in enumerate(zip(w, w[1:], strict=False)) if p in _PAIRS] + [1] * ("".join(w[:2]) in _NAMES)
+    return bool(at) and not _NOT_NAMES & set(w[: min(at) + 2])
 
 
 def looks_secret(v: str, low: int = 8) -> bool:
@@ -126,6 +142,16 @@ def looks_secret(v: str, low: int = 8) -> bool:
     return letters and (digits or other or (mixed and not re.fullmatch(r"(?:[A-Z]?[a-z]++){1,6}|[a-z]+(?:[A-Z][a-z]+)+", v)) or (mixed and len(v) >= 16 and sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:], strict=False)) > len(v) * 0.45))
 
 
+def _told(name: str, v: str) -> bool:
+    """Whether the value of a credential's name is one: drawn at random, or by its name a phrase or a long word."""
+    if looks_secret(v):
+        return True
+    own = _WORDS & set(_words(name))
+    if not own or _PLACE.match(v):
+        return False
+    return bool(re.fullmatch(r"[a-z]{20,}", v)) or ("passphrase" in own and bool(re.fullmatch(r"[A-Za-z]{2,}(?:[ -][A-Za-z]{2,}){3,}", v)) and not _PROSE.search(v))
+
+
 def _basic(v: str) -> bool:
     try:
         plain = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode()
@@ -150,22 +176,82 @@ def _der(b: bytes, at: int) -> tuple[int, int, int] | None:
     return tag, at, at + n
 
 
+def _is_openssh(b: bytes) -> bool:
+    """An OpenSSH private key: cipher, kdf, its options, the number of keys, public blocks and the private block, by their lengths."""
+    at, magic = 15, b"openssh-key-v1\0"
+    if not b.startswith(magic):
+        return False
+
+    def string() -> bytes | None:
+        nonlocal at
+        if at + 4 > len(b):
+            return None
+        n = int.from_bytes(b[at : at + 4], "big")
+        at += 4 + n
+        return b[at - n : at]
+
+    cipher, kdf, options = string(), string(), string()
+    if not cipher or not kdf or options is None or not re.fullmatch(rb"[\w@.-]{2,64}", cipher) or not re.fullmatch(rb"[\w@.-]{2,64}", kdf) or at + 4 > len(b):
+        return False
+    many, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    if not 0 < many < 64:
+        return False
+    for _ in range(many):
+        block = string()
+        if block is None or len(block) < 8:
+            return len(b) > 60 and block is not None  # cut off
+    return at >= len(b) or string() is not None
+
+
 def is_key_container(b: bytes) -> bool:
-    """DER private key (PKCS#1, SEC1, PKCS#8, encrypted PKCS#8) or an OpenSSH one. A cut-off tail is tolerated."""
-    if b.startswith(b"openssh-key-v1\0"):
-        return True
+    """DER private key (PKCS#1, SEC1, PKCS#8, encrypted PKCS#8) or an OpenSSH one, read field by field. A cut-off tail is tolerated."""
+    if b[:4] == b"open":
+        return _is_openssh(b)
     top = _der(b, 0)
     if not top or top[0] != 0x30 or top[2] < len(b) * 0.9 or top[2] > 4 * len(b) + 64 or len(b) < 24:
         return False
-    first = _der(b, top[1])
-    if not first:
+    fields, at = [], top[1]
+    while at < min(top[2], len(b)) and (one := _der(b, at)):
+        fields.append(one)
+        at = one[2]
+    if not fields or fields[0][2] > top[2]:
+        return False
+    tags = [t for t, _, _ in fields]
+    whole = at == top[2] <= len(b)
+    first = fields[0]
+    if tags[0] == 0x02 and first[2] - first[1] == 1 and b[first[1]] in (0, 1) and len(tags) > 1:
+        if tags[1] == 0x02:  # PKCS#1: integers to the end, or a modulus of 512 bits or more before fields that are damaged
+            return (set(tags) == {0x02} and (len(tags) >= 9 or not whole)) or fields[1][2] - fields[1][1] >= 64
+        if tags[1] == 0x04:  # SEC1: the private octets, then parameters and public key in context tags
+            return b[first[1]] == 1 and fields[1][2] - fields[1][1] >= 16 and all(t & 0xA0 == 0xA0 for t in tags[2:])
+        if tags[1] == 0x30:  # PKCS#8: algorithm with its oid, then octets
+            oid = _der(b, fields[1][1])
+            return bool(oid) and oid[0] == 0x06 and (tags[2:3] == [0x04] or (len(tags) == 2 and not whole))
         return False
-    if first[0] == 0x02 and first[2] - first[1] == 1 and b[first[1]] in (0, 1):
-        nxt = _der(b, first[2])  # PKCS#1: modulus; PKCS#8: algorithm; SEC1: octets
-        return bool(nxt) and nxt[0] in (0x02, 0x30, 0x04)
-    if first[0] == 0x30:  # encrypted PKCS#8: algorithm with PBES oid, then octets
-        oid, nxt = _der(b, first[1]), _der(b, first[2])
-        return bool(oid) and oid[0] == 0x06 and b[oid[1] : oid[2]].startswith(b"\x2a\x86\x48\x86\xf7\x0d\x01") and bool(nxt) and nxt[0] == 0x04
+    if tags[0] == 0x30:  # encrypted PKCS#8: algorithm with a PBES oid and its parameters, then octets
+        oid = _der(b, first[1])
+        if not oid or oid[0] != 0x06 or not b[oid[1] : oid[2]].startswith(b"\x2a\x86\x48\x86\xf7\x0d\x01"):
+            return False
+        inner = _der(b, oid[2])
+        return bool(inner) and inner[0] == 0x30 and tags[1:] in ([0x04], [] if not whole else [0x04])
+    return False
+
+
+def is_key_object(text: str) -> bool:
+    """Whether a text is an object in JSON with a credential in a field of any depth."""
+    if text.lstrip()[:1] != "{":
+        return False
+    try:
+        rest = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return False
+    while rest:
+        x = rest.pop()
+        for k, v in x.items() if isinstance(x, dict) else enumerate(x):
+            if isinstance(v, dict | list):
+                rest.append(v)
+            elif isinstance(v, str) and isinstance(k, str) and names_credential(k) and (_BLOCK.search(v) or _told(k, v)):
+                return True
     return False
 
 
@@ -249,7 +335,15 @@ def _plain(text: str) -> Iterator[tuple[int, int, str]]:
             if len(re.findall(r"[A-Za-z0-9+/=]{16,}", text[m.end() : stop])):
                 yield m.start(), stop, "private_key"
     for a, b in _near(text):
-        yield from ((a + x, a + y, kind) for x, y, kind in _lines(text[a:b]))
+        yield from ((a + x, a + y, kind) for x, y, kind in _lines(text[a:b], text, a))
+    if '"""' in text or "'''" in text or "|" in text or ">" in text:
+        for m in _BLOCK_VALUE.finditer(text):
+            v = m["v"] or m["w"]
+            if names_credential(m["n"] or m["k"]) and _told(m["n"] or m["k"], "".join(v.split("\n")) if "\n" not in v else "".join(x.strip() for x in v.split("\n"))):
+                at = m.start("v") if m["v"] else m.start("w")
+                lines = [x for x in re.finditer(r"\S[^\n]*", v)]
+                yield at + lines[0].start(), at + lines[0].end(), "block"
+                yield from ((at + x.start(), at + x.end(), "part") for x in lines[1:])
 
 
 def _holds(run: str) -> bool:
@@ -261,18 +355,49 @@ def _holds(run: str) -> bool:
             return True
         inner = _text(raw)
         if inner and len(inner) >= 8:
-            if next(_plain(inner), None):
+            if next(_plain(inner), None) or is_key_object(inner):
                 return True
             rest += [x for m in _runs(inner) if m[0] != run for x in layers(m[0])]
     return False
 
 
+def _pieces(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans of the literals joined to the one whose value ends at a place."""
+    out = []
+    while m := _JOIN.match(text, at):
+        at = m.end("v")
+        out.append(m.span("v"))
+    return out
+
+
+def _joined(text: str) -> Iterator[tuple[int, int, str]]:
+    """Values that stand in several joined literals and can be seen only when they are put together."""
+    end = 0
+    for m in _SEAM.finditer(text):
+        if m.start() < end:
+            continue
+        quote = text[m.start()]
+        a = text.rfind(quote, text.rfind("\n", 0, m.start()) + 1, m.start()) + 1
+        if not a:
+            continue
+        spans = [(a, m.start()), *_pieces(text, m.start())]
+        end = spans[-1][1]
+        if len(spans) < 2:
+            continue
+        whole = "".join(text[x:y] for x, y in spans)
+        seams = [sum(y - x for x, y in spans[:k]) for k in range(1, len(spans))]
+        over = lambda x, y: any(x < s < y for s in seams)  # noqa: E731, B023
+        if any(over(*f.span()) for f in _FORMS.finditer(whole)) or any(over(*r.span()) and _holds(r[0]) for r in _runs(whole)):
+            yield *spans[0], "encoded"
+            yield from ((x, y, "part") for x, y in spans[1:])
+
+
 def _scan(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "encoded") for m in _runs(text) if _holds(m[0])] + list(_plain(text))
+    return [(m.start(), m.end(), "encoded") for m in _runs(text) if _holds(m[0])] + list(_plain(text)) + list(_joined(text))
 
 
-def _lines(text: str) -> Iterator[tuple[int, int, str]]:
-    """Finds within a few lines."""
+def _lines(text: str, full: str, base: int) -> Iterator[tuple[int, int, str]]:
+    """Finds within a few lines, which begin at a place of the full text."""
     for m in _FORMS.finditer(text):
         yield *m.span(m.lastgroup), m.lastgroup
     for m in _ADDRESS.finditer(text):
@@ -302,14 +427,22 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
             if comma and not m["pre"].strip() and text[m.end("n") : m.end("n") + 1] not in ("'", '"'):
                 continue
             v = v.rstrip("\\")
-            if looks_secret(v):
+            more = [] if len(m["q"]) > 1 else _pieces(full, base + m.end("v"))
+            if _told(name, v + "".join(full[x:y] for x, y in more)):
                 yield m.start("v"), m.start("v") + len(v), "named"
+                yield from ((x - base, y - base, "part") for x, y in more)
+            if any(c in "([{" for c in m["pre"]):  # a list: every value
+                end = base + m.end("v")
+                while item := _NEXT.match(full, end):
+                    end = item.end("v")
+                    if _told(name, item["v"]):
+                        yield item.start("v") - base, end - base, "named"
         elif m["pre"].strip() and _AUTH & set(_words(name)[:2]):
             close = _SECOND.match(text, m.end("v"))
             if close and looks_secret(close[1]):
                 yield *close.span(1), "pair"
     for m in _DEFINE.finditer(text):
-        if names_credential(m["n"]) and looks_secret(m["v"]):
+        if names_credential(m["n"]) and _told(m["n"], m["v"]):
             yield *m.span("v"), "named"
     at = 0
     while m := _BARE.search(text, at):
@@ -348,14 +481,11 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
                 yield at + lit.start(lit.lastindex), at + lit.end(lit.lastindex), "said"
 
 
-_PIECES = re.compile(r"[\"'`]\s*(?:\+|\\|\.|,)?\s*[\"'`](?P<v>[A-Za-z0-9+/=_!@#$%^&*~.-]{6,})(?=[\"'`])")
-
-
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, kind) of the credential values of a text, in order."""
     if not text:
         return []
-    got = sorted(_scan(text), key=lambda x: (x[0], -x[1]))
+    got = sorted(_scan(text), key=lambda x: (x[0], x[2] != "part", -x[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in got:
         if out and a < out[-1][1]:
@@ -369,7 +499,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 def redact(text: str | None) -> str | None:
     if not text:
         return text
-    out, at = [], 0
+    out, at, values = [], 0, set()
     for a, b, kind in find(text):
         out.append(text[at:a])
         body = text[a:b]
@@ -379,17 +509,35 @@ def redact(text: str | None) -> str | None:
             out.append(body)
         else:
             out.append(MARK)
+            if len(body) >= 8 and kind != "part":
+                values.add(body)
         at = b
-        while kind == "named" and (more := _PIECES.match(text, at)) and text[at : at + 1] in "\"'`" and not re.search(r",", text[at : more.start("v")]):
-            out += [text[at : more.start("v")], MARK]
-            at = more.end("v")
     out.append(text[at:])
-    return "".join(out)
+    whole = "".join(out)
+    for v in sorted(values, key=lambda v: (-len(v), v)):  # the same value where nothing names it
+        whole = whole.replace(v, MARK)
+    return whole
 
 
 def line_numbers(text: str | None) -> list[int]:
     spans = find(text)
-    return sorted({text.count("\n", 0, a) + 1 for a, _, _ in spans}) if spans else []
+    return sorted({text.count("\n", 0, a) + 1 for a, _, kind in spans if kind != "part"}) if spans else []
+
+
+class _Once:
+    """A function of texts whose answers are kept while the texts together are short."""
+
+    def __init__(self, f) -> None:
+        self.f, self.seen, self.size = f, {}, 0
+
+    def __call__(self, t: str):
+        if t not in self.seen:
+            self.size += len(t)
+            if self.size > CACHE_CHARS:
+                self.seen.clear()
+                self.size = len(t)
+            self.seen[t] = self.f(t)
+        return self.seen[t]
 
 
 def places(df: DataFrame, path: str = "file_path", whole: str = "raw_content", part: str = "code") -> DataFrame:
@@ -397,17 +545,13 @@ def places(df: DataFrame, path: str = "file_path", whole: str = "raw_content", p
     src = df.select(F.col(f"`{path}`").alias("p"), F.coalesce(F.col(f"`{whole}`"), F.col(f"`{part}`")).alias("t")).where("t is not null and t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[int]] = {}  # the rows of a file follow each other and repeat its text
+        numbers = _Once(line_numbers)  # the rows of a file follow each other and repeat its text
         for batch in batches:
             paths, lines = [], []
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = hash(t := t.as_py())
-                if h not in seen:
-                    if len(seen) >= CACHE_TEXTS:
-                        seen.clear()
-                    seen[h] = line_numbers(t)
-                paths += [p] * len(seen[h])
-                lines += seen[h]
+                at = numbers(t.as_py())
+                paths += [p] * len(at)
+                lines += at
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lines, pa.int64())], names=[path, "line_no"])
 
     return src.mapInArrow(run, f"`{path}` string, line_no bigint").distinct()
@@ -418,17 +562,10 @@ def redacted(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
     src = df.select(F.col(f"`{key}`"), *[F.col(f"`{t}`") for t in texts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, str] = {}
+        once = _Once(redact)
 
         def one(t: str | None) -> str | None:
-            if not t:
-                return t
-            h = hash(t)
-            if h not in seen:
-                if len(seen) >= 200:
-                    seen.clear()
-                seen[h] = redact(t)
-            return seen[h]
+            return once(t) if t else t
 
         for batch in batches:
             cols = [batch.column(0)] + [pa.array([one(t.as_py()) for t in batch.column(i + 1)], pa.string()) for i in range(len(texts))]

@@ -115,3 +115,103 @@ def test_rows(spark):
     out = {r.p: r for r in S.redacted(d, "p", ["code", "raw_content"]).collect()}
     assert len(out) == 6 and TOKEN not in out[1].raw_content and out[2].code == "zz" and out[5].code is None and out[4].code == ""
     assert S.places(d.limit(0)).count() == 0
+
+
+def test_every_value_of_a_list():
+    text = 'passwords = ["Kq8#vT2m9x", "ach4HqhIAejyfqXm",\n    "xHjaLEqgqH4sn2"]\nnames = ["Kq8abc12", "b"]\n'
+    assert S.line_numbers(text) == [1, 2]
+    assert S.redact(text) == f'passwords = ["{S.MARK}", "{S.MARK}",\n    "{S.MARK}"]\nnames = ["Kq8abc12", "b"]\n'
+
+
+B64 = base64.b64encode(("token=" + TOKEN).encode()).decode()
+
+
+@pytest.mark.parametrize("join", ['"\n    "', '" + "', '" +\n    "', '" \\\n    "', '" "'])
+@pytest.mark.parametrize(("value", "at"), [(B64, 20), (B64, 44), (TOKEN, 3), (TOKEN, 12), (DER, 300)])
+def test_joined_literals(join, value, at):
+    text = f'first()\nblob = ("{value[:at]}{join}{value[at:]}")\nlast()\n'
+    assert S.line_numbers(text) == [2]
+    after = S.redact(text)
+    assert after == f'first()\nblob = ("{S.MARK}{join}{S.MARK}")\nlast()\n'
+
+
+@pytest.mark.parametrize(
+    ("text", "line"),
+    [('x = 1\npassword = """\nKq8#vT2m9x\n"""\ny = 2\n', 3), ("db:\n  password: |\n    Kq8#vT2m9x\n  user: a\n", 3), ("db:\n  api_key: >-\n    Kq8vT2m9xAAbb\n    c8Pz17QwErTy\nuser: a\n", 3), ("# old login: edge / pw: Kq8#vT2m9x\n", 1),
+     ('passphrase = "correct horse battery staple"\n', 1), ('db_password = "correcthorsebatterystaple"\n', 1), ('passwdStrictDigest728 = "tv7wDeT5d4ypD44TCI1N"\n', 1)],
+)
+def test_other_places(text, line):
+    after = S.redact(text)
+    assert S.line_numbers(text) == [line] and S.find(after) == [] and "Kq8" not in after and "c8Pz" not in after and after.count("\n") == text.count("\n")
+
+
+@pytest.mark.parametrize(
+    "text", ['passphrase = "please enter your passphrase here"\n', 'password_digest = "ach4HqhIAejyfqXm"\n', 'public_key = "ach4HqhIAejyfqXm"\n', 'token = "refreshtokenofsession"\n', "notes: |\n  Kq8#vT2m9x\n", "x = ['a9', 'b']\n"]
+)
+def test_no_values(text):
+    assert S.find(text) == [] and S.redact(text) == text
+
+
+def test_value_named_once_goes_everywhere():
+    text = 'api_token = "Zx81kQw90Lm3"\nlog("sent Zx81kQw90Lm3 to it")\n'
+    assert S.line_numbers(text) == [1] and "Zx81" not in S.redact(text)
+
+
+def _ssh(*blocks, many=1):
+    n = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + b"".join(n(b) for b in blocks[:3]) + many.to_bytes(4, "big") + b"".join(n(b) for b in blocks[3:])
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+OID = _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+
+
+@pytest.mark.parametrize(
+    ("raw", "yes"),
+    [(_ssh(b"aes256-ctr", b"bcrypt", b"salt" * 6, b"p" * 51, b"s" * 200), True), (b"openssh-key-v1\0 is the magic of such files, nothing more", False), (_ssh(b"none", b"none", b"", b"p" * 51, b"s" * 200)[:120], True), (_ssh(b"n", b"none", b"", many=0), False),
+     (_der(0x30, _der(2, b"\0"), _der(0x30, OID), _der(4, b"k" * 60)), True), (_der(0x30, _der(2, b"\1"), _der(4, b"k" * 32), _der(0xA0, OID)), True), (_der(0x30, _der(0x30, OID, _der(0x30, _der(4, b"s" * 8))), _der(4, b"k" * 90)), True),
+     (_der(0x30, _der(2, b"\0"), *[_der(2, b"\x41" * 20)] * 8), True), (_der(0x30, _der(0x30, OID), _der(3, b"\0" + b"k" * 90)), False), (_der(0x30, _der(2, b"\1"), _der(4, b"k" * 4), _der(5)) + b"zz", False), (_der(0x30, _der(2, b"\0"), _der(0x30, _der(4, b"x")), _der(4, b"k" * 60)), False)],
+)
+def test_containers_by_their_grammar(raw, yes):
+    assert S.is_key_container(raw) == yes
+    assert bool(S.find(f'x = "{base64.b64encode(raw).decode()}"\n')) == yes
+
+
+def test_key_objects():
+    assert S.is_key_object('{"a": [{"client_secret": "Kq8vT2m9xAAbb"}]}') and not S.is_key_object('{"a": "b", "secret": "none"}') and not S.is_key_object("{") and not S.is_key_object("[1]")
+
+
+def test_recall_and_nothing_left():
+    """Drawn values in drawn forms among plain code: every one is found in its line, nothing else is, and none is left in any part."""
+    import random
+
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ['{n} = "{v}"', "const {n} = '{v}';", "{n}: \"{v}\",", 'x = {{"{n}": "{v}"}}', "# {n}: {v}", 's = "{b}"', 'dsn = "pg://svc:{v}@db.example/x"', "h = 'Authorization: Bearer {v}'", 'run("tool --password {v}")', 'std::string {n} = "{v}";', '{n} = ("{v1}" "{v2}")', "{n} = os.environ.get('X', '{v}')"]
+    found, planted = 0, 0
+    for _ in range(400):
+        v = "".join(r.choices(letters, k=r.randint(16, 40))) + "7aQ"
+        name = r.choice(["password", "api_key", "db_password", "clientSecret", "auth_token", "passwd"])
+        f = r.choice(forms[:-1])
+        line = f.format(n=name, v=v, v1=v[:9], v2=v[9:], b=base64.b64encode(f"{name}={v}".encode()).decode())
+        lines = [f"value_{i} = compute(frame_{i}, 'plain words {i}')" for i in range(6)]
+        at = r.randrange(6)
+        lines.insert(at, line)
+        text = "\n".join(lines)
+        planted += 1
+        found += S.line_numbers(text) == [at + 1]
+        after = S.redact(text)
+        assert not any(v[i : i + 8] in after for i in range(len(v) - 7)) or S.line_numbers(text) != [at + 1], line
+    assert found >= 0.99 * planted
+
+
+def test_cache_is_keyed_by_the_text():
+    once = S._Once(len)
+    assert [once("a"), once("bb"), once("a")] == [1, 2, 1] and set(once.seen) == {"a", "bb"}
+    once.size = S.CACHE_CHARS
+    assert once("ccc") == 3 and set(once.seen) == {"ccc"}
