@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
 def split(df: DataFrame, columns: dict[str, str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(kind, key, piece_no, start_pos, end_pos, text) of the texts over the limit.
 
-    `columns`: text column -> column with its key; the rows of a key carry the same text. Nothing is shuffled but the
+    `columns`: text column -> column with its key; the rows of a key carry the same text. Of those without a
+    key, each text counts once. Nothing is shuffled but the
     keys: a task leaves out the repeats it meets, and keys that several tasks gave keep the first.
     """
     src = df.select(
@@ -137,34 +139,37 @@ def split(df: DataFrame, columns: dict[str, str], limit: int = LIMIT, overlap: i
     names, many = list(columns), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, str | None]] = set()
+        seen: set[tuple[int, str | None, str | None]] = set()
         for batch in batches:
             rows: list[tuple] = []
             uid = batch.column(0).to_pylist()
             for i in range(many):
                 keys, texts = batch.column(1 + i).to_pylist(), batch.column(1 + many + i)
                 for u, k, t in zip(uid, keys, texts, strict=True):
-                    if not t.is_valid or (i, k) in seen:
+                    if not t.is_valid or (i, k, None) in seen:
+                        continue
+                    t = t.as_py()
+                    h = xxhash.xxh3_128_hexdigest(t) if k is None else None
+                    if (i, k, h) in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add((i, k))
-                    t = t.as_py()
-                    rows += [(u, names[i], k, no, a, b, t[a:b]) for no, (a, b) in enumerate(pieces(t, limit, overlap))]
+                    seen.add((i, k, h))
+                    rows += [(u, names[i], k, h, no, a, b, t[a:b]) for no, (a, b) in enumerate(pieces(t, limit, overlap))]
                     if len(rows) >= 2000:
                         yield pack(rows)
                         rows = []
             if rows:
                 yield pack(rows)
 
-    fields = [("uid", pa.int64()), ("kind", pa.string()), ("key", pa.string()), ("piece_no", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("text", pa.string())]
+    fields = [("uid", pa.int64()), ("kind", pa.string()), ("key", pa.string()), ("alone", pa.string()), ("piece_no", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("text", pa.string())]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    got = cut(src.mapInArrow(run, "uid bigint, kind string, key string, piece_no bigint, start_pos bigint, end_pos bigint, text string"))
-    given = got.where("piece_no = 0").groupBy("kind", "key").agg(F.min("uid").alias("first"), F.count("*").alias("c")).where("c > 1")
-    again = given.select(F.col("kind").alias("kd"), F.col("key").alias("ky"), "first")
-    return got.join(again, F.col("kind").eqNullSafe(F.col("kd")) & F.col("key").eqNullSafe(F.col("ky")), "left").where("first is null or uid = first").select(
+    got = cut(src.mapInArrow(run, "uid bigint, kind string, key string, alone string, piece_no bigint, start_pos bigint, end_pos bigint, text string"))
+    given = got.where("piece_no = 0").groupBy("kind", "key", "alone").agg(F.min("uid").alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = given.select(F.col("kind").alias("kd"), F.col("key").alias("ky"), F.col("alone").alias("al"), "first")
+    return got.join(again, F.col("kind").eqNullSafe(F.col("kd")) & F.col("key").eqNullSafe(F.col("ky")) & F.col("alone").eqNullSafe(F.col("al")), "left").where("first is null or uid = first").select(
         "kind", "key", "piece_no", "start_pos", "end_pos", "text"
     )

@@ -92,3 +92,12 @@ def test_rows(spark):
         assert [r.piece_no for r in p] == list(range(len(p))) and all(r.text == text[r.start_pos : r.end_pos] for r in p)
         assert joined(text, [(r.start_pos, r.end_pos) for r in p], 200) == text
     assert S.split(d.limit(0), {"code": "sample_id"}).count() == 0
+
+
+def test_texts_without_a_key(spark):
+    a, b = "a b " * 2000, "c d " * 1500
+    d = spark.createDataFrame([(None, a), (None, b), (None, a), ("k", b), ("k", b)], "p string, raw_content string").repartition(4)
+    rows = S.split(d, {"raw_content": "p"}).collect()
+    parts = sorted((r.key or "", r.piece_no, r.end_pos, r.text) for r in rows)
+    want = sorted([("", n, e, a[s:e]) for n, (s, e) in enumerate(S.pieces(a))] + [(k, n, e, b[s:e]) for k in ("", "k") for n, (s, e) in enumerate(S.pieces(b))])
+    assert parts == want
