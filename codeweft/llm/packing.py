@@ -2,8 +2,11 @@
 
 Items are spread over parts of bounded size. In each part, best fit in decreasing order fills bins; nearly full bins
 are emitted. The underfull ones go up a tree as items: the bins left of `FAN_IN` parts meet in one part and are packed
-again, and so on to a single part. A bin over half full that found no partner in two rounds is emitted as it is, so what
-goes up shrinks by the fan-in in every round.
+again, and so on to a single part.
+
+A part leaves at most one bin that is not over half full, and no two bins over half full fit together. So of all bins over
+half full, no more can still gain than there are others: as many, those with the most room, go up, and the rest are emitted
+as they are. What goes up is thus at most about two bins a part, and the root never holds more than its share.
 
 Items larger than the capacity are cut into full containers and a rest that is packed like any other item; nothing
 else is split. Items of size 0 (null and empty texts) join a bin of their part. Repeated keys are separate items. An
@@ -13,7 +16,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.core import cut
@@ -22,7 +25,6 @@ FAN_IN = 8
 NEARLY_FULL = 0.99
 PART_UNITS = 4_000_000  # size units that one part packs at once
 PART_ROWS = 100_000
-TRIES = 2
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -54,23 +56,36 @@ def _round(level: int, capacity: int, last: bool, nearly: float):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bin", "id_text", "piece"], kind="stable").reset_index(drop=True)
         part = int(rows["part"].iloc[0])
-        items = rows.groupby("bin", sort=True).agg(fill=("size", "sum"), tries=("tries", "first"))
-        where = best_fit(items["fill"].tolist(), capacity)
-        items["new"] = where
-        fill = items.groupby("new")["fill"].sum()
-        joined = items.groupby("new")["fill"].size()
-        items["full"] = fill.reindex(items["new"]).to_numpy()
-        items["tries"] = (items["tries"] + 1).where(joined.reindex(items["new"]).to_numpy() == 1, 1)
-        items["done"] = last | (items["full"] >= floor) | ((items["full"] * 2 > capacity) & (items["tries"] > TRIES))
+        items = rows.groupby("bin", sort=True).agg(fill=("size", "sum"))
+        items["new"] = best_fit(items["fill"].tolist(), capacity)
+        items["full"] = items.groupby("new")["fill"].transform("sum")
         items["id"] = (level << 56) | (part << 28) | items["new"]
         got = items.loc[rows["bin"]]
-        rows["bin"], rows["tries"], rows["done"] = got["id"].to_numpy(), got["tries"].to_numpy(), got["done"].to_numpy()
+        rows["bin"], rows["fill"] = got["id"].to_numpy(), got["full"].to_numpy()
+        rows["done"] = last | (rows["fill"] >= floor)
         rows["part"] = part // FAN_IN
         return rows
 
     return pack
 
 
+def _rising(packed: DataFrame, capacity: int) -> Column:
+    """Whether a bin that isn't nearly full goes up: all that are at most half full, and as many over half full by their room.
+
+    The fills are counted by value (at most `capacity` rows). Of bins with the least room that goes up, a share is taken by
+    hash that is large enough in all likelihood.
+    """
+    bins = packed.where("not done").groupBy("bin").agg(F.first("fill").alias("fill"))
+    counts = dict(bins.groupBy("fill").agg(F.count("*")).toLocalIterator())
+    wanted = sum(n for f, n in counts.items() if 2 * f <= capacity)
+    for fill in sorted(f for f in counts if 2 * f > capacity):
+        if counts[fill] > wanted:
+            share = F.lit(min(1.0, (wanted + 4 * wanted**0.5 + 8 if wanted else 0) / counts[fill]))
+            return (F.col("fill") < fill) | ((F.col("fill") == fill) & (F.pmod(F.xxhash64("bin"), F.lit(1 << 20)) < share * (1 << 20)))
+        wanted -= counts[fill]
+    return F.lit(True)
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int, nearly: float = NEARLY_FULL, part_units: int = PART_UNITS) -> DataFrame:
     """(key, piece, start, size, bin_id): `start` is the piece's offset in its item; one row for each piece."""
     kind = items.schema[key].dataType.simpleString()
@@ -89,17 +104,18 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, nearly: float = N
     )
     live = rest.withColumn("part", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(parts)).cast("bigint")).withColumn(
         "bin", F.monotonically_increasing_id()
-    ).withColumn("tries", F.lit(0).cast("bigint"))
+    )
     # items of size 0 of a part stand for one item
     live = cut(live.withColumn("bin", F.when(F.col("size") == 0, -1 - F.col("part")).otherwise(F.col("bin"))))
-    schema = f"id {kind}, id_text string, piece bigint, start bigint, size bigint, part bigint, bin bigint, tries bigint, done boolean"
+    schema = f"id {kind}, id_text string, piece bigint, start bigint, size bigint, part bigint, bin bigint, fill bigint, done boolean"
     out, level = [whole], 1
     while True:
         packed = cut(live.groupBy("part").applyInPandas(_round(level, capacity, parts == 1, nearly), schema))
-        out.append(packed.where("done").select("id", "piece", "start", "size", F.concat_ws("-", F.lit("b"), F.col("bin").cast("string")).alias("bin_id")))
+        up = F.lit(False) if parts == 1 else ~F.col("done") & _rising(packed, capacity)
+        out.append(packed.where(~up).select("id", "piece", "start", "size", F.concat_ws("-", F.lit("b"), F.col("bin").cast("string")).alias("bin_id")))
         if parts == 1:
             break
-        live = packed.where("not done").drop("done")
+        live = packed.where(up).drop("done", "fill")
         parts, level = -(-parts // FAN_IN), level + 1
     result = out[0]
     for more in out[1:]:

@@ -72,3 +72,14 @@ def test_packing(spark, units):
         assert [x[1] for x in p] == [100 * j for j in range(len(p))]
     assert len(fill) <= 1.12 * sum(s or 0 for _, s in items) / 100 + 2
     assert packing.pack(d.limit(0), "k", "n", 100).count() == 0
+
+
+def test_underfull_bins_rise_to_the_root(spark):
+    """Bins just over half full that find a partner only far up the tree; many that can find none are emitted below it."""
+    rows = [(i, 51) for i in range(600)] + [(1000 + i, 49) for i in range(12)]
+    d = spark.createDataFrame(rows, "k bigint, n bigint").repartition(4)
+    bins = {r.bin_id: r.f for r in packing.pack(d, "k", "n", 100, part_units=60).groupBy("bin_id").agg({"size": "sum"}).toDF("bin_id", "f").collect()}
+    assert sum(bins.values()) == 31_188 and max(bins.values()) <= 100 and len(bins) <= 601
+    d = spark.range(3000).selectExpr("id k", "case when id = 0 then 1 else 55 end n")
+    got = packing.pack(d, "k", "n", 100, part_units=1000).groupBy("bin_id").sum("size").collect()
+    assert len(got) == 2999
