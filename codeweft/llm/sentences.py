@@ -4,17 +4,18 @@ A text is first parted into blocks: fenced code, headings, list items and paragr
 three are one unit each. In a paragraph every terminator that ends nothing (decimals and addresses have no blank after
 them; abbreviations, initials, ordinals of dates, terminators within a quotation) is replaced by a private-use
 placeholder of the same length, boundaries are found by terminator patterns of the scripts, and the placeholders are
-turned back. Lengths never change, so positions are sums of lengths.
+turned back. Lengths never change, so positions are sums of lengths. All of it happens within the row of a text: nothing
+is shuffled.
 
 An abbreviation that can close a sentence (etc., p.m., и т. д.) closes it where the next word doesn't begin in lower
 case; identifiers such as `readUser` or `a/b.c` count as beginnings. An open
 fence runs to the end of the text. Null, empty and blank texts have no units. Private-use characters of the
-placeholder block that a text holds itself are read as any other symbol.
+placeholder block that a text holds itself are read as any other symbol; its sentences are then cut from the text itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CUT = "\U000F0000"  # a boundary
@@ -60,26 +61,41 @@ def _esc(words: list[str]) -> str:
     return "|".join(sorted((w.replace(".", r"[.\x{F0010}]").replace(" ", r"\s{1,3}") for w in words), key=len, reverse=True))
 
 
+def _behind(words: list[str], before: str) -> str:
+    """What one of the words and a dot stand right before, the character before them not in `before`: words of one length at once."""
+    plain = sorted({w for w in words if "." not in w and " " not in w}, key=lambda w: (len(w), w))
+    out = [rf"(?<=(?<!{before})(?:{'|'.join(g)})\.)" for g in ([w for w in plain if len(w) == n] for n in sorted({len(w) for w in plain}))]
+    rest = [w for w in words if w not in plain]
+    return "|".join(out + ([rf"(?<=(?<!{before})(?:{_esc(rest)})\.)"] if rest else []))
+
+
+# A dot before a blank that ends nothing: parts of spaced abbreviations, abbreviations, numbered ones, initials, days of dates.
+_WORD_BEFORE = r"[\p{L}\p{M}\p{N}_]"
+_ENDS_NOTHING = (
+    r"\.(?=\s)(?:(?=\s{1,3}(?:B|h|a|d|R|ex|ej|e|е|к|д|п|UU)\.)(?<=(?<![\p{L}\p{N}])(?:z|d|u|i|p|т|EE)\.)"
+    rf"|{_behind(_SPACED + _NEVER, _WORD_BEFORE)}|(?<=\([sv]\.)"
+    rf"|(?=\s{{1,3}}[#§]?\p{{N}})(?:{_behind(_NUMBERED, _WORD_BEFORE)})"
+    r"|(?=\s{1,3}\p{Lu}[\p{Ll}'’.])(?<=(?<![\p{L}\p{N}.'’-])(?:\p{Lu}|Th|Ch)\.)"
+    rf"|(?=\s{{1,3}}(?:{_MONTHS})\b)(?<=(?<![\p{{L}}\p{{N}}.,])\d{{1,2}}\.))"
+)
+
+
 def _placeholder(c: str) -> str:
     return _MASKS[_TERMINATORS.index(c)]
 
 
-# What asks for more than the rules of Latin, Cyrillic and the like without quotations.
-_RICH = rf"[{_IN}{_OUT}\"’‘।؟。！？｡॥۔\x{{0E00}}-\x{{0E7F}}]"
+# What asks for more than the rules of Latin, Cyrillic and the like without quotations: quotation marks, other scripts.
+_QUOTED = "[“„«「『\"]"
+_SCRIPT = rf"[{_OUT}’‘।؟。！？｡॥۔\x{{0E00}}-\x{{0E7F}}]"
+_GROUP = 32  # lengths that are summed at once
 
 
-def _masked(p: Column, rich: bool) -> Column:
+def _masked(p: Column, quoted: bool) -> Column:
     """A paragraph with placeholders for terminators that end no sentence."""
     dot = _placeholder(".")
-    if rich:
+    if quoted:
         p = _quotes(p)
-    # each pattern begins at a dot, which is rare, and looks back from there
-    p = F.regexp_replace(p, r"\.(?=\s{1,3}(?:B|h|a|d|R|ex|ej|e|е|к|д|п|UU)\.)(?<=(?<![\p{L}\p{N}])(?:z|d|u|i|p|т|EE)\.)", dot)
-    p = F.regexp_replace(p, rf"\.(?=\s)(?<=(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{_esc(_SPACED)}|{_esc(_NEVER)})\.|\([sv]\.)", dot)
-    p = F.regexp_replace(p, rf"\.(?=\s{{1,3}}[#§]?\p{{N}})(?<=(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{_esc(_NUMBERED)})\.)", dot)
-    p = F.regexp_replace(p, r"\.(?=\s{1,3}\p{Lu}[\p{Ll}'’.])(?<=(?<![\p{L}\p{N}.'’-])(?:\p{Lu}|Th|Ch)\.)", dot)
-    p = F.regexp_replace(p, rf"\.(?=\s{{1,3}}(?:{_MONTHS})\b)(?<=(?<![\p{{L}}\p{{N}}.,])\d{{1,2}}\.)", dot)
-    return _inside(p) if rich else p
+    return _inside(F.regexp_replace(p, _ENDS_NOTHING, dot)) if quoted else F.regexp_replace(p, _ENDS_NOTHING, dot)
 
 
 def _quotes(p: Column) -> Column:
@@ -101,11 +117,11 @@ def _inside(p: Column) -> Column:
     return F.array_join(F.transform(parts, lambda q: F.when(q.rlike(quoted), mask(q)).otherwise(q)), "")
 
 
-def _parted(p: Column, rich: bool) -> Column:
+def _parted(p: Column, quoted: bool, script: bool) -> Column:
     """A paragraph with CUT at the ends of its sentences, placeholders turned back."""
-    p = _masked(p, rich)
+    p = _masked(p, quoted)
     p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+[)\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
-    if rich:
+    if quoted or script:
         # after a closing quote, a letter without case tells nothing: most often the sentence that holds the quote goes on
         p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+(?:[\x{{A0}}\x{{202F}} ]?[»›]|[{_CLOSERS}\"'])+)(?={_BLANK}+{_STARTS})(?!{_BLANK}+\p{{Lo}})(?<=[^)\]）])", f"$1{CUT}")
         p = F.regexp_replace(p, rf"([。！？｡]+[{_CLOSERS}]*)(?={_BLANK})", f"$1{CUT}")
@@ -114,22 +130,39 @@ def _parted(p: Column, rich: bool) -> Column:
     return F.translate(p, _MASKS + _OPEN + _CLOSE + _DE, _TERMINATORS + '""“')
 
 
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
+def _heads(lengths: Column) -> Column:
+    """Of an array of lengths, what comes before each group of _GROUP."""
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _GROUP).cast("int")), lambda g: _sum(F.slice(lengths, g * _GROUP + 1, F.lit(_GROUP))))
+    return F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+
 def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_no bigint from 0, end_pos bigint, sentence) of every unit that is not blank."""
     own = "".join(chr(c) for c in (0xF0000, 0xF0030, 0xF0031, 0xF0032, 0xF0033)) + _MASKS
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null and t <> ''")
-    rows = src.select("k", F.monotonically_increasing_id().alias("row"), F.translate("t", own, "�" * len(own)).alias("t"))
+    rows = src.select("k", F.when(F.col("t").rlike(f"[{own}]"), F.col("t")).alias("own"), F.translate("t", own, "�" * len(own)).alias("t"))
     marked = F.regexp_replace("t", rf"((?:\A|(?<=\n)){_NUMBER}[^\n]*+)(?=\n)", f"$1{_NUMBERED_LINE}")
     parted = F.translate(F.regexp_replace(marked, _BLOCKS, f"{CUT}$1$3$4{CUT}$5"), _NUMBERED_LINE, "")
-    blocks = rows.select("k", "row", F.posexplode(F.split(parted, CUT)).alias("b", "block"))
-    whole = F.col("block").rlike(rf"^(?:[ \t]{{0,3}}(?:`{{3}}|~{{3}}|#{{1,6}}(?:\s|$)))|^{_ITEM}[^\n]*\r?$")
-    parts = F.when(whole, F.array("block")).otherwise(F.split(F.when(F.col("block").rlike(_RICH), _parted(F.col("block"), True)).otherwise(_parted(F.col("block"), False)), CUT))
-    pieces = blocks.where("block <> ''").select("k", "row", "b", F.posexplode(parts).alias("p", "piece"))
-    kept = F.rtrim(F.col("piece"), F.lit(_SPACES))
-    w = Window.partitionBy("row").orderBy("b", "p")
-    spans = pieces.select(
-        F.col("k"), "row", "b", "p", F.length("piece").cast("bigint").alias("n"), F.length(kept).cast("bigint").alias("m"), F.ltrim(kept, F.lit(_SPACES)).alias("sentence")
-    )
-    ends = spans.withColumn("end_pos", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("end_pos", F.coalesce("end_pos", F.lit(0)) + F.col("m"))
-    shown = ends.where("m > 0 and sentence <> ''")
-    return shown.select(F.col("k").alias(key), (F.row_number().over(w) - 1).cast("bigint").alias("sent_no"), "end_pos", "sentence")
+
+    def parts(b: Column) -> Column:
+        whole = b.rlike(rf"^(?:[ \t]{{0,3}}(?:`{{3}}|~{{3}}|#{{1,6}}(?:\s|$)))|^{_ITEM}[^\n]*\r?$")
+        cut = F.when(b.rlike(_QUOTED), _parted(b, True, True)).when(b.rlike(_SCRIPT), _parted(b, False, True)).otherwise(_parted(b, False, False))
+        return F.when(whole, F.array(b)).otherwise(F.split(cut, CUT))
+
+    pieces = rows.select("k", "own", F.flatten(F.transform(F.split(parted, CUT), parts)).alias("p"))
+    sized = pieces.select("k", "own", "p", F.transform("p", lambda x: F.length(x).cast("bigint")).alias("n"))
+    headed = sized.select("k", "own", "p", "n", _heads(F.col("n")).alias("h"))
+
+    def unit(x: Column, i: Column) -> Column:
+        g = F.floor(i / _GROUP).cast("int")
+        kept = F.rtrim(x, F.lit(_SPACES))
+        before = F.get("h", g) + _sum(F.slice("n", g * _GROUP + 1, i - g * _GROUP))
+        return F.struct((before + F.length(kept)).alias("end_pos"), F.ltrim(kept, F.lit(_SPACES)).alias("sentence"))
+
+    shown = headed.select("k", "own", F.posexplode(F.filter(F.transform("p", unit), lambda u: u["sentence"] != "")).alias("no", "u"))
+    sentence = F.when(F.col("own").isNull(), F.col("u.sentence")).otherwise(F.expr("substring(own, cast(u.end_pos as int) - length(u.sentence) + 1, length(u.sentence))"))
+    return shown.select(F.col("k").alias(key), F.col("no").cast("bigint").alias("sent_no"), F.col("u.end_pos").alias("end_pos"), sentence.alias("sentence"))

@@ -58,3 +58,18 @@ def test_odd_rows(spark):
     assert max(r.end_pos for r in rows) == len(one.rstrip())
     assert {r.sentence for r in rows if r.doc_id is None} == {"X.", "Y"}
     assert units(d.limit(0)).count() == 0
+
+
+def test_own_private_characters_come_back(spark):
+    own = "".join(chr(c) for c in (0xF0000, 0xF0010, 0xF0030, 0xF0033))
+    texts = {1: f"Icon {own} here. And {own[0]} there.", 2: f"# {own}\n\n- x{own[1]}. y\n", 3: "Plain. Text."}
+    rows = sorted(units(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect())
+    assert [(r.doc_id, r.sentence) for r in rows] == [(1, f"Icon {own} here."), (1, f"And {own[0]} there."), (2, f"# {own}"), (2, f"- x{own[1]}. y"), (3, "Plain."), (3, "Text.")]
+    assert all(texts[r.doc_id][: r.end_pos].endswith(r.sentence) for r in rows)
+
+
+def test_many_units_in_one_text(spark):
+    text = "".join(f"Number {i} is here. " if i % 7 else f"It ends {i}.\n\n" for i in range(5000))
+    rows = units(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("sent_no").collect()
+    assert [r.sent_no for r in rows] == list(range(5000)) and all(text[r.end_pos - len(r.sentence) : r.end_pos] == r.sentence for r in rows)
+    assert "Exchange" not in units(spark.createDataFrame([(1, text)], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
