@@ -41,10 +41,15 @@ def p4_found(spark, sf_dir):
 
 
 def p4_places(spark, sf_dir):
-    """kind, record_id, repo, language, verdict ('token' or 'cut off'), place and line of the token at fault."""
+    """kind, record_id, repo, file_path, language, verdict ('token' or 'cut off'), place and line of the token at fault."""
     return _checked(spark, sf_dir).where("verdict is not null").distinct()
 
 
+def p4_files(spark, sf_dir):
+    """repo, file_path, language, n_texts, n_invalid: the flags per file."""
+    return syntax.by_file(_checked(spark, sf_dir))
+
+
 def p4_rates(spark, sf_dir):
     """repo, language, n_texts, n_invalid, rate."""
     return syntax.rates(_checked(spark, sf_dir))
@@ -94,7 +99,7 @@ def p9_sentences(spark, sf_dir):
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_files": p2_files, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
+    "p2_found": p2_found, "p2_files": p2_files, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_places": p4_places, "p4_files": p4_files, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_pieces": p6_pieces,
     "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sentences": p9_sentences,
     "patch_validate": patch_validate,
 }

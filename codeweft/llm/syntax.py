@@ -62,21 +62,21 @@ def normal_language(c: Column) -> Column:
 
 
 def verdicts(df: DataFrame) -> DataFrame:
-    """Rows (kind, record_id, repo, language, text) -> (kind, record_id, repo, language, verdict, place, line_no); verdict is null for a valid text."""
-    src = df.where(F.col("language").isin(*LANGUAGES)).where("text is not null and text <> ''").select("kind", "record_id", "repo", "language", "text")
+    """Rows (kind, record_id, repo, file_path, language, text) -> (kind, record_id, repo, file_path, language, verdict, place, line_no); verdict is null for a valid text."""
+    src = df.where(F.col("language").isin(*LANGUAGES)).where("text is not null and text <> ''").select("kind", "record_id", "repo", "file_path", "language", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             what, place, line = [], [], []
-            for lang, text in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for lang, text in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
                 text = text.as_py()
                 got = check(text, lang)
                 what.append(got and got[0])
                 place.append(got and got[1])
                 line.append(got and text.count("\n", 0, got[1]) + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(what, pa.string()), pa.array(place, pa.int64()), pa.array(line, pa.int64())], names=["kind", "record_id", "repo", "language", "verdict", "place", "line_no"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(what, pa.string()), pa.array(place, pa.int64()), pa.array(line, pa.int64())], names=["kind", "record_id", "repo", "file_path", "language", "verdict", "place", "line_no"])
 
-    return src.mapInArrow(run, "kind string, record_id bigint, repo string, language string, verdict string, place bigint, line_no bigint")
+    return src.mapInArrow(run, "kind string, record_id bigint, repo string, file_path string, language string, verdict string, place bigint, line_no bigint")
 
 
 def file_languages(samples: DataFrame) -> DataFrame:
@@ -86,13 +86,22 @@ def file_languages(samples: DataFrame) -> DataFrame:
 
 
 def records(samples: DataFrame, patches: DataFrame) -> DataFrame:
-    """(kind, record_id, repo, language, text) of samples' `code` and patches' `patched_code`."""
-    s = samples.select(F.lit("sample").alias("kind"), F.col("sample_id").alias("record_id"), "repo", normal_language(F.col("language")).alias("language"), F.col("code").alias("text"))
-    p = patches.where("patched_code is not null and patched_code <> ''").select("patch_id", "file_path", "patched_code").join(file_languages(samples), "file_path")
-    return s.unionByName(p.select(F.lit("patch").alias("kind"), F.col("patch_id").alias("record_id"), "repo", "language", F.col("patched_code").alias("text")))
+    """(kind, record_id, repo, file_path, language, text) of samples' `code` and patches' `patched_code`.
+
+    A patch has the language of its file's rows; one of a file without rows has none and is not judged.
+    """
+    s = samples.select(F.lit("sample").alias("kind"), F.col("sample_id").alias("record_id"), "repo", "file_path", normal_language(F.col("language")).alias("language"), F.col("code").alias("text"))
+    p = patches.where("patched_code is not null and patched_code <> ''").select("patch_id", "file_path", "patched_code").join(file_languages(samples), "file_path", "left")
+    return s.unionByName(p.select(F.lit("patch").alias("kind"), F.col("patch_id").alias("record_id"), "repo", "file_path", "language", F.col("patched_code").alias("text")))
 
 
 def rates(checked: DataFrame) -> DataFrame:
     """(repo, language, n_texts, n_invalid, rate) over distinct records."""
     one = checked.select("kind", "record_id", "repo", "language", F.col("verdict").isNotNull().alias("bad")).distinct()
     return one.groupBy("repo", "language").agg(F.count("*").alias("n_texts"), F.count_if("bad").alias("n_invalid")).withColumn("rate", F.col("n_invalid") / F.col("n_texts"))
+
+
+def by_file(checked: DataFrame) -> DataFrame:
+    """(repo, file_path, language, n_texts, n_invalid) over distinct records with a path."""
+    one = checked.where("file_path is not null").select("kind", "record_id", "repo", "file_path", "language", F.col("verdict").isNotNull().alias("bad")).distinct()
+    return one.groupBy("repo", "file_path", "language").agg(F.count("*").alias("n_texts"), F.count_if("bad").alias("n_invalid"))

@@ -95,4 +95,7 @@ def test_rows(spark):
     assert {(r.kind, r.record_id) for r in v.where("verdict is not null").collect()} == {("sample", 1), ("sample", 7), ("patch", 9)}
     rates = {(r.repo, r.language): (r.n_texts, r.n_invalid) for r in S.rates(v).collect()}
     assert rates == {("r", "python"): (3, 2), ("r", "javascript"): (1, 1), ("q", "c"): (1, 0)}
+    files = {(r.repo, r.file_path, r.language): (r.n_texts, r.n_invalid) for r in S.by_file(v).collect()}
+    assert files == {("r", "a.py", "python"): (3, 2), ("r", "z.js", "javascript"): (1, 1), ("q", "b.c", "c"): (1, 0)}
+    assert {r.record_id for r in S.records(s, p).where("kind = 'patch'").collect()} == {9, 11, 13}
     assert S.verdicts(S.records(s.limit(0), p.limit(0))).count() == 0
