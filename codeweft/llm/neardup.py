@@ -8,9 +8,10 @@ count towards the prefix but join nothing, so few postings are left.
 Texts that meet at a triple are compared in blocks. A text's sketch has one bit for each of BITS classes of hashes: the
 parity of the triples in it. Every triple that only one of two sets has flips one bit, so the sketches differ in at most
 as many bits as the sets in elements, and pairs over the radius (na + nb) (1 - t) / (1 + t) are ruled out for certain.
-The comparisons of a block lie side by side, 64 in a word: plane k holds bit k of all of them, a carry-save counter adds
-the planes up, and the block is abandoned once every comparison in it is over its radius. What is left is checked on the
-sets themselves.
+A task stores the sketches of its blocks vertically, once: plane k holds bit k of 64 texts in a word, texts that meet side
+by side. A word and the same word shifted by d compare every text with the one d places on, so all pairs of all blocks are
+met by shifts (between the words of a large block, by rotations). A carry-save counter adds the planes up, and a word is
+abandoned once every comparison in it is over its radius. What is left is checked on the sets themselves.
 
 Postings of a common triple are split into blocks of BLOCK texts and blocks meet two by two, so no task holds a group.
 Null, empty and short texts (under `min_tokens` tokens) have no pairs; repeated rows of a key count once.
@@ -32,7 +33,8 @@ from codeweft.core import cut, is_empty
 
 BITS = 512
 BLOCK = 1024
-LANES = 1 << 15
+LANES = 1 << 16  # texts in one vertical store
+CHECK = 32  # planes between two looks at who is over
 BROADCAST_ROWS = 1_000_000
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -103,36 +105,55 @@ def sets(df: DataFrame, key: str, text: str, min_tokens: int) -> DataFrame:
     return src.mapInArrow(run, "id bigint, n int, s1 bigint, s2 bigint, bits binary, triples array<bigint>")
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Which rows of two byte matrices differ in at most `radius` bits, by planes and a carry-save counter."""
-    n = len(a)
-    if not n:
-        return np.zeros(0, dtype=bool)
-    pad = -n % 64
-    x = np.unpackbits(np.pad(a ^ b, ((0, pad), (0, 0))), axis=1)
-    planes = np.ascontiguousarray(np.packbits(np.ascontiguousarray(x.T), axis=1)).view(np.uint64)  # one row a bit position, 64 comparisons a word
-    width = int(BITS).bit_length() + 1
-    lim = np.concatenate([np.minimum(radius, BITS), np.zeros(pad, dtype=np.int64)])
-    lim = [np.packbits((lim >> k & 1).astype(np.uint8)).view(np.uint64) for k in range(width)]
-    sums = [np.zeros(planes.shape[1], dtype=np.uint64) for _ in range(width)]
+WIDTH = int(BITS).bit_length() + 1  # bits of a distance and of a radius
+
+
+def _vertical(rows: np.ndarray, lane: np.ndarray, words: int) -> np.ndarray:
+    """Planes (one a column of `rows`, as bits) of the texts at their lanes, 64 lanes a word; lanes without a text are 0."""
+    out = np.zeros((words * 64, rows.shape[1]), dtype=np.uint8)
+    out[lane] = rows
+    return np.ascontiguousarray(np.packbits(out, axis=0, bitorder="little").T).view("<u8")
+
+
+def _numbers(values: np.ndarray) -> list[np.ndarray]:
+    """Planes of numbers below 2 ** WIDTH that lie lane by lane (a row a word)."""
+    flat = values.reshape(-1).astype("<u2")
+    low, high = (flat & 255).astype(np.uint8), (flat >> 8).astype(np.uint8)
+    return [np.packbits((low if k < 8 else high) & (1 << k % 8), bitorder="little").view("<u8") for k in range(WIDTH)]
+
+
+def near_lanes(a: np.ndarray, b: np.ndarray, d: int, radius: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, lane) where the text of `a` and that of `b` d lanes on (around the word's end) differ in at most `radius` bits.
+
+    a, b: planes; radius, valid: a row a word, a column a lane. Words without a valid comparison under its radius are abandoned.
+    """
+    place = np.arange(a.shape[1])
+    real = np.packbits(valid.reshape(-1), bitorder="little").view("<u8")
+    some = real != 0
+    place, real = place[some], real[some]
+    lim = _numbers(np.minimum(radius[some], BITS))
+    sums = [np.zeros(len(place), dtype=np.uint64) for _ in range(WIDTH)]
+    if not some.all():
+        a, b = a[:, some], b[:, some]
+    left, right = np.uint64(d), np.uint64(64 - d)
 
     def add(plane: np.ndarray, at: int) -> None:
-        for k in range(at, width):
+        for k in range(at, WIDTH):
             sums[k], plane = sums[k] ^ plane, sums[k] & plane
             if not plane.any():
                 return
 
     def over() -> np.ndarray:
         more, equal = np.zeros_like(sums[0]), ~np.zeros_like(sums[0])
-        for k in range(width - 1, -1, -1):
+        for k in range(WIDTH - 1, -1, -1):
             more |= equal & sums[k] & ~lim[k]
             equal &= ~(sums[k] ^ lim[k])
         return more
 
-    real = np.packbits(np.concatenate([np.ones(n, np.uint8), np.zeros(pad, np.uint8)])).view(np.uint64)
     for at in range(0, BITS, 8):
+        p = b[at : at + 8]
+        p = a[at : at + 8] ^ ((p >> left) | (p << right) if d else p)
         # carry-save: seven planes and the eighth into one of each weight
-        p = planes[at : at + 8]
         u = p[0] ^ p[1]
         s1, c1 = u ^ p[2], (p[0] & p[1]) | (u & p[2])
         u = p[3] ^ p[4]
@@ -147,36 +168,96 @@ def within(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
         add(two, 1)
         add(f1, 2)
         add(f2, 2)
-        if at % 64 == 56 and not (~over() & real).any():
-            return np.zeros(n, dtype=bool)
-    return np.unpackbits((~over()).view(np.uint8))[:n].astype(bool)
+        if at % CHECK == CHECK - 8 and at < BITS - 8:
+            live = (~over() & real) != 0
+            if not live.any():
+                return place[:0], place[:0]
+            if 4 * np.count_nonzero(live) <= 3 * len(live):
+                place, real, a, b = place[live], real[live], a[:, live], b[:, live]
+                sums, lim = [x[live] for x in sums], [x[live] for x in lim]
+    hits = np.unpackbits((~over() & real).view(np.uint8), bitorder="little").reshape(-1, 64)
+    w, lane = np.nonzero(hits)
+    return place[w], lane
 
 
-def _compare(t: float):
-    ratio = (1 - t) / (1 + t)
-
-    def lanes(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (within g, sorted by group) that meet at a triple and whose sizes allow similarity t."""
-        start = np.flatnonzero(np.r_[True, (g["h"].to_numpy()[1:] != g["h"].to_numpy()[:-1]) | (g["bi"].to_numpy()[1:] != g["bi"].to_numpy()[:-1]) | (g["bj"].to_numpy()[1:] != g["bj"].to_numpy()[:-1])])
-        end = np.r_[start[1:], len(g)]
-        side, same = g["side"].to_numpy(), (g["bi"] == g["bj"]).to_numpy()
-        li, lj, held = [], [], 0
-        for a, b in zip(start, end, strict=True):
-            if same[a]:
-                i, j = np.triu_indices(b - a, 1)
-                i, j = i + a, j + a
+def within(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which rows of two byte matrices differ in at most `radius` bits."""
+    out, words, lane = np.zeros(len(a), dtype=bool), -(-len(a) // 64), np.arange(len(a))
+    r, valid = np.zeros(words * 64, dtype=np.int64), np.arange(words * 64) < len(a)
+    r[: len(a)] = radius
+    w, at = near_lanes(*(_vertical(np.unpackbits(x, axis=1), lane, words) for x in (a, b)), 0, r.reshape(-1, 64), valid.reshape(-1, 64))
+    out[w * 64 + at] = True
+    return out
+
+
+class Store:
+    """Texts that meet in groups, laid out in lanes: groups of up to 64 texts side by side within a word, larger ones over words of their own."""
+
+    def __init__(self, bits: np.ndarray, n: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        first = np.zeros(len(size), dtype=np.int64)  # the lane of a group's first text
+        word = 0
+        cuts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]]) if len(size) else np.zeros(0, dtype=np.int64)
+        span = []  # (first word, end, group size) of words with groups of one size
+        self.wide: list[tuple[int, int]] = []
+        for x, y in zip(cuts, np.r_[cuts[1:], len(size)], strict=True):
+            m = int(size[x])
+            k = np.arange(y - x)
+            if m > 64:
+                each = -(-m // 64)
+                first[x:y] = (word + k * each) * 64
+                self.wide += [(int(w), int(w) + each) for w in word + k * each]
+                used = each * (y - x)
+                span.append((word, word + used, 64))
             else:
-                left, right = np.flatnonzero(side[a:b] == 0) + a, np.flatnonzero(side[a:b] == 1) + a
-                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-            li.append(i)
-            lj.append(j)
-            held += len(i)
-            if held >= LANES:
-                yield np.concatenate(li), np.concatenate(lj)
-                li, lj, held = [], [], 0
-        if held:
-            yield np.concatenate(li), np.concatenate(lj)
+                per = 64 // m
+                first[x:y] = (word + k // per) * 64 + (k % per) * m
+                used = -(-(y - x) // per)
+                span.append((word, word + used, m))
+            word += used
+        self.words, self.span = word, span
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        lane, row = np.repeat(first, size) + within, np.repeat(begin, size) + within
+        self.row = np.full(word * 64, -1, dtype=np.int64)
+        self.row[lane] = row
+        self.group = np.full(word * 64, -1, dtype=np.int32)
+        self.group[lane] = np.repeat(np.arange(len(size)), size)
+        self.n = np.zeros(word * 64, dtype=np.float32)  # sizes up to 2 ** 24 are exact
+        self.n[lane] = n[row]
+        self.row, self.group, self.n = (x.reshape(-1, 64) for x in (self.row, self.group, self.n))
+        self.planes = _vertical(np.unpackbits(bits[row], axis=1), lane, word)
+
+    def compare(self, wa: np.ndarray | slice, wb: np.ndarray | None, d: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of similar size within the radius, of the words `wa` against the words `wb` (None: themselves) d lanes on."""
+        other = wa if wb is None else wb
+        na, ga = self.n[wa], self.group[wa]
+        nb, gb = (np.roll(x[other], -d, axis=1) for x in (self.n, self.group))
+        ok = (ga >= 0) & (ga == gb)
+        if wb is None:
+            ok[:, 64 - d :] = False
+        ok &= np.minimum(na, nb) * np.float32(1.00001) >= np.float32(t) * np.maximum(na, nb)  # the exact check follows
+        radius = np.minimum((na + nb) * np.float32((1 - t) / (1 + t)) + np.float32(1e-3), BITS)
+        w, lane = near_lanes(self.planes[:, wa], self.planes[:, other], d, radius, ok)
+        return self.row[wa][w, lane], self.row[other][w, (lane + d) % 64]
+
+    def pairs(self, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of all pairs within a group that may be similar."""
+        for d in range(1, 64):
+            end = max((e for _, e, m in self.span if m > d), default=0)  # groups come from large to small
+            if not end:
+                break
+            yield self.compare(slice(0, end), None, d, t)
+        if self.wide:
+            wa = np.concatenate([np.repeat(np.arange(a, b), np.arange(b - a - 1, -1, -1)) for a, b in self.wide])
+            wb = np.concatenate([np.concatenate([np.arange(x + 1, b) for x in range(a, b)]) for a, b in self.wide])
+            step = max(1, LANES // 64)
+            for at in range(0, len(wa), step):
+                for d in range(64):
+                    yield self.compare(wa[at : at + step], wb[at : at + step], d, t)
+
 
+def _compare(t: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for f in frames:
@@ -189,21 +270,27 @@ def _compare(t: float):
             yield from found(rest)
 
     def found(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Pairs of a few whole blocks, LANES texts at a time."""
         if not len(g):
             return
-        g = g.reset_index(drop=True)
+        h, bi, bj, side = (g[c].to_numpy() for c in ("h", "bi", "bj", "side"))
+        start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+        size = np.diff(np.r_[start, len(g)])
         bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint8).reshape(len(g), BITS // 8)
         n, uid = g["n"].to_numpy().astype(np.int64), g["uid"].to_numpy()
-        for i, j in lanes(g):
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            fit = (lo >= t * hi - 1e-9) & (uid[i] != uid[j])
-            i, j = i[fit], j[fit]
-            for at in range(0, len(i), LANES):
-                p, q = i[at : at + LANES], j[at : at + LANES]
-                near = within(bits[p], bits[q], np.floor((n[p] + n[q]) * ratio + 1e-9).astype(np.int64))
-                p, q = uid[p[near]], uid[q[near]]
-                if len(p):
-                    yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+        cross = bi[start] != bj[start]
+        load = np.cumsum(size)
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + LANES, side="right")))
+            for i, j in Store(bits, n, start[a:b], size[a:b]).pairs(t):
+                keep = uid[i] != uid[j]
+                if cross[a:b].any():  # of two blocks that meet, the pairs within one are met elsewhere
+                    keep &= (bi[i] == bj[i]) | (side[i] != side[j])
+                x, y = uid[i[keep]], uid[j[keep]]
+                if len(x):
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+            a = b
 
     return run
 

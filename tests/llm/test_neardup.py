@@ -52,6 +52,27 @@ def test_bit_sliced_comparison():
     assert not N.within(a[300:], b[300:], np.zeros(33, dtype=np.int64)).any() and len(N.within(a[:0], b[:0], radius[:0])) == 0
 
 
+def test_vertical_store_meets_every_pair():
+    """Groups of all sizes, with repeats: the pairs within the radius of each, against a count of bits one by one."""
+    r = np.random.default_rng(5)
+    sizes = np.array([1, 2, 2, 3, 5, 40, 63, 64, 65, 130, 200, 2, 7])
+    base = r.integers(0, 256, (len(sizes), N.BITS // 8), dtype=np.uint8)
+    bits = np.repeat(base, sizes, axis=0) ^ np.packbits(r.random((sizes.sum(), N.BITS)) < r.random((sizes.sum(), 1)) * 0.2, axis=1)
+    n = r.integers(100, 180, sizes.sum())
+    begin = np.cumsum(sizes) - sizes
+    t, got = 0.5, []
+    for i, j in N.Store(bits, n, begin, sizes).pairs(t):
+        got += [(min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)]
+    want = set()
+    for a, m in zip(begin, sizes, strict=True):
+        for i in range(a, a + m):
+            for j in range(i + 1, a + m):
+                apart = int(np.unpackbits(bits[i] ^ bits[j]).sum())
+                if apart <= (n[i] + n[j]) / 3 + 1e-9 and min(n[i], n[j]) >= t * max(n[i], n[j]):
+                    want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < sum(m * (m - 1) // 2 for m in sizes)
+
+
 def test_sketches_bound_the_difference():
     m, r = N.Shingler(), random.Random(2)
     for _ in range(200):
