@@ -7,7 +7,7 @@ import itertools
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,7 +69,24 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{os.getpid()}-{next(_tables)}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table as by `cut` and the number of its rows, counted while they are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and nothing will read again (an iteration's past rounds)."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def is_empty(df: DataFrame) -> bool:

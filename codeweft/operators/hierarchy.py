@@ -1,16 +1,18 @@
 """Parent-child links of unknown depth: roots, paths, depths, descendants and cycles by contraction.
 
-The graph is contracted in rounds. A round rakes nodes without children (their incoming links are recorded) and
-compresses nodes with exactly one parent and one child (the two links become one that remembers what it spans).
-Neighbouring unary nodes are not compressed in the same round; of neighbours, the one with the smallest salted hash
-goes. A chain of n nodes thus takes O(log n) rounds instead of n. What can neither be raked nor compressed is the core:
-every node in it leads into a cycle. Strongly connected parts of the core are found by colour propagation, and then the
-recorded rounds are undone, last one first, which gives every removed node its values from nodes that went later.
+The graph is contracted in rounds. A round rakes nodes at an end (their links are recorded) and compresses nodes with
+exactly one parent and one child (the two links become one). Neighbouring unary nodes are not compressed in the same round;
+of neighbours, the one with the smallest salted hash goes. A chain of n nodes thus takes O(log n) rounds instead of n. What
+can neither be raked nor compressed is the core: every node in it leads into a cycle and is led to by one. Strongly connected
+parts of the core are found by colour propagation, and then the recorded rounds are undone, last one first, which gives every
+removed node its values from nodes that went later.
 
-Links that would span from a node to itself show a cycle and are taken out with what they span.
+Cycles and descendants rake nodes without children and nodes without parents alike, and links carry nothing: when a unary
+node v between u and w comes back, w and all below it gain v, and v gains u and all above it. Paths rake nodes without
+children only, and a link remembers the nodes it stands for, since they are part of the result.
 
-Everything is joins and aggregates on node ids; no task and no driver variable holds a tree. Each round is cut by a
-checkpoint.
+Everything is joins and aggregates on node ids; no task and no driver variable holds a tree. Each round's rows are written
+once and never again: what later rounds add has ids of its own, so results are unions of the rounds.
 
 Inputs: nodes(id), links(parent, child). Links with a null side, to ids without a node and from a node to itself are
 left out; repeated rows count once; empty tables give empty results.
@@ -18,13 +20,12 @@ left out; repeated rows count once; empty tables give empty results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.core import cut, is_empty
+from codeweft.core import cut, cut_counted, discard
 
 _NONE = "cast(array() as array<string>)"
 
@@ -45,168 +46,166 @@ def call_links(graph: DataFrame) -> DataFrame:
     return down.unionByName(up).where("parent is not null and child is not null")
 
 
-@dataclass
-class Contraction:
-    """What the rounds recorded. raked/squeezed rows hold the links a node had to its parents when it went."""
-
-    raked: list[DataFrame] = field(default_factory=list)
-    squeezed: list[DataFrame] = field(default_factory=list)
-    loops: list[DataFrame] = field(default_factory=list)
-    core: DataFrame | None = None
-
-    @property
-    def rounds(self) -> int:
-        return len(self.raked)
-
-
-def _merge(links: DataFrame) -> DataFrame:
-    """One link per (src, dst): the shortest, then the first by its nodes; `span` joins all that any of them spans."""
-    return links.groupBy("src", "dst").agg(
-        F.min(F.struct("len", "mid")).alias("m"), F.array_distinct(F.flatten(F.collect_set("span"))).alias("span")
-    ).select("src", "dst", "m.len", "m.mid", "span")
-
-
-def contract(links: DataFrame) -> Contraction:
-    """Contract distinct links (src, dst), each of which carries what it spans."""
-    out = Contraction()
-    e = cut(links.select("src", "dst", F.lit(1).alias("len"), F.expr(f"{_NONE} mid"), F.expr(f"{_NONE} span")))
-    held: DataFrame | None = None  # (v, members) of the loops taken out so far
-    while not is_empty(e):
-        k = out.rounds
-        ends = e.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("c")),
-                    F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("p"), F.lit(None).cast("string").alias("c")),
-                )
-            ).alias("x")
-        ).select("x.*")
-        deg = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("p").alias("p"), F.min("c").alias("c"))
-        kind = F.when(F.col("o") == 0, "leaf").when((F.col("o") == 1) & (F.col("i") == 1), "unary")
-        deg = cut(deg.select("id", "p", "c", kind.alias("kind"), F.xxhash64(F.lit(k), "id").alias("r")).where("kind is not null"))
-        leaves = deg.where("kind = 'leaf'").select("id")
-        near = deg.select(F.col("id").alias("n"), F.col("kind").alias("nk"), F.col("r").alias("nr"))
-        unary = deg.where("kind = 'unary'")
-        up = unary.join(near, F.col("p") == F.col("n"), "left").withColumn("ok1", F.expr("nk is null or r < nr or (r = nr and id < n)")).select("id", "p", "c", "r", "ok1")
-        both = up.join(near, F.col("c") == F.col("n"), "left").withColumn("ok2", F.expr("nk is null or nk = 'unary' and (r < nr or (r = nr and id < n))"))
-        chosen = cut(both.where("ok1 and ok2").select("id", "p", "c"))
-        if is_empty(leaves) and is_empty(chosen):
-            break
-        out.raked.append(cut(e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi")))
-        inn = e.join(chosen.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("v"), F.col("src").alias("u"), F.col("len").alias("l1"), F.col("mid").alias("m1"), F.col("span").alias("s1"))
-        on = e.join(chosen.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("len").alias("l2"), F.col("mid").alias("m2"), F.col("span").alias("s2"))
-        pair = inn.join(on, "v")
-        if held is not None:  # what loops at v lies on the way as well
-            pair = pair.join(held, "v", "left").withColumn("s1", F.array_union("s1", F.coalesce("members", F.expr(_NONE)))).drop("members")
-        made = cut(pair)
-        out.squeezed.append(made.select(F.col("v").alias("dst"), F.col("u").alias("src"), "w", F.col("l1").alias("len"), F.col("m1").alias("mid"), F.col("s1").alias("span")))
-        new = made.select(
-            F.col("u").alias("src"), F.col("w").alias("dst"), (F.col("l1") + F.col("l2")).alias("len"),
-            F.concat("m1", F.array("v"), "m2").alias("mid"), F.concat("s1", F.array("v"), "s2").alias("span"),
-        )
-        loop = cut(new.where("src = dst").groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_set("span"))).alias("span")))
-        if not is_empty(loop):
-            out.loops.append(loop)
-            every = reduce(DataFrame.unionByName, out.loops)
-            held = cut(every.groupBy(F.col("src").alias("v")).agg(F.array_distinct(F.flatten(F.collect_set("span"))).alias("members")))
-        gone = leaves.unionByName(chosen.select("id"))
-        left = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        e = cut(_merge(left.select(*new.columns).unionByName(new.where("src <> dst"))))
-    out.core = e
-    return out
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ends(e: DataFrame, salt: int, roots: bool) -> DataFrame:
+    """(id, p, c, top, end, r) of nodes that may go: ends (without children, with `roots` also without parents: `top`) and unary nodes with their parent and child."""
+    link = lambda i, p, c: F.struct(F.col(i).alias("id"), F.lit(None).cast("string").alias("p") if p is None else F.col(p).alias("p"), F.lit(None).cast("string").alias("c") if c is None else F.col(c).alias("c"))
+    both = e.select(F.explode(F.array(link("src", None, "dst"), link("dst", "src", None))).alias("x")).select("x.*")
+    deg = both.groupBy("id").agg(F.count("p").alias("i"), F.count("c").alias("o"), F.min("p").alias("p"), F.min("c").alias("c"))
+    end = (F.col("o") == 0) | ((F.col("i") == 0) & F.lit(roots))
+    return deg.where(end | ((F.col("i") == 1) & (F.col("o") == 1))).select("id", "p", "c", (F.col("o") > 0).alias("top"), end.alias("end"), F.xxhash64(F.lit(salt), "id").alias("r"))
+
+
+def _chosen(low: DataFrame) -> DataFrame:
+    """(v, u, w): unary nodes, none beside an end or another one that goes, with parent and child."""
+    near = low.select(F.col("id").alias("n"), F.col("end").alias("ne"), F.col("r").alias("nr"))
+    free = F.expr("ne is null or (not ne and (r < nr or (r = nr and id < n)))")
+    up = low.where("not end").join(near, F.col("p") == F.col("n"), "left").where(free).select("id", "p", "c", "r")
+    return up.join(near, F.col("c") == F.col("n"), "left").where(free).select(F.col("id").alias("v"), F.col("p").alias("u"), F.col("c").alias("w"))
+
+
+def _without(e: DataFrame, gone: DataFrame) -> DataFrame:
+    return e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
 
 
 def core_parts(core: DataFrame) -> DataFrame:
     """(id, part): strongly connected parts with two or more nodes of the core, by trimming and colour propagation."""
-    e, found = core.select("src", "dst").distinct(), []
-    e = cut(e)
-    while not is_empty(e):
+    e, n = cut_counted(core.select("src", "dst").distinct())
+    found = []
+    while n:
         while True:  # nodes without parents or without children lie on no cycle
-            n = e.count()
-            e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-            if e.count() == n:
+            before = n
+            e, n = cut_counted(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+            if n == before:
                 break
-        if is_empty(e):
+        if not n:
             break
         colour = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.col("id")))
-        while True:  # the largest id that leads to a node
-            pushed = e.join(colour, e.src == colour.id).select(F.col("dst").alias("id"), "part")
-            nxt = cut(colour.unionByName(pushed).groupBy("id").agg(F.max("part").alias("part")))
-            moved = nxt.join(colour.withColumnRenamed("part", "old"), "id").where("part <> old")
-            done = is_empty(moved)
-            colour = nxt
-            if done:
-                break
+        moved = 1
+        while moved:  # the largest id that leads to a node
+            pushed = e.join(colour, e.src == colour.id).select(F.col("dst").alias("id"), F.col("part").alias("new"))
+            best = pushed.groupBy("id").agg(F.max("new").alias("new"))
+            after = cut(colour.join(best, "id", "left").select("id", F.greatest("part", "new").alias("part"), (F.col("new") > F.col("part")).alias("moved")))
+            moved = after.where("moved").limit(1).count()
+            discard(colour)
+            colour = after.drop("moved")
+            colour._cut_path = after._cut_path
         same = cut(
             e.join(colour.select(F.col("id").alias("src"), F.col("part").alias("cs")), "src")
             .join(colour.select(F.col("id").alias("dst"), F.col("part").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")
         )
-        back = front = cut(colour.where("id = part").select("id", "part"))
-        while not is_empty(front):  # against the links, from each colour's first node
+        front, fresh = cut_counted(colour.where("id = part").select("id", "part"))
+        back = [front]
+        while fresh:  # against the links, from each colour's first node
             step = same.join(front, (same.dst == front.id) & (same.cs == front.part)).select(F.col("src").alias("id"), F.col("cs").alias("part")).distinct()
-            front = cut(step.join(back, "id", "left_anti"))
-            back = cut(back.unionByName(front))
-        found.append(back)
-        e = cut(e.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti"))
+            front, fresh = cut_counted(step.join(_union(back).select("id"), "id", "left_anti"))
+            back.append(front)
+        found += back
+        e, n = cut_counted(_without(e, _union(back).select("id")))
     if not found:
         return core.select(F.col("src").alias("id"), F.col("src").alias("part")).limit(0)
-    every = reduce(DataFrame.unionByName, found)
+    every = _union(found)
     many = every.groupBy("part").count().where("count > 1").select("part")
     return every.join(many, "part", "left_semi").select("id", "part")
 
 
-def _contract_bare(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(rounds, core) for cycles alone: links carry nothing, and nodes without parents are raked like those without children.
+def _contract_bare(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame, DataFrame]], DataFrame]:
+    """(rounds, core) where links carry nothing and both kinds of ends are raked.
 
-    A round's rows (v, u, w) are the unary nodes that went, with their parent and child at that time.
+    A round's tables: the links before it, the nodes that could go (`_ends`) and the unary ones that went (`_chosen`).
     """
-    rounds: list[DataFrame] = []
-    e = cut(links.select("src", "dst"))
-    while not is_empty(e):
-        ends = e.select(F.col("src").alias("id"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("c")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("p"), F.lit(None).cast("string").alias("c")))
-        deg = ends.groupBy("id").agg(F.count("p").alias("i"), F.count("c").alias("o"), F.min("p").alias("p"), F.min("c").alias("c"))
-        low = deg.where("i = 0 or o = 0 or (i = 1 and o = 1)").select("id", "p", "c", ((F.col("i") == 0) | (F.col("o") == 0)).alias("end"), F.xxhash64(F.lit(len(rounds)), "id").alias("r"))
-        low = cut(low)
-        near = low.select(F.col("id").alias("n"), F.col("end").alias("ne"), F.col("r").alias("nr"))
-        free = F.expr("ne is null or (not ne and (r < nr or (r = nr and id < n)))")
-        up = low.where("not end").join(near, F.col("p") == F.col("n"), "left").where(free).select("id", "p", "c", "r")
-        made = cut(up.join(near, F.col("c") == F.col("n"), "left").where(free).select(F.col("id").alias("v"), F.col("p").alias("u"), F.col("c").alias("w")))
-        gone = low.where("end").select("id").unionByName(made.select(F.col("v").alias("id")))
-        if is_empty(gone):
+    rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    e, n = cut_counted(links.select("src", "dst"))
+    while n:
+        low, some = cut_counted(_ends(e, len(rounds), True))
+        if not some:  # of several that could go one always does
             break
-        rounds.append(made)
-        left = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        e = cut(left.select("src", "dst").unionByName(made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
+        made = cut(_chosen(low))
+        rounds.append((e, low, made))
+        gone = low.where("end").select("id").unionByName(made.select(F.col("v").alias("id")))
+        e, n = cut_counted(_without(e, gone).select("src", "dst").unionByName(made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
     return rounds, e
 
 
+def _cycles(rounds: list[tuple[DataFrame, DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
+    parts = [cut(core_parts(core))]
+    for _, _, rec in reversed(rounds):
+        part = _union(parts)
+        pu, pw = (part.select(F.col("id").alias(a), F.col("part").alias(f"p{a}")) for a in ("u", "w"))
+        got = rec.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
+        # v is new; u is as well where it had no part
+        add = got.select(F.explode(F.array(F.struct(F.col("v").alias("id"), F.coalesce("pu", "u").alias("part")), F.struct(F.when(F.col("pu").isNull(), F.col("u")).alias("id"), F.col("u").alias("part")))).alias("x")).select("x.*")
+        parts.append(cut(add.where("id is not null").distinct()))
+    return _union(parts)
+
+
 def cycle_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, part): every node that lies on a cycle of two or more nodes; `part` names its strongly connected part.
 
     A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
     """
+    return _cycles(*_contract_bare(clean_links(nodes, links)))
+
+
+def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, descendant): every node below a node, itself left out."""
     rounds, core = _contract_bare(clean_links(nodes, links))
-    part = cut(core_parts(core))
-    for rec in reversed(rounds):
-        pu, pw = (part.select(F.col("id").alias(a), F.col("part").alias(f"p{a}")) for a in ("u", "w"))
-        got = rec.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
-        named = got.select("u", "v", F.coalesce("pu", "u").alias("part"))
-        add = named.select(F.explode(F.array("u", "v")).alias("id"), "part").distinct()
-        part = cut(part.unionByName(add.join(part, "id", "left_anti")))
-    return part
+    front, fresh = cut_counted(core.select(F.col("dst").alias("id"), F.col("src").alias("anc")))
+    above = [front]
+    while fresh:  # within the core, step by step
+        step = core.join(front, core.src == front.id).select(core.dst.alias("id"), "anc").where("id <> anc").distinct()
+        front, fresh = cut_counted(step.join(_union(above), ["id", "anc"], "left_anti"))
+        above.append(front)
+    for e, low, made in reversed(rounds):
+        known = _union(above)
+        tops = low.where("end and top").select(F.col("id").alias("src"))
+        leaves = low.where("end and not top").select(F.col("id").alias("dst"))
+        # nodes that come back above others: those, and what is below them, gain them
+        over = made.select(F.col("w").alias("at"), F.col("v").alias("new")).unionByName(
+            e.join(tops, "src", "left_semi").join(leaves, "dst", "left_anti").select(F.col("dst").alias("at"), F.col("src").alias("new"))
+        )
+        gained = over.select(F.col("at").alias("id"), F.col("new").alias("anc")).unionByName(known.join(over, F.col("anc") == F.col("at")).select("id", F.col("new").alias("anc")))
+        above.append(cut(gained.where("id <> anc").distinct()))
+        known = _union(above)
+        # nodes that come back below others gain those and what is above them
+        under = made.select(F.col("v").alias("new"), F.col("u").alias("by")).unionByName(e.join(leaves, "dst", "left_semi").select(F.col("dst").alias("new"), F.col("src").alias("by")))
+        below = under.select(F.col("new").alias("id"), F.col("by").alias("anc")).unionByName(under.join(known, F.col("by") == F.col("id")).select(F.col("new").alias("id"), "anc"))
+        above.append(cut(below.where("id <> anc").distinct()))
+    return _union(above).select(F.col("anc").alias("id"), F.col("id").alias("descendant"))
 
 
-def hierarchy(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paths, pairs) of a graph.
+def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """(rounds, core) where a link (src, dst, len, mid) stands for the shortest, then first way through the nodes `mid`.
+
+    A round's tables: the links to the nodes it raked, and (v, u, w, ...) of the unary ones that went.
+    """
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    e, n = cut_counted(links.select("src", "dst", F.lit(1).alias("len"), F.expr(f"{_NONE} mid")))
+    while n:
+        low, some = cut_counted(_ends(e, len(rounds), False))
+        if not some:
+            break
+        inn, on = (e.select(F.col(a).alias("v"), F.col("len").alias(f"l{i}"), F.col("mid").alias(f"m{i}")) for i, a in ((1, "dst"), (2, "src")))
+        made = cut(_chosen(low).join(inn, "v").join(on, "v"))
+        leaves = low.where("end").select("id")
+        rounds.append((e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "len", "mid"), made.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("l1").alias("len"), F.col("m1").alias("mid"))))
+        new = made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"), (F.col("l1") + F.col("l2")).alias("len"), F.concat("m1", F.array("v"), "m2").alias("mid"))
+        left = _without(e, leaves.unionByName(made.select(F.col("v").alias("id")))).select(*new.columns)
+        e, n = cut_counted(left.unionByName(new).groupBy("src", "dst").agg(F.min(F.struct("len", "mid")).alias("m")).select("src", "dst", "m.len", "m.mid"))
+    return rounds, e
+
+
+def shortest_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, depth, path): the shortest path from a node without parents, of several the first by its ids; a root has depth 0.
 
-    paths(id, root, depth, path, on_cycle): the shortest path from a node without parents, of several the first by its
-    ids; depth of a root is 0. A node that only cycles lead to has null root, depth and path.
-    pairs(id, descendant): every node below a node, itself left out.
+    Nodes that only cycles lead to have no row.
     """
     ids = nodes.select("id").where("id is not null").distinct()
     e0 = cut(clean_links(nodes, links))
-    c = contract(e0)
-    core = c.core
+    rounds, core = _contract_paths(e0)
     roots = ids.join(e0.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     best = cut(roots.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")))
 
@@ -214,35 +213,31 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
         j = rec.join(known, rec.src == known.id).select(rec.dst.alias("id"), (F.col("depth") + F.col("len")).alias("depth"), F.concat("path", "mid", F.array(rec.dst)).alias("path"))
         return j.groupBy("id").agg(F.min(F.struct("depth", "path")).alias("b")).select("id", "b.depth", "b.path")
 
-    front = best
-    while not is_empty(core):  # relaxation over the core only
+    front, fresh = best, core.limit(1).count()
+    while fresh:  # relaxation over the core only
         cand = through(core, front)
         old = best.select(F.col("id").alias("i"), F.struct("depth", "path").alias("o"))
-        front = cut(cand.join(old, F.col("id") == F.col("i"), "left").where(F.expr("o is null or struct(depth, path) < o")).select("id", "depth", "path"))
-        if is_empty(front):
-            break
-        best = cut(best.join(front, "id", "left_anti").unionByName(front))
-    loops = None  # a node with a loop lies below itself and below all that the loop spans
-    if c.loops:
-        loops = reduce(DataFrame.unionByName, c.loops).select(F.col("dst").alias("id"), F.explode(F.concat(F.array("dst"), "span")).alias("anc"))
-
-    def base(rec: DataFrame) -> DataFrame:
-        return rec.select(F.col("dst").alias("id"), F.explode(F.concat(F.array("src"), "span")).alias("anc"))
-
-    anc = base(core) if loops is None else base(core).unionByName(loops)
-    anc = front = cut(anc.distinct())
-    while not is_empty(front):
-        step = core.join(front, core.src == front.id).select(core.dst.alias("id"), "anc").distinct()
-        front = cut(step.join(anc, ["id", "anc"], "left_anti"))
-        anc = cut(anc.unionByName(front))
-    for raked, squeezed in zip(reversed(c.raked), reversed(c.squeezed), strict=True):
-        rec = raked.select("src", "dst", "len", "mid", "span").unionByName(squeezed.select("src", "dst", "len", "mid", "span"))
-        best = cut(best.unionByName(through(rec, best).join(best, "id", "left_anti")))
-        more = base(rec).unionByName(rec.join(anc, rec.src == anc.id).select(rec.dst.alias("id"), "anc"))
-        anc = cut(anc.unionByName(more.distinct()).distinct())
-    back = anc.where("id = anc").select("id").distinct().withColumn("self", F.lit(True))
-    pairs = anc.where("id <> anc").select(F.col("anc").alias("id"), F.col("id").alias("descendant"))
-    paths = ids.join(best, "id", "left").join(back, "id", "left").select(
-        "id", F.element_at("path", 1).alias("root"), "depth", "path", F.coalesce("self", F.lit(False)).alias("on_cycle")
-    )
-    return paths, pairs
+        front, fresh = cut_counted(cand.join(old, F.col("id") == F.col("i"), "left").where(F.expr("o is null or struct(depth, path) < o")).select("id", "depth", "path"))
+        if fresh:
+            best = cut(best.join(front, "id", "left_anti").unionByName(front))
+    parts = [best]
+    for raked, squeezed in reversed(rounds):
+        known = _union(parts)
+        parts.append(cut(through(raked.unionByName(squeezed), known)))
+    return _union(parts)
+
+
+def paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root, depth, path, on_cycle) of every node: its shortest path from a node without parents (`shortest_paths`).
+
+    A node that only cycles lead to has null root, depth and path.
+    """
+    ids = nodes.select("id").where("id is not null").distinct()
+    back = cycle_members(nodes, links).select("id", F.lit(True).alias("back"))
+    found = ids.join(shortest_paths(nodes, links), "id", "left").join(back, "id", "left")
+    return found.select("id", F.element_at("path", 1).alias("root"), "depth", "path", F.coalesce("back", F.lit(False)).alias("on_cycle"))
+
+
+def hierarchy(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths, descendants) of a graph."""
+    return paths(nodes, links), descendants(nodes, links)

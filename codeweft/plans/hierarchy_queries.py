@@ -14,7 +14,7 @@ def p1_found(spark, sf_dir):
 def p1_hierarchy(spark, sf_dir):
     """id, root, depth, path (ids joined by ' > '), on_cycle, is_top (nothing calls it) beside the entry point noted in the table."""
     g = load(spark, sf_dir, "call_graph_nodes").select("id", "callers", "callees", "is_entry_point")
-    paths, _ = H.hierarchy(g, H.call_links(g))
+    paths = H.paths(g, H.call_links(g))
     noted = g.groupBy("id").agg(F.bool_or("is_entry_point").alias("noted_entry_point"))
     return paths.join(noted, "id").select(
         "id", "root", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "on_cycle", F.coalesce(F.col("depth") == 0, F.lit(False)).alias("is_top"), "noted_entry_point"
@@ -23,7 +23,7 @@ def p1_hierarchy(spark, sf_dir):
 
 def p1_descendants(spark, sf_dir):
     g = load(spark, sf_dir, "call_graph_nodes").select("id", "callers", "callees")
-    return H.hierarchy(g, H.call_links(g))[1]
+    return H.descendants(g, H.call_links(g))
 
 
 _LINKS = """
