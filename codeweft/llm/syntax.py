@@ -1,6 +1,6 @@
 """Source files that do not parse (problem 4).
 
-Code is read as tokens of its language and parsed with derivatives. `language` is taken in any spelling; texts in other
+Code is read as tokens of its language and parsed with derivatives (`codeweft.parsing`). `language` is taken in any spelling; texts in other
 languages are not judged. A text standing alone may be a statement, declarations, or in JavaScript an expression. Null
 and empty texts are not judged; blank ones and mere comments are valid. Each verdict depends on the text alone, so
 repeated rows agree.
@@ -8,53 +8,17 @@ repeated rows agree.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.source_tokens import is_balanced
-from codeweft.llm import grammars as G
-from codeweft.llm.derivatives import Grammar, Parser
-from codeweft.llm.lexers import CLexer, JavaScriptLexer, PythonLexer
+from codeweft.parsing.validity import LANGUAGES, check
 
-LANGUAGES = ("python", "javascript", "c", "cpp")
 _ALIASES = {"py": "python", "python3": "python", "js": "javascript", "node": "javascript", "ecmascript": "javascript", "jsx": "javascript", "mjs": "javascript", "c++": "cpp", "cxx": "cpp", "cc": "cpp", "h": "c"}
 
 
-@functools.lru_cache(maxsize=8)
-def _tools(language: str):
-    if language == "python":
-        g = Grammar(G.PYTHON, "file")
-        return PythonLexer(g), Parser(g)
-    if language == "javascript":
-        g = Grammar(G.JAVASCRIPT, "program", {"_ns": (G.JAVASCRIPT_SPINE, {"'{'", "'function'", "'class'"}), "_nb": (G.JAVASCRIPT_SPINE, {"'{'"})})
-        return JavaScriptLexer(g), Parser(g, inserted="ASI")
-    g = Grammar(G.C if language == "c" else G.CPP, "unit")
-    return CLexer(g, language == "cpp"), Parser(g)
-
-
-def check(text: str | None, language: str) -> tuple[str, int] | None:
-    """None for a valid text, else (verdict, place): 'token' at the place of the token at fault, 'cut off' at the end."""
-    if not text or not text.strip():
-        return None
-    lexer, parser = _tools(language)
-    kinds, at = lexer.lex(text)
-    bad = parser.parse(kinds)
-    if bad < 0:
-        return None
-    if bad >= len(kinds):
-        return "cut off", len(text)
-    return ("cut off" if kinds[bad] == lexer.open else "token"), at[bad]
-
-
-def parses(text: str, language: str) -> bool:
-    """Whether a text is valid: Python by its own parser, the other languages by derivatives."""
-    return is_balanced(text, language) if language == "python" else check(text, language) is None
-
-
 def normal_language(c: Column) -> Column:
     """Lower case, trimmed, common aliases folded."""
     low = F.lower(F.trim(c))
