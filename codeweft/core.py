@@ -7,7 +7,7 @@ import itertools
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,10 +74,10 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A table as by `cut` and the number of its rows, counted while they are written."""
+def cut_counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """A table as by `cut` and the number of its rows (of those that fulfil `which`), counted while they are written."""
     seen = Observation()
-    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    table = cut(df.observe(seen, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")))
     return table, seen.get["n"]
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.core import cut, is_empty
+from codeweft.core import cut, cut_counted, discard
 
 MAX_DEPTH = 8
 MAX_PATHS = 3
@@ -41,26 +41,44 @@ def node_info(graph: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("q", "id").join(graph, "id")
 
 
-def paths_from(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, stop: DataFrame | None = None) -> DataFrame:
-    """(start, node, depth, path) of every node within reach of starts(id), the start itself included at depth 0.
-
-    `stop`: node ids at which a path may end but not go on (they are still reached).
-    """
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path")).distinct()
-    front = cut(front)
-    seen, levels = front.select("start", "node"), [front]
+def paths_from(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(start, node, depth, path) of every node within reach of starts(id), the start itself included at depth 0."""
+    front, fresh = cut_counted(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path")).distinct())
+    levels = [front]
     e = cut(edges.select("src", "dst").distinct())
-    for depth in range(1, max_depth + 1):
+    while fresh and len(levels) <= max_depth:
+        seen = reduce(DataFrame.unionByName, [x.select("start", "node") for x in levels])  # two columns of each level's file
         step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        best = step.groupBy("start", "node").agg(F.min("path").alias("path"))
-        front = cut(best.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), "path"))
-        if is_empty(front):
-            break
+        best = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti")
+        front, fresh = cut_counted(best.select("start", "node", F.lit(len(levels)).alias("depth"), "path"))
         levels.append(front)
-        seen = seen.unionByName(front.select("start", "node"))
     return reduce(DataFrame.unionByName, levels)
 
 
+def nearest(starts: DataFrame, edges: DataFrame, keep: int, max_depth: int = MAX_DEPTH, backward: bool = False) -> DataFrame:
+    """(node, rank, start, ord, depth, path): of the starts(id, ord) within reach of a node the `keep` least by `ord`, each with its shortest, then first path.
+
+    Links are followed from the starts on, or against their direction (`backward`: the path then leads from the node to the
+    start). A node never holds more than `keep` rows, on the way either: who is not among the least of a node is not
+    among those of the nodes behind it, since all that beat it there get there as soon.
+    """
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    e = cut(edges.select(F.col(a).alias("from"), F.col(b).alias("next")).distinct())
+    held, fresh = cut_counted(starts.select(F.col("id").alias("node"), F.lit(1).alias("rank"), F.col("id").alias("start"), "ord", F.lit(0).alias("depth"), F.array("id").alias("path")))
+    w = Window.partitionBy("node").orderBy("ord", "start")
+    for depth in range(1, max_depth + 1):
+        if not fresh:
+            break
+        path = F.concat(F.array("next"), "path") if backward else F.concat("path", F.array("next"))
+        step = held.where(F.col("depth") == depth - 1).join(e, F.col("node") == F.col("from")).select(F.col("next").alias("node"), "start", "ord", F.lit(depth).alias("depth"), path.alias("path"))
+        one = held.drop("rank").unionByName(step).groupBy("node", "start").agg(F.min("ord").alias("ord"), F.min(F.struct("depth", "path")).alias("m")).select("node", "start", "ord", "m.depth", "m.path")
+        least = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+        new, fresh = cut_counted(least, F.col("depth") == depth)
+        discard(held)
+        held = new
+    return held
+
+
 def taint_paths(nodes: DataFrame, edges: DataFrame, targets: DataFrame | None = None, limit: int = MAX_PATHS) -> DataFrame:
     """(id, rank, path): up to three source-to-sink paths through each node, names joined by ' -> '.
 
@@ -68,16 +86,13 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, targets: DataFrame | None =
     graph order that is the node itself or within reach; without such a sink it ends at the node.
     """
     inner = nodes.where("not is_external")
-    asked = targets if targets is not None else inner.select("id")
-    src = inner.where("is_taint_source").select("id", F.col("ord").alias("src_ord"))
-    sink = inner.where("is_taint_sink").select("id", F.col("ord").alias("sink_ord"))
+    src, sink = (inner.where(flag).select("id", "ord") for flag in ("is_taint_source", "is_taint_sink"))
     inside = edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").join(inner.select(F.col("id").alias("dst")), "dst", "left_semi")
-    to_node = paths_from(src.select("id"), inside).join(asked.withColumnRenamed("id", "node"), "node", "left_semi")
-    w = Window.partitionBy("node").orderBy("src_ord")
-    prefix = to_node.join(src.withColumnRenamed("id", "start"), "start").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    onward = paths_from(prefix.select(F.col("node").alias("id")).distinct(), inside)
-    suffix = onward.join(sink.withColumnRenamed("id", "node"), "node").groupBy("start").agg(F.min_by("path", "sink_ord").alias("tail"))
-    j = prefix.select("node", "rank", "path").join(suffix.withColumnRenamed("start", "node"), "node", "left")
+    before = nearest(src, inside, limit).select("node", "rank", "path")
+    if targets is not None:
+        before = before.join(targets.select(F.col("id").alias("node")), "node", "left_semi")
+    after = nearest(sink, inside, 1, backward=True).select("node", F.col("path").alias("tail"))
+    j = before.join(after, "node", "left")
     whole = F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", F.slice("tail", F.lit(2), F.greatest(F.size("tail") - 1, F.lit(0)))))
     return j.select(F.col("node").alias("id"), F.col("rank").cast("bigint").alias("rank"), F.array_join(F.transform(whole, lambda x: F.element_at(F.split(x, "::"), -1)), " -> ").alias("path"))
 

@@ -107,6 +107,23 @@ def test_taint_paths(spark):
     assert not any(k[0] == "external::x" for k in got)
 
 
+def test_nearest_against_all_starts(spark):
+    r = random.Random(9)
+    ids = [f"n{i:02d}" for i in range(40)]
+    edges = {(a, b) for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(70)) if a != b}
+    starts = {s: i for i, s in enumerate(r.sample(ids, 15))}
+    e = spark.createDataFrame(sorted(edges), "src string, dst string")
+    s = spark.createDataFrame(list(starts.items()), "id string, ord int")
+    for backward in (False, True):
+        reach = {x: bfs({(b, a) for a, b in edges} if backward else edges, x, 4) for x in starts}
+        want = {}
+        for n in ids:
+            for rank, x in enumerate(sorted((x for x in starts if n in reach[x]), key=starts.get)[:2]):
+                want[n, rank + 1] = (x, bfs(edges, n, 4)[x] if backward else reach[x][n])
+        got = {(x.node, x.rank): (x.start, x.path) for x in Q.nearest(s, e, 2, 4, backward).collect()}
+        assert got == want
+
+
 def test_questions(spark):
     g = spark.createDataFrame([("a::f", "f", ["x"], []), ("b::f", "f", [], ["a::f"])], "id string, function_name string, callers array<string>, callees array<string>")
     q = spark.createDataFrame([(1, "f", "b"), (2, "f", None), (3, "f", "zzz"), (4, "nope", "b"), (5, "a::f", None)], "q int, fn string, path string")
