@@ -89,6 +89,23 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+BROADCAST_ROWS = 100_000  # of rows of a few numbers and short strings, some ten megabytes
+
+
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    """A counted table for a join: broadcast if it is small, else left to the planner."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def first_of(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """The earliest of a key's repeats (they carry the same content later), whole rows left where they are.
+
+    Only keys and times are shuffled; what is left out is few rows as a rule and then broadcast. Null keys are kept.
+    """
+    again, n = cut_counted(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ts).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__k"), "__first"))
+    return df.join(bounded(again, n), (F.col(key) == F.col("__k")) & (F.col(ts) > F.col("__first")), "left_anti")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -33,6 +33,27 @@ def mask_nested(body: bytes, children: list[tuple[int, int, str]]) -> bytes:
     return b"".join(out) + body[at:]
 
 
+class OpenSpans:
+    """Spans (start, end, name) that pass by start, the longest first: gives for each the names of those that hold it with none in between.
+
+    Only spans that may still hold others are kept. Equal ones don't hold each other.
+    """
+
+    def __init__(self) -> None:
+        self.around: list[tuple] = []
+
+    def holders(self, start: int, end: int, name) -> list:
+        around = self.around
+        while around and around[-1][1] < start:
+            around.pop()
+        held: list[tuple] = []
+        for x in reversed(around):  # what lies within a span comes after it
+            if x[1] >= end and x[:2] != (start, end) and (not held or x[1] < held[-1][1] or x[:2] == held[-1][:2]):
+                held.append(x)
+        around.append((start, end, name))
+        return [x[2] for x in held]
+
+
 def functions_of(content: str, language: str, max_lines: int = MAX_LINES) -> list[dict]:
     """Rows of one file. Bodies hold their own source; nested functions that have rows of their own are masked."""
     raw = content.encode("utf-8", "replace")
@@ -46,11 +67,14 @@ def functions_of(content: str, language: str, max_lines: int = MAX_LINES) -> lis
         a, b = content.count("\n", 0, f.start) + 1, content.count("\n", 0, f.end) + 1
         if b - a + 1 <= max_lines:
             kept.append((byte(f.start), byte(f.end), f.name, a, b, content[f.start : f.end]))
+    children: list[list[int]] = [[] for _ in kept]
+    spans = OpenSpans()
+    for k in sorted(range(len(kept)), key=lambda k: (kept[k][0], -kept[k][1])):
+        for j in spans.holders(*kept[k][:2], k):
+            children[j].append(k)
     rows = []
     for pos, (s, e, name, a, b, text) in enumerate(kept):
-        inner = [k for k in kept if s <= k[0] and k[1] <= e and (k[0], k[1]) != (s, e)]
-        direct = [k for k in inner if not any(m is not k and m[0] <= k[0] and k[1] <= m[1] and (m[0], m[1]) != (k[0], k[1]) for m in inner)]
-        code = mask_nested(raw[s:e], [(k[0] - s, k[1] - s, k[2]) for k in direct]).decode("utf-8", "replace")
+        code = mask_nested(raw[s:e], [(kept[k][0] - s, kept[k][1] - s, kept[k][2]) for k in children[pos]]).decode("utf-8", "replace")
         calls = [{"pos": i, "raw_call": c} for i, c in enumerate(call_names(text, language))]
         rows.append({"function_name": name, "start_line": a, "end_line": b, "start_byte": s, "end_byte": e, "pos": pos, "line_count": b - a + 1, "code": code, "calls": calls})
     return rows
@@ -101,12 +125,22 @@ def with_file_context(functions: DataFrame, imps: DataFrame, rts: DataFrame) ->
 
 
 def nested_direct(spans: DataFrame) -> DataFrame:
-    """(file_path, outer, inner) of spans(file_path, id, sb, eb): contained, with nothing contained in between."""
-    o = spans.select("file_path", F.col("id").alias("outer"), F.col("sb").alias("os"), F.col("eb").alias("oe"))
-    i = spans.select("file_path", F.col("id").alias("inner"), F.col("sb").alias("is"), F.col("eb").alias("ie"))
-    inside = (F.col("os") <= F.col("is")) & (F.col("ie") <= F.col("oe")) & ~((F.col("os") == F.col("is")) & (F.col("ie") == F.col("oe")))
-    pairs = o.join(i, "file_path").where(inside)
-    # of the spans around one, a direct parent is one that holds no other of them
-    a, b = pairs.alias("a"), pairs.select("file_path", F.col("inner").alias("i2"), F.col("os").alias("ms"), F.col("oe").alias("me"), F.col("outer").alias("mid")).alias("b")
-    between = (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.inner") == F.col("b.i2")) & (F.col("a.os") <= F.col("b.ms")) & (F.col("b.me") <= F.col("a.oe")) & ~((F.col("a.os") == F.col("b.ms")) & (F.col("a.oe") == F.col("b.me")))
-    return a.join(b, between, "left_anti").select("file_path", "outer", "inner")
+    """(file_path, outer, inner) of spans(file_path, id, sb, eb): contained, with nothing contained in between.
+
+    A file's spans pass by in order; only those still open are held. Rows with a null are left out.
+    """
+    src = spans.select("file_path", "id", "sb", "eb").dropna()
+    kinds = {c: src.schema[c].dataType.simpleString() for c in ("file_path", "id")}
+    placed = src.repartition("file_path").sortWithinPartitions("file_path", "sb", F.desc("eb"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, open_spans = None, OpenSpans()
+        for f in frames:
+            out = []
+            for p, i, s, e in zip(f["file_path"], f["id"], f["sb"], f["eb"], strict=True):
+                if p != path:
+                    path, open_spans = p, OpenSpans()
+                out += [(p, j, i) for j in open_spans.holders(s, e, i)]
+            yield pd.DataFrame(out, columns=["file_path", "outer", "inner"])
+
+    return placed.mapInPandas(run, f"file_path {kinds['file_path']}, outer {kinds['id']}, inner {kinds['id']}")

@@ -68,7 +68,7 @@ def skip_dirs_filter(spark, d):
 SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY part, k) - 1 AS INTEGER) AS pos, alias, source FROM r""")
 def import_extract(spark, d):
     """X11, D2."""
-    return extraction.imports(t.files(spark, d))
+    return extraction.imports(t.contents(spark, d)).distinct()
 
 
 @query(rf"""WITH {t.FILES}, r AS (SELECT file_path, unnest(regexp_extract_all(content, '(?s)router\.(get|post|put|delete)\((.+?)\)', 1)) AS m,
@@ -77,7 +77,7 @@ p AS (SELECT file_path, CAST(pos AS INTEGER) AS pos, upper(m) AS method, list_tr
 SELECT file_path, pos, method, regexp_replace(p[1], '["'']', '', 'g') AS path, array_to_string(p[2:], ',') AS handlers FROM p""")
 def route_extract(spark, d):
     """X12, D3."""
-    return _joined(extraction.routes(t.files(spark, d)), "handlers")
+    return _joined(extraction.routes(t.contents(spark, d)), "handlers").distinct()
 
 
 @query(rf"WITH {t.FNC} SELECT id AS src, x AS raw_call, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(code, '{t.CALL}', 1)) AS x FROM fnc WHERE code IS NOT NULL) GROUP BY ALL")

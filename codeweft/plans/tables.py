@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.core import load
+from codeweft.core import first_of, load
 from codeweft.functions.text import missing, node_id
 from codeweft.operators import evaluation
 
@@ -18,9 +18,17 @@ CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\("
 def functions(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """(fn_ord, repo, file_path, function_name, language, start_line, end_line, id, ...)."""
     t = load(spark, d, "code_samples").where(missing("function_name").isNotNull())
-    return t.select(
+    if more:  # texts stay where they are
+        t = first_of(t, "sample_id", "ingested_at")
+    rows = t.select(
         F.col("sample_id").alias("fn_ord"), "repo", "file_path", "function_name", F.lower(F.trim("language")).alias("language"), "start_line", "end_line", node_id("file_path", "function_name").alias("id"), *more
-    ).distinct()
+    )
+    return rows if more else rows.distinct()
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    """(file_path, content) of every row with a file; a file's rows carry the same content, so what is taken from it is made distinct after."""
+    return load(spark, d, "code_samples").where("raw_content is not null").select("file_path", F.col("raw_content").alias("content"))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +38,9 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """(src, pos, raw_call) by a plain pattern over the code (SQL can follow it; the parser's calls are `extract_functions`)."""
-    code = functions(spark, d, "code").where("code is not null")
-    return code.select(F.col("id").alias("src"), F.posexplode(F.regexp_extract_all("code", F.lit(CALL), F.lit(1))).alias("pos", "raw_call"))
+    t = load(spark, d, "code_samples").where(missing("function_name").isNotNull()).where("code is not null")
+    found = t.select("sample_id", node_id("file_path", "function_name").alias("src"), F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("calls")).where("size(calls) > 0")
+    return found.distinct().select("src", F.posexplode("calls").alias("pos", "raw_call"))  # of repeated rows, what they call
 
 
 def file_imports(spark: SparkSession, d: str) -> DataFrame:

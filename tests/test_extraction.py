@@ -1,5 +1,7 @@
 """Functions, imports, routes, masking."""
 
+import random
+
 import pytest
 
 from codeweft.functions.source_tokens import call_names, is_balanced
@@ -76,6 +78,16 @@ def test_nested_direct(spark, rows):
     assert rows(X.nested_direct(s), "outer", "inner") == [("a", "b"), ("a", "d"), ("b", "c"), ("b", "e")]
 
 
+def test_nested_direct_of_any_spans(spark, rows):
+    """Also of spans that cross or repeat, against the definition."""
+    r = random.Random(6)
+    spans = [(f"f{k % 4}", f"s{k}", a, a + r.randint(0, 12)) for k, a in ((k, r.randint(0, 20)) for k in range(80))]
+    d = spark.createDataFrame([*spans, (None, "n", 1, 2), ("f0", "n", None, 2)], "file_path string, id string, sb int, eb int").repartition(3)
+    holds = lambda x, y: x[0] == y[0] and x[2] <= y[2] and y[3] <= x[3] and x[2:] != y[2:]
+    want = sorted((x[0], x[1], y[1]) for x in spans for y in spans if holds(x, y) and not any(holds(x, z) and holds(z, y) for z in spans))
+    assert rows(X.nested_direct(d), "file_path", "outer", "inner") == want
+
+
 def test_scan(spark, tmp_path, rows):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "sub").mkdir()
