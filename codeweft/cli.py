@@ -63,6 +63,7 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
     e.add_argument("--ground-truth", required=True)
     e.add_argument("--output-dir", default="results")
     o = p.parse_args(argv)
+    scan.load_env()
     spark = spark or local_session()
     at = now or datetime.datetime.now().isoformat()
     config = scan.load_config(getattr(o, "config", None))
@@ -136,8 +137,9 @@ def run(argv: list[str], spark: SparkSession | None = None, model=None, generato
         truth = scan.read_ground_truth(spark, o.ground_truth)
         name = truth.select(F.first("dataset", True)).first()[0]
         findings = _findings(spark, o.results).withColumn("dataset", F.lit(name))
-        rows = [r.asDict() for r in evaluation.compare(truth, findings).orderBy("run_id").collect()]  # one row a run
-        v = cut(evaluation.verdicts(truth, findings))
+        runs = scan.read_run_ids(spark, o.results).withColumn("dataset", F.lit(name))
+        rows = [r.asDict() for r in evaluation.compare(truth, findings, runs).orderBy("run_id").collect()]  # one row a run
+        v = cut(evaluation.verdicts(truth, findings, runs))
         for r in rows:
             sinks.save_evaluation(r, v.where(F.col("run_id") == r["run_id"]).drop("run_id"), str(Path(o.output_dir) / f"eval_{r['run_id']}.json"))
         print(sinks.comparison_table(rows))

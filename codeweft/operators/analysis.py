@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from codeweft.functions.text import normalize_cwe, strip_fences
 from codeweft.schemas import REPORT
 
-# The CWE table of prompts, fixed values: id -> severity and the mode that names it.
-CWE_RULES = [
+# The CWE table of prompts, fixed values: id, severity and the mode that names it.
+CWE_TABLE = [
     ("CWE-89", "high", "both"), ("CWE-347", "high", "both"), ("CWE-798", "high", "both"), ("CWE-20", "medium", "both"), ("CWE-306", "medium", "both"),
-    ("CWE-208", "medium", "both"), ("CWE-269", "medium", "both"),
+    ("CWE-208", "medium", "both"), ("CWE-269", "medium", "both"), ("CWE-639", "high", "agent"), ("CWE-862", "high", "agent"), ("CWE-841", "medium", "agent"),
+    ("CWE-915", "medium", "agent"), ("CWE-362", "medium", "agent"), ("CWE-79", "medium", "agent"), ("CWE-95", "high", "agent"), ("CWE-1333", "medium", "agent"),
+    ("CWE-117", "medium", "agent"), ("CWE-521", "medium", "agent"), ("CWE-256", "high", "agent"),
 ]
+CWE_RULES = [r for r in CWE_TABLE if r[2] == "both"]  # of a single pass
+AGENT_RULES = CWE_TABLE
 SUMMARY_CHARS = 120
 MAX_STEPS = 5
 # Texts of verdicts that stand for a missing answer, fixed values.
@@ -48,6 +52,13 @@ def _block(language: Column, code: Column) -> Column:
     return F.concat(F.lit("```"), language, F.lit("\n"), code, F.lit("\n```"))
 
 
+def rules_text(rules: list[tuple[str, str, str]]) -> str:
+    by_severity: dict[str, list[str]] = {}
+    for cwe, severity, _ in rules:
+        by_severity.setdefault(severity, []).append(cwe)
+    return "\n".join(f"  {s}: {', '.join(c)}" for s, c in by_severity.items())
+
+
 def prompts(functions: DataFrame, adjacent: DataFrame, rules: list[tuple[str, str, str]] = CWE_RULES) -> DataFrame:
     """(id, prompt): target with its place and code, code of internal callers and callees, external calls, rules, answer format."""
     f = functions.select("id", "function_name", "file_path", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("start_line", F.lit(0)).alias("s"), F.coalesce("end_line", F.lit(0)).alias("e"), F.coalesce("code", F.lit("")).alias("code"))
@@ -59,10 +70,7 @@ def prompts(functions: DataFrame, adjacent: DataFrame, rules: list[tuple[str, st
         out = out.join(shown, "id", "left")
     ext = adjacent.select("id", F.array_join(F.transform(F.filter("callees", lambda c: c.startswith("external::")), lambda c: F.regexp_replace(c, "^external::", "")), ", ").alias("external"))
     out = out.join(ext, "id", "left")
-    by_severity: dict[str, list[str]] = {}
-    for cwe, severity, _ in rules:
-        by_severity.setdefault(severity, []).append(cwe)
-    rule_text = "\n".join(f"  {s}: {', '.join(c)}" for s, c in by_severity.items())
+    rule_text = rules_text(rules)
     none = F.lit(None).cast("string")
     part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(title), c)).otherwise(none)
     return out.select("id", F.concat_ws(
@@ -96,6 +104,41 @@ def answers(raw: DataFrame) -> DataFrame:
     )
 
 
+def agent_steps(raw: DataFrame) -> DataFrame:
+    """(key..., is_final, tool, args, thought, verdict...) of answers (key..., raw) of an agent: of many functions, one step each, as one batch.
+
+    An object whose `action` is `tool` asks for a tool, with its arguments as JSON; anything else is final and has the columns of `answers`.
+    """
+    kept = [c for c in raw.columns if c != "raw"]
+    body = strip_fences("raw")
+    ask = F.coalesce((F.get_json_object(body, "$.action") == "tool") & body.startswith("{") & F.try_parse_json(body).isNotNull(), F.lit(False))
+    step = raw.select(F.struct(*kept).alias("__key"), "raw").withColumn("__ask", ask)
+    tool = lambda k, c: F.when(F.col("__ask"), c).alias(k)
+    body = strip_fences("raw")
+    asked = step.select("__key", "raw", (~F.col("__ask")).alias("is_final"), tool("tool", F.get_json_object(body, "$.tool")), tool("args", F.coalesce(F.get_json_object(body, "$.args"), F.lit("{}"))), F.get_json_object(body, "$.thought").alias("thought"))
+    said = answers(asked)
+    own = [c for c in said.columns if c not in ("__key", "is_final", "tool", "args", "thought")]
+    return said.select("__key.*", "is_final", "tool", "args", "thought", *[F.when(F.col("is_final"), F.col(c)).alias(c) for c in own])
+
+
+def memory_stats(findings: DataFrame) -> DataFrame:
+    """(run_id, remembered, vulnerable): functions of a run with a finding (id, ord, vulnerability_found), and those whose last one is a vulnerability."""
+    last = findings.groupBy("run_id", "id").agg(F.max_by(F.coalesce("vulnerability_found", F.lit(False)), "ord").alias("bad"))
+    return last.groupBy("run_id").agg(F.count("*").alias("remembered"), F.count_if("bad").alias("vulnerable"))
+
+
+def tool_summary(history: list[dict]) -> str:
+    """The tools an agent called, a line each."""
+    return "\n".join(f"  step {h.get('step', '?')}: {h.get('tool', '?')}({h.get('args', {})})" for h in history) or "No tools called."
+
+
+def trace_text(trace: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node_id, summary) of trace rows (node_id, step, tool, args): the lines of `tool_summary` in the order of steps; `nodes` (node_id) adds those that called none."""
+    line = F.concat(F.lit("  step "), F.coalesce(F.col("step").cast("string"), F.lit("?")), F.lit(": "), F.coalesce("tool", F.lit("?")), F.lit("("), F.coalesce("args", F.lit("{}")), F.lit(")"))
+    told = trace.groupBy("node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", line.alias("line")))), lambda x: x["line"]), "\n").alias("summary"))
+    return told if nodes is None else nodes.select("node_id").distinct().join(told, "node_id", "left").select("node_id", F.coalesce("summary", F.lit("No tools called.")).alias("summary"))
+
+
 def is_empty_output() -> Column:
     """A verdict that says nothing: not vulnerable, confidence 0, no explanation, no error."""
     return ~F.coalesce("vulnerability_found", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) == 0) & (F.coalesce("explanation", F.lit("")) == "") & (F.coalesce("error", F.lit("")) == "")
@@ -174,31 +217,45 @@ class GraphTools:
     def _id(self, fn: str) -> str | None:
         return fn if fn in self.nodes else min((i for i, n in self.nodes.items() if n["function_name"] == fn), default=None)
 
+    def _callees(self, fn: str, node: dict) -> str:
+        every = node.get("callees") or []
+        outside = [x.removeprefix("external::") for x in every if x.startswith("external::")]
+        inside = [x for x in every if not x.startswith("external::")]
+        told = [f"{label} callees: " + ", ".join(names) for label, names in (("Internal", inside), ("External", outside)) if names]
+        return "\n".join(told) or f"No callees found for '{fn}'."
+
+    def _callers(self, fn: str, node: dict) -> str:
+        return "Callers: " + ", ".join(node["callers"]) if node.get("callers") else f"No callers found for '{fn}' — may be an entry point."
+
+    def _source(self, fn: str, node: dict) -> str:
+        code = self.code.get(fn) or next((c for k, c in self.code.items() if k.endswith(f"::{fn}")), None)
+        return f"Source of '{fn}':\n```\n{code}\n```" if code else f"Source not found for '{fn}'."
+
+    def _entry(self, fn: str, node: dict) -> str:
+        return f"'{fn}' is_entry_point: {bool(node.get('is_entry_point'))}"
+
+    def _info(self, fn: str, node: dict) -> str:
+        keys = ("callers", "callees", "is_entry_point", "is_taint_source", "is_taint_sink")
+        return "\n".join(f"{k}: {node.get(k)}" for k in keys) if node else f"No node info for '{fn}'."
+
+    def _taint(self, fn: str, node: dict) -> str:
+        paths = self.taint(fn)
+        if not paths:
+            return f"No taint paths found involving '{fn}'. It may not be on a source→sink flow, or the graph has no entry points."
+        return "\n".join([f"Taint paths through '{fn}':", *[f"  Path {i}: {p}" for i, p in enumerate(paths, 1)]])
+
+    TOOLS = {"get_callees": _callees, "get_callers": _callers, "get_source": _source, "is_entry_point": _entry, "get_node_info": _info, "get_taint_path": _taint}
+
     def call(self, tool: str | None, args: dict) -> str:
-        fn = (args or {}).get("function_name", "")
-        node = self.nodes.get(self._id(fn) or "", {})
+        """What a tool answers; one that fails answers with its error."""
         if not tool or not self.nodes:
             return "Tool unavailable — no call graph loaded."
-        if tool == "get_callees":
-            every = node.get("callees") or []
-            parts = [(label, [x.removeprefix("external::") for x in every if x.startswith("external::") == ext]) for label, ext in (("Internal", False), ("External", True))]
-            return "\n".join(f"{label} callees: " + ", ".join(names) for label, names in parts if names) or f"No callees found for '{fn}'."
-        if tool == "get_callers":
-            return "Callers: " + ", ".join(node["callers"]) if node.get("callers") else f"No callers found for '{fn}' — may be an entry point."
-        if tool == "get_source":
-            code = self.code.get(fn) or next((c for k, c in self.code.items() if k.endswith(f"::{fn}")), None)
-            return f"Source of '{fn}':\n```\n{code}\n```" if code else f"Source not found for '{fn}'."
-        if tool == "is_entry_point":
-            return f"'{fn}' is_entry_point: {bool(node.get('is_entry_point'))}"
-        if tool == "get_node_info":
-            keys = ("callers", "callees", "is_entry_point", "is_taint_source", "is_taint_sink")
-            return "\n".join(f"{k}: {node.get(k)}" for k in keys) if node else f"No node info for '{fn}'."
-        if tool == "get_taint_path":
-            paths = self.taint(fn)
-            if not paths:
-                return f"No taint paths found involving '{fn}'. It may not be on a source→sink flow, or the graph has no entry points."
-            return "\n".join([f"Taint paths through '{fn}':", *[f"  Path {i}: {p}" for i, p in enumerate(paths, 1)]])
-        return f"Unknown tool '{tool}'."
+        try:
+            fn = (args or {}).get("function_name", "")
+            answer = self.TOOLS.get(tool)
+            return answer(self, fn, self.nodes.get(self._id(fn) or "", {})) if answer else f"Unknown tool '{tool}'."
+        except Exception as e:  # noqa: BLE001 - the agent goes on
+            return f"Tool error: {e}"
 
 
 def history_text(history: list[dict]) -> str:
@@ -212,9 +269,16 @@ class Agent:
     model: Model
     tools: GraphTools
     max_steps: int = MAX_STEPS
+    rules: list[tuple[str, str, str]] = field(default_factory=lambda: AGENT_RULES)
     memory: dict[str, dict] = field(default_factory=dict)
     trace: list[dict] = field(default_factory=list)
 
+    def __len__(self) -> int:
+        return len(self.memory)
+
+    def vulnerable_count(self) -> int:
+        return sum(bool(m["found"]) for m in self.memory.values())
+
     def run(self, sample: dict) -> dict:
         me = f"{sample.get('file_path') or ''}::{sample['function_name']}"
         node = self.tools.nodes.get(me, {})
@@ -227,7 +291,7 @@ class Agent:
         for step in range(self.max_steps + 1):
             if step == self.max_steps:
                 history.append({"tool": "system", "args": {}, "result": f"Max steps ({self.max_steps}) reached. You MUST emit a final answer now."})
-            text = self.model(json.dumps({"function": sample["function_name"], "code": sample.get("code"), "history": history_text(history) or "(none yet)"}))
+            text = self.model(json.dumps({"function": sample["function_name"], "code": sample.get("code"), "rules": rules_text(self.rules), "history": history_text(history) or "(none yet)"}))
             try:
                 d = json.loads(_plain(text))
             except ValueError:

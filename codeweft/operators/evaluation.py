@@ -3,7 +3,8 @@
 truth(gt_ord, dataset, function_name, file, vulnerable, cwe_id, severity, affected_lines, notes, duplicate_of),
 findings(run_id, finding_ord, function_name, file_path, ...). Every result is by run. Empty text counts as missing.
 A run is held against the labels of the datasets it covers: `dataset` of a finding is the folder after `datasets` in its
-path (with_dataset), or what the caller sets. Matching joins on dataset and function name; the path's ending is checked on
+path (with_dataset), or what the caller sets. A run that found nothing has no such row: `runs` (run_id, dataset) adds what
+runs cover besides, and every label of theirs counts as missed or rightly left alone. Matching joins on dataset and function name; the path's ending is checked on
 the joined rows, so there is no cross join of runs and labels.
 """
 
@@ -27,26 +28,33 @@ def with_dataset(findings: DataFrame) -> DataFrame:
     return findings.withColumn("dataset", F.regexp_extract(norm_path(F.coalesce("file_path", F.lit(""))), "(?:^|/)datasets/([^/]+)", 1))
 
 
-def match(truth: DataFrame, findings: DataFrame) -> DataFrame:
+def _candidates(truth: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run_id, gt_ord, finding_ord, n, paths) of labels whose name a run's findings of the dataset bear."""
+    t = truth.select("gt_ord", "dataset", "function_name", norm_path(F.coalesce("file", F.lit(""))).alias("want"))
+    f = findings.where(missing("function_name").isNotNull()).select("run_id", "dataset", "finding_ord", "function_name", "file_path", norm_path(F.coalesce("file_path", F.lit(""))).alias("have"))
+    j = t.join(f, ["dataset", "function_name"])
+    fits = F.col("have").endswith(F.col("want"))
+    return j.groupBy("run_id", "gt_ord").agg(F.min(F.when(fits, F.col("finding_ord"))).alias("finding_ord"), F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("finding_ord", "file_path"))), lambda x: x["file_path"]).alias("paths"))
+
+
+def match(truth: DataFrame, findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """(run_id, gt_ord, finding_ord, ambiguous, candidates) for every run and label of its datasets.
 
     Of the run's findings of that dataset and name, the first whose path ends with the labelled file; if there are several
     of the name and none fits, the row is ambiguous, with their paths in order.
     """
-    runs = findings.select("run_id", "dataset").distinct()
-    t = truth.select("gt_ord", "dataset", "function_name", norm_path(F.coalesce("file", F.lit(""))).alias("want"))
-    f = findings.where(missing("function_name").isNotNull()).select("run_id", "dataset", "finding_ord", "function_name", "file_path", norm_path(F.coalesce("file_path", F.lit(""))).alias("have"))
-    j = t.join(f, ["dataset", "function_name"])
-    fits = F.col("have").endswith(F.col("want"))
-    got = j.groupBy("run_id", "gt_ord").agg(F.min(F.when(fits, F.col("finding_ord"))).alias("finding_ord"), F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("finding_ord", "file_path"))), lambda x: x["file_path"]).alias("paths"))
-    out = truth.select("gt_ord", "dataset").join(runs, "dataset").drop("dataset").join(got, _KEYS, "left")
+    covered = findings.select("run_id", "dataset")
+    if runs is not None:
+        covered = covered.unionByName(runs.select("run_id", "dataset"))
+    got = _candidates(truth, findings)
+    out = truth.select("gt_ord", "dataset").join(covered.distinct(), "dataset").drop("dataset").join(got, _KEYS, "left")
     ambiguous = F.col("finding_ord").isNull() & (F.coalesce("n", F.lit(0)) > 1)
     return out.select("run_id", "gt_ord", "finding_ord", ambiguous.alias("ambiguous"), F.when(ambiguous, F.col("paths")).alias("candidates"))
 
 
-def verdicts(truth: DataFrame, findings: DataFrame) -> DataFrame:
+def verdicts(truth: DataFrame, findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """One row for each run and labelled function that is not ambiguous, with its outcome and whether the CWE is right."""
-    m = match(truth, findings).where("not ambiguous").drop("ambiguous", "candidates")
+    m = match(truth, findings, runs).where("not ambiguous").drop("ambiguous", "candidates")
     t = truth.select("gt_ord", instance_id().alias("instance_id"), F.coalesce(missing("duplicate_of"), instance_id()).alias("vuln_id"), F.coalesce("vulnerable", F.lit(False)).alias("vulnerable"), missing("cwe_id").alias("gt_cwe"))
     f = findings.select("run_id", "finding_ord", F.coalesce("vulnerability_found", F.lit(False)).alias("flagged"), missing("cwe_id").alias("got_cwe"), "confidence", F.coalesce("hallucination_flag", F.lit(False)).alias("hallucinated"))
     j = m.join(t, "gt_ord").join(f, ["run_id", "finding_ord"], "left")
@@ -59,7 +67,8 @@ def verdicts(truth: DataFrame, findings: DataFrame) -> DataFrame:
 
 def unresolved(truth: DataFrame, findings: DataFrame) -> DataFrame:
     """(run_id, gt_ord, function_name, file, candidates) of ambiguous rows."""
-    return match(truth, findings).where("ambiguous").join(truth.select("gt_ord", "function_name", "file"), "gt_ord").select("run_id", "gt_ord", "function_name", "file", "candidates")
+    several = _candidates(truth, findings).where("finding_ord is null and n > 1")
+    return several.join(truth.select("gt_ord", "function_name", "file"), "gt_ord").select("run_id", "gt_ord", "function_name", "file", F.col("paths").alias("candidates"))
 
 
 def unmatched(truth: DataFrame, findings: DataFrame) -> DataFrame:
@@ -113,9 +122,9 @@ def run_modes(findings: DataFrame) -> DataFrame:
     return findings.groupBy("run_id").agg(missing(F.array_join(F.array_sort(F.collect_set(missing("analysis_mode"))), "/")).alias("analysis_mode"))
 
 
-def compare(truth: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row a run with all measures."""
-    v = cut(verdicts(truth, findings))
+def compare(truth: DataFrame, findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row a run with all measures; runs without findings are those of `runs`."""
+    v = cut(verdicts(truth, findings, runs))
     return metrics(v).join(cwe_accuracy(v).select("run_id", "cwe_accuracy"), "run_id", "left").join(hallucination_rate(v).select("run_id", "hallucination_rate"), "run_id", "left").join(
         unique_recall(v).select("run_id", "unique_recall"), "run_id", "left"
     ).join(run_modes(findings), "run_id", "left")

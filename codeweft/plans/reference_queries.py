@@ -128,6 +128,15 @@ def infra_nodes(spark, d):
     return graph_build.nodes(t.functions(spark, d)).where("is_infrastructure").select("id")
 
 
+_SHARED_WORDS = [*T.INFRASTRUCTURE, "socket", "cache"]
+
+
+@query(f"WITH {t.NODES} SELECT id FROM nodes WHERE {_words('function_name', _SHARED_WORDS)}")
+def infra_nodes_wide(spark, d):
+    """G4 with words of its own besides."""
+    return graph_build.nodes(t.functions(spark, d), infrastructure=_SHARED_WORDS).where("is_infrastructure").select("id")
+
+
 @query(f"WITH {t.NODES} SELECT function_name, string_agg(id, ',' ORDER BY id) AS ids FROM nodes GROUP BY function_name")
 def name_index(spark, d):
     """G5, G6."""
@@ -180,6 +189,22 @@ def import_resolve(spark, d):
     return graph_build.resolve_imports(t.calls(spark, d).select("src", "raw_call").distinct(), t.file_imports(spark, d), fn, graph_build.nodes(fn))
 
 
+@query(rf"""WITH {t.NODES}, one AS (SELECT file_path, min(id) AS src, max(id) AS last FROM nodes GROUP BY file_path),
+imp AS (SELECT file_path, min(i.alias) AS alias FROM (SELECT DISTINCT file_path, unnest(imports) AS i FROM code_samples WHERE file_path IS NOT NULL) GROUP BY file_path),
+c AS (SELECT DISTINCT one.src, imp.file_path, imp.alias || '.' || n.function_name AS raw_call, n.function_name AS method FROM one JOIN imp ON imp.file_path = one.file_path JOIN nodes n ON n.file_path = one.file_path),
+f AS (SELECT DISTINCT id, file_path, function_name FROM fn)
+SELECT DISTINCT c.src, c.raw_call, f.id AS dst FROM c JOIN f ON f.function_name = c.method WHERE contains(f.file_path, regexp_extract(string_split(c.file_path, '/')[-1], '([^/]+?)(?:\.[^./]*)?$', 1)) AND f.id <> c.src""")
+def import_resolve_siblings(spark, d):
+    """G11, J6, J7 where each file calls its own functions through its first import, which names the file itself."""
+    fn = t.functions(spark, d)
+    nodes = graph_build.nodes(fn)
+    alias = t.file_imports(spark, d).groupBy("file_path").agg(F.min("alias").alias("alias")).where("alias is not null")
+    source = F.concat(F.lit("./"), F.element_at(F.split("file_path", "/"), -1))
+    src = nodes.groupBy("file_path").agg(F.min("id").alias("src"))
+    calls = src.join(alias, "file_path").join(nodes.select("file_path", "function_name"), "file_path").select("src", F.concat_ws(".", "alias", "function_name").alias("raw_call")).distinct()
+    return graph_build.resolve_imports(calls, alias.select("file_path", F.lit(0).alias("pos"), "alias", source.alias("source")), fn, nodes)
+
+
 _CACHED = """key AS (SELECT DISTINCT src, raw_call, sha256('{"candidates":["audit","main"],"caller":' || to_json(src) || ',"raw_call":' || to_json(raw_call) || '}') AS key FROM r WHERE name IS NULL)"""
 
 
@@ -306,6 +331,34 @@ def parse_response(spark, d):
     return _joined(analysis.answers(f.select("finding_id", F.expr(_RAW).alias("raw"))).drop("explanation"), "affected_lines")
 
 
+_STEP = """CASE WHEN finding_id % 3 = 0 THEN '{"action": "tool", "tool": "get_source", "args": {"function_name": "f' || CAST(finding_id AS STRING) || '"}, "thought": "look"}' ELSE '{"action": "final", "vulnerability_found": true, "confidence": 0.5}' END"""
+
+
+@query("""SELECT DISTINCT finding_id, finding_id % 3 <> 0 AS is_final, CASE WHEN finding_id % 3 = 0 THEN 'get_source' END AS tool, CASE WHEN finding_id % 3 = 0 THEN '{"function_name":"f' || CAST(finding_id AS VARCHAR) || '"}' END AS args,
+CASE WHEN finding_id % 3 = 0 THEN 'look' END AS thought, CASE WHEN finding_id % 3 <> 0 THEN true END AS vulnerability_found, CASE WHEN finding_id % 3 <> 0 THEN 0.5::DOUBLE END AS confidence FROM findings""")
+def agent_steps(spark, d):
+    """A5: steps made of the findings, every third a call of a tool."""
+    f = load(spark, d, "findings").select("finding_id").distinct().select("finding_id", F.expr(_STEP).alias("raw"))
+    return analysis.agent_steps(f).select("finding_id", "is_final", "tool", "args", "thought", "vulnerability_found", "confidence")
+
+
+@query(f"""WITH {t.FIND}, l AS (SELECT run_id, id, arg_max(coalesce(vulnerability_found, false), finding_ord) AS bad FROM find GROUP BY run_id, id)
+SELECT run_id, count(*) AS remembered, count(*) FILTER (WHERE bad) AS vulnerable FROM l GROUP BY run_id""")
+def memory_stats(spark, d):
+    """A15."""
+    return analysis.memory_stats(t.findings(spark, d).withColumnRenamed("finding_ord", "ord"))
+
+
+_ARGS = "'{\"n\":' || CAST(finding_id AS STRING) || '}'"
+
+
+@query(f"""WITH {t.FIND} SELECT id AS node_id, string_agg('  step ' || CAST(finding_id AS VARCHAR) || ': get_source({{"n":' || CAST(finding_id AS VARCHAR) || '}})', chr(10) ORDER BY finding_id) AS summary FROM find GROUP BY id""")
+def trace_text(spark, d):
+    """A step of each finding, rendered by node."""
+    f = t.findings(spark, d)
+    return analysis.trace_text(f.select(F.col("id").alias("node_id"), F.col("finding_id").alias("step"), F.lit("get_source").alias("tool"), F.expr(_ARGS).alias("args")))
+
+
 @query(f"""WITH {t.EDGES}, {t.FIND}, nb AS (SELECT id, neighbour, row_number() OVER (PARTITION BY id ORDER BY side, neighbour) - 1 AS pos FROM (
   SELECT dst AS id, src AS neighbour, 0 AS side FROM edges WHERE dst NOT LIKE 'external::%' UNION ALL SELECT src, dst, 1 FROM edges WHERE dst NOT LIKE 'external::%')),
 l AS (SELECT me.run_id, me.id, me.finding_ord AS ord, nb.pos, arg_max('  ' || coalesce(b.function_name, '') || ': ' || CASE WHEN coalesce(b.vulnerability_found, false) THEN 'VULNERABLE (' || coalesce(b.cwe_id, 'None') || ', ' || coalesce(b.severity, 'None') || ')' ELSE 'clean' END
@@ -477,6 +530,31 @@ def eval_compare(spark, d):
     return evaluation.compare(*_truth(spark, d))
 
 
+_ONE_SET = t.MATCH.replace("t.dataset = f.dataset AND ", "")
+
+
+@query(f"WITH {_ONE_SET} SELECT got.run_id, got.gt_ord, truth.function_name, truth.file, got.paths AS candidates FROM got JOIN truth USING (gt_ord) WHERE got.finding_ord IS NULL AND got.n > 1")
+def eval_unresolved_all(spark, d):
+    """E6 where all labels and findings are of one dataset, so that names recur."""
+    truth, findings = (x.withColumn("dataset", F.lit("all")) for x in _truth(spark, d))
+    return _joined(evaluation.unresolved(truth, findings), "candidates", by=" | ")
+
+
+_EMPTY = "(SELECT DISTINCT run_id, dataset FROM find UNION SELECT 'empty ' || dataset, dataset FROM evaluation_entries)"
+
+
+def _empty_runs(truth):
+    return truth.select(F.concat(F.lit("empty "), "dataset").alias("run_id"), "dataset").distinct()
+
+
+@query(f"""WITH {t.GROUPS.replace("(SELECT DISTINCT run_id, dataset FROM find)", _EMPTY)}, me AS ({_METRICS}), ac AS ({_ACCURACY}), ha AS ({_HALLUCINATION}), re AS ({_RECALL}), mo AS ({_MODES})
+SELECT me.*, ac.cwe_accuracy, ha.hallucination_rate, re.unique_recall, mo.analysis_mode FROM me LEFT JOIN ac USING (run_id) LEFT JOIN ha USING (run_id) LEFT JOIN re USING (run_id) LEFT JOIN mo USING (run_id)""")
+def eval_compare_empty(spark, d):
+    """The runs beside one without findings for each dataset."""
+    truth, findings = _truth(spark, d)
+    return evaluation.compare(truth, findings, _empty_runs(truth))
+
+
 # -- sinks -------------------------------------------------------------------------------------------------------------
 
 

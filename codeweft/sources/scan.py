@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import os
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -28,14 +29,15 @@ def scan(spark: SparkSession, root: str, skip: list[str] = SKIP_DIRS) -> DataFra
     """files(file_path, language, content, file_ord) below a folder, or of one file.
 
     Paths are relative to the folder; those in skipped folders and of unknown languages are left out before anything is
-    read; file_ord follows the path's parts. A missing path raises FileNotFoundError.
+    read; file_ord follows the path's parts. A missing path raises FileNotFoundError. A file that can't be read is left out, and
+    Spark logs it.
     """
     local = "://" not in root
     if local and not Path(root).exists():
         raise FileNotFoundError(root)
     base = Path(root).resolve().as_uri() if local else root.rstrip("/")
     single = local and Path(root).is_file()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(base)
     full = F.regexp_replace("path", "^file:/+", "file:///")
     rel = F.element_at(F.split(full, "/"), -1) if single else F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:///'), {len(base) + 2})")
     f = raw.select(rel.alias("file_path"), F.col("content").alias("raw"))
@@ -56,6 +58,11 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return doc.select("run_id", F.posexplode("findings").alias("finding_ord", "f")).select("run_id", "finding_ord", "f.*")
 
 
+def read_run_ids(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(run_id) of run documents, also of those without findings."""
+    return spark.read.schema(schemas.RUN).option("multiLine", True).json(paths).select("run_id").distinct()
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """truth rows; `vulnerable` false and dataset the file's stem where missing; function_name and file are required."""
     doc = spark.read.schema(schemas.GROUND_TRUTH).option("multiLine", True).json(path)
@@ -67,14 +74,12 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_call_graph(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a call-graph document keyed by node id; a missing or corrupt one gives no rows."""
-    try:
-        entries = json.loads(Path(path).read_text(encoding="utf-8"))
-        entries = entries.get("nodes", entries) if isinstance(entries, dict) else {}
-    except (OSError, ValueError):
-        entries = {}
-    text = [(k, json.dumps(v)) for k, v in entries.items() if isinstance(v, dict)]
-    df = spark.createDataFrame(text, "id string, j string")
-    return df.select("id", F.from_json("j", schemas.NODE).alias("n")).select("id", *[f"n.{f.name}" for f in schemas.NODE.fields if f.name != "id"])
+    if "://" not in path and not Path(path).is_file():
+        return spark.createDataFrame([], schemas.NODE)
+    texts = "map<string,string>"  # values as they are written
+    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", texts).alias("d"))
+    entries = doc.select(F.explode(F.when(F.map_contains_key("d", "nodes"), F.from_json(F.col("d")["nodes"], texts)).otherwise(F.col("d"))).alias("id", "j"))
+    return entries.where(F.col("j").startswith("{")).select("id", F.from_json("j", schemas.NODE).alias("n")).select("id", *[f"n.{f.name}" for f in schemas.NODE.fields if f.name != "id"])
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,28 @@ def load_config(path: str | None) -> Config:
     return Config(llm.get("model", c.model), ing.get("max_function_lines", c.max_function_lines), tuple(ing.get("skip_dirs", c.skip_dirs)), agent.get("max_steps", c.max_steps), out.get("output_dir", c.output_dir), d)
 
 
+def load_env(path: str | None = ".env") -> dict[str, str]:
+    """Settings of a `.env` file (NAME=value lines, `export`, quotes and # comments) put into the environment where it lacks them; their names and values.
+
+    A missing file gives none. Values stay in the driver's environment and are never logged.
+    """
+    try:
+        text = Path(path).read_text(encoding="utf-8") if path else ""
+    except (OSError, UnicodeDecodeError):
+        return {}
+    own = {}
+    for m in re.finditer(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z_]\w*)[ \t]*=[ \t]*(?:\"((?:[^\"\\]|\\.)*)\"|'([^']*)'|([^\n#]*?))[ \t]*(?:#[^\n]*)?$", text):
+        own[m[1]] = re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[2]) if m[2] is not None else m[3] if m[3] is not None else m[4]
+    for name, value in own.items():
+        os.environ.setdefault(name, value)
+    return own
+
+
+def secret(name: str) -> str | None:
+    """A secret from the environment; empty counts as missing."""
+    return os.environ.get(name) or None
+
+
 class EdgeCache:
     """Resolved edges as a Parquet table; a missing or unreadable one starts empty. Writes are batches, not whole rewrites."""
 

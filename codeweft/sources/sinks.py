@@ -113,7 +113,14 @@ def export_html(nodes: DataFrame, edges: DataFrame, path: str) -> str:
     """K7: one self-contained page of one project's graph; click marks two degrees around a node, the field filters."""
     n, e = html_view(nodes, edges)
     js = lambda x: json.dumps(x).replace("</", "<\\/")
-    Path(path).write_text(_PAGE % (js([r.asDict() for r in n.orderBy("id").toLocalIterator()]), js([[r.src, r.dst] for r in e.toLocalIterator()]), js(ROLE_COLOURS)), encoding="utf-8")
+    colours = iter([js(ROLE_COLOURS)])
+    rows = [(js(r.asDict()) for r in n.orderBy("id").toLocalIterator()), (js([r.src, r.dst]) for r in e.toLocalIterator()), colours]
+    with Path(path).open("w", encoding="utf-8") as f:  # a row at a time
+        for i, (text, values) in enumerate(zip(_PAGE.split("%s"), [*rows, ()], strict=True)):
+            f.write(text + "[" * (i < 2))
+            for k, v in enumerate(values):
+                f.write("," * (k > 0) + v)
+            f.write("]" * (i < 2))
     return path
 
 

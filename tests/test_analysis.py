@@ -92,3 +92,40 @@ def test_results(spark):
     assert {r.finding_id: r.affected_lines for r in R.with_clamped_lines(f, fn).collect()} == {1: [12], 2: [11], 3: [], 4: [500], 5: []}
     n = spark.createDataFrame([("a::f", False, False, True, False), ("a::g", True, False, False, False), ("x", True, True, True, True), ("y", None, None, None, None), ("z", False, True, True, False)], "id string, is_taint_sink boolean, is_taint_source boolean, is_entry_point boolean, is_infrastructure boolean")
     assert {r.id: r.role for r in R.overlay(n, f, "finding_id").collect()} == {"a::f": "vulnerable_high", "a::g": "vulnerable_medium", "x": "taint_sink", "y": "default", "z": "taint_source"}
+
+
+def test_failing_tool_answers_with_its_error():
+    tools = A.GraphTools({"a::f": {"function_name": "f", "callees": ["external::x"]}}, taint=lambda fn: 1 / 0)
+    assert tools.call("get_taint_path", {"function_name": "f"}) == "Tool error: division by zero" and tools.call("get_callees", ["f"]).startswith("Tool error: ")
+    assert tools.call("get_callees", {"function_name": "f"}) == "External callees: x" and tools.call("nope", {}) == "Unknown tool 'nope'."
+    seen = []
+
+    def model(p):
+        seen.append(json.loads(p))
+        return '{"action": "tool", "tool": "get_taint_path", "args": {"function_name": "f"}}' if len(seen) == 1 else '{"action": "final", "vulnerability_found": true, "confidence": 0.5, "explanation": "e"}'
+
+    agent = A.Agent(model, tools)
+    assert agent.run({"function_name": "f", "file_path": "a", "code": "x"})["vulnerability_found"] and "Tool error" in seen[1]["history"]
+    assert (len(agent), agent.vulnerable_count()) == (1, 1) and A.tool_summary(agent.trace[:0]) == "No tools called."
+    assert all(c in seen[0]["rules"] for c in ("CWE-639", "CWE-1333", "CWE-89")) and len(A.AGENT_RULES) == 18 and len(A.CWE_RULES) == 7
+
+
+def test_steps_as_a_batch(spark):
+    raw = [
+        (1, '```json\n{"action": "tool", "tool": "get_source", "args": {"function_name": "f"}, "thought": "t"}\n```'), (2, '{"action": "tool", "tool": "get_callers"}'), (3, '{"vulnerability_found": true, "cwe_id": "cwe-89", "thought": "u"}'),
+        (4, "no json"), (5, None), (6, '{"action": "final"}'),
+    ]
+    got = {r.k: r for r in A.agent_steps(spark.createDataFrame(raw, "k int, raw string")).collect()}
+    assert (got[1].is_final, got[1].tool, json.loads(got[1].args), got[1].thought, got[1].vulnerability_found) == (False, "get_source", {"function_name": "f"}, "t", None)
+    assert (got[2].is_final, got[2].tool, got[2].args) == (False, "get_callers", "{}")
+    assert got[3].is_final and got[3].vulnerability_found and got[3].cwe_id == "CWE-89" and got[3].tool is None
+    assert got[4].error == got[5].error == "json_parse_error" and got[4].is_final and got[6].is_final and got[6].error is None
+
+
+def test_memory_and_traces_as_tables(spark):
+    f = spark.createDataFrame([("r", "a", 1, True), ("r", "a", 2, False), ("r", "b", 3, True), ("s", "a", 1, None)], "run_id string, id string, ord int, vulnerability_found boolean")
+    assert {r.run_id: (r.remembered, r.vulnerable) for r in A.memory_stats(f).collect()} == {"r": (2, 1), "s": (1, 0)}
+    tr = spark.createDataFrame([("n", 2, "b", "{}"), ("n", 1, "a", '{"x": 1}'), ("m", None, None, None)], "node_id string, step int, tool string, args string")
+    got = {r.node_id: r.summary for r in A.trace_text(tr, spark.createDataFrame([("n",), ("m",), ("k",)], "node_id string")).collect()}
+    assert got == {"n": '  step 1: a({"x": 1})\n  step 2: b({})', "m": "  step ?: ?({})", "k": "No tools called."}
+    assert A.tool_summary([{"step": 1, "tool": "a", "args": {"x": 1}}, {}]) == "  step 1: a({'x': 1})\n  step ?: ?({})"

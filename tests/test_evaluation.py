@@ -62,6 +62,14 @@ def test_hallucination_and_modes_of_two_runs(spark):
     assert (rows["a"].analysis_mode, rows["b"].analysis_mode) == ("single", "react_loop")
 
 
+def test_run_without_findings(spark):
+    t, f = tables(spark, one("r"))
+    runs = spark.createDataFrame([("none", "d"), ("r", "d"), ("other", "x")], "run_id string, dataset string")
+    rows = {r.run_id: r for r in E.compare(t, f, runs).collect()}
+    assert set(rows) == {"r", "none"} and (rows["none"].tp, rows["none"].fn, rows["none"].fp, rows["none"].tn) == (0, 4, 0, 1)
+    assert rows["none"].recall == rows["none"].unique_recall == 0.0 and rows["none"].analysis_mode is None and rows["r"].tp == 4
+
+
 def test_empty(spark):
     t, f = tables(spark, one("r"))
     assert E.compare(t, f.limit(0)).count() == 0 and E.verdicts(t.limit(0), f).count() == 0

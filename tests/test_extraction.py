@@ -104,6 +104,45 @@ def test_scan(spark, tmp_path, rows):
     assert scan.snippet(spark, "x", "cobol").count() == 0 and scan.snippet(spark, "x", "c").count() == 1
 
 
+def test_unreadable_file_is_left_out(spark, tmp_path, rows):
+    for n in ("a.py", "b.py"):
+        (tmp_path / n).write_text(PY)
+    f = scan.scan(spark, str(tmp_path)).select("file_path", "content")
+    (tmp_path / "a.py").unlink()
+    assert rows(f, "file_path") == ["b.py"]
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    monkeypatch.setenv("CW_KEPT", "own")
+    for name in ("CW_A", "CW_B", "CW_C", "CW_D"):
+        monkeypatch.delenv(name, raising=False)
+    (tmp_path / ".env").write_text("# head\nCW_A=one # note\nexport CW_B=\"t w\\no\"\n CW_C = 'th#ree'\nCW_KEPT=file\nCW_D=\nnot a line\n")
+    assert scan.load_env(str(tmp_path / ".env")) == {"CW_A": "one", "CW_B": "t w\no", "CW_C": "th#ree", "CW_KEPT": "file", "CW_D": ""}
+    assert [scan.secret(x) for x in ("CW_A", "CW_B", "CW_C", "CW_D", "CW_KEPT", "CW_NONE")] == ["one", "t w\no", "th#ree", None, "own", None]
+    assert scan.load_env(str(tmp_path / "none")) == {}
+    for name in ("CW_A", "CW_B", "CW_C", "CW_D"):
+        monkeypatch.delenv(name, raising=False)
+
+
+def test_call_graph_documents(spark, tmp_path):
+    node = {"function_name": "f", "file_path": "a", "callers": ["x"], "callees": [], "is_entry_point": True}
+    for name, text in (("flat", {"a::f": node, "note": 3}), ("nested", {"nodes": {"a::f": node}, "at": "now"}), ("list", [1])):
+        (tmp_path / name).write_text(__import__("json").dumps(text))
+    (tmp_path / "bad").write_text("{")
+    for name, n in (("flat", 1), ("nested", 1), ("list", 0), ("bad", 0), ("missing", 0)):
+        got = scan.read_call_graph(spark, str(tmp_path / name)).collect()
+        assert len(got) == n and all((r.id, r.callers, r.is_entry_point) == ("a::f", ["x"], True) for r in got), name
+
+
+def test_run_documents_without_findings(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"run_id": "a", "findings": []}))
+    (tmp_path / "b.json").write_text(json.dumps({"run_id": "b", "findings": [{"function_name": "f"}]}))
+    paths = [str(tmp_path / x) for x in ("a.json", "b.json")]
+    assert {r.run_id for r in scan.read_run_ids(spark, paths).collect()} == {"a", "b"} and scan.read_runs(spark, paths).count() == 1
+
+
 def test_language_and_folders(spark):
     d = spark.createDataFrame([("a/B.PY",), ("x.tsx",), ("x",), (None,), ("my/vendor/x.c",), ("vendors/x.c",)], "p string")
     r = d.select(language_of("p").alias("g"), in_skipped_folder("p").alias("s")).collect()
