@@ -12,7 +12,7 @@ VALID = {
     "cpp": ["template <class T> T f(T a) { return a; }", "auto g = [](int x) -> int { return x; };"],
 }
 BROKEN = {
-    "python": [("x = (1,\n", "cut off"), ("def f(:\n    pass\n", "token"), ("return = 2\n", "token")],
+    "python": [("x = (1,\n", "token"), ("def f(:\n    pass\n", "token"), ("return = 2\n", "token")],
     "javascript": [("let = ;", "token"), ("f(", "cut off"), ("<<<<<<< HEAD\nlet a;\n", "token"), ("'open", "cut off")],
     "c": [("int = 4;", "token"), ("int f() { return 1;", "cut off"), ("int = a 5;", "token")],
     "cpp": [("return return x;", "token"), ("class A { int x;", "cut off")],
