@@ -67,44 +67,54 @@ def _chosen(low: DataFrame) -> DataFrame:
     return up.join(near, F.col("c") == F.col("n"), "left").where(free).select(F.col("id").alias("v"), F.col("p").alias("u"), F.col("c").alias("w"))
 
 
+def _going(low: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One table of the nodes a round takes out: (v, end, top, ...) with what `chosen` says of unary ones, null for ends."""
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in chosen.schema.fields if f.name != "v"]
+    ends = low.where("end").select(F.col("id").alias("v"), "end", "top", *rest)
+    return ends.unionByName(chosen.select("*", F.lit(False).alias("end"), F.lit(False).alias("top")))
+
+
 def _without(e: DataFrame, gone: DataFrame) -> DataFrame:
     return e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
 
 
 def core_parts(core: DataFrame) -> DataFrame:
-    """(id, part): strongly connected parts with two or more nodes of the core, by trimming and colour propagation."""
+    """(id, part): strongly connected parts with two or more nodes of the core (no node of which is an end), by colour propagation and trimming."""
     e, n = cut_counted(core.select("src", "dst").distinct())
     found = []
     while n:
-        while True:  # nodes without parents or without children lie on no cycle
-            before = n
-            e, n = cut_counted(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-            if n == before:
-                break
-        if not n:
-            break
-        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.col("id")))
+        colour = e.select(F.col("src").alias("id"), F.col("src").alias("part")).distinct()  # every node has a child
+
+        def further(c: DataFrame) -> DataFrame:
+            """Each node with the largest of the colours that it and those before it had, and whether that is new."""
+            pushed = e.join(c.select("id", "part"), F.col("src") == F.col("id")).groupBy("dst").agg(F.max("part").alias("new"))  # noqa: B023
+            return c.join(pushed, F.col("id") == F.col("dst"), "left").select("id", F.greatest("part", "new").alias("part"), F.coalesce(F.col("new") > F.col("part"), F.lit(False)).alias("moved"))
+
         moved = 1
-        while moved:  # the largest id that leads to a node
-            pushed = e.join(colour, e.src == colour.id).select(F.col("dst").alias("id"), F.col("part").alias("new"))
-            best = pushed.groupBy("id").agg(F.max("new").alias("new"))
-            after = cut(colour.join(best, "id", "left").select("id", F.greatest("part", "new").alias("part"), (F.col("new") > F.col("part")).alias("moved")))
-            moved = after.where("moved").limit(1).count()
+        while moved:  # the largest id that leads to a node, two steps at a time
+            after, moved = cut_counted(further(further(colour)), F.col("moved"))
             discard(colour)
-            colour = after.drop("moved")
-            colour._cut_path = after._cut_path
+            colour = after
+        own = colour.select("id", "part")
         same = cut(
-            e.join(colour.select(F.col("id").alias("src"), F.col("part").alias("cs")), "src")
-            .join(colour.select(F.col("id").alias("dst"), F.col("part").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")
+            e.join(own.select(F.col("id").alias("src"), F.col("part").alias("cs")), "src")
+            .join(own.select(F.col("id").alias("dst"), F.col("part").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")
         )
-        front, fresh = cut_counted(colour.where("id = part").select("id", "part"))
+        front, fresh = cut_counted(own.where("id = part"))
         back = [front]
-        while fresh:  # against the links, from each colour's first node
-            step = same.join(front, (same.dst == front.id) & (same.cs == front.part)).select(F.col("src").alias("id"), F.col("cs").alias("part")).distinct()
-            front, fresh = cut_counted(step.join(_union(back).select("id"), "id", "left_anti"))
+        while fresh:  # against the links, from each colour's first node, two steps at a time
+            def behind(f: DataFrame) -> DataFrame:
+                return same.join(f.select(F.col("id").alias("i"), F.col("part").alias("p")), F.expr("dst = i and cs = p")).select(F.col("src").alias("id"), F.col("cs").alias("part"))  # noqa: B023
+
+            once = behind(front)
+            front, fresh = cut_counted(once.unionByName(behind(once)).distinct().join(_union(back).select("id"), "id", "left_anti"))
             back.append(front)
         found += back
         e, n = cut_counted(_without(e, _union(back).select("id")))
+        before = 0
+        while n and n != before:  # nodes without parents or without children lie on no cycle
+            before = n
+            e, n = cut_counted(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
     if not found:
         return core.select(F.col("src").alias("id"), F.col("src").alias("part")).limit(0)
     every = _union(found)
@@ -112,28 +122,28 @@ def core_parts(core: DataFrame) -> DataFrame:
     return every.join(many, "part", "left_semi").select("id", "part")
 
 
-def _contract_bare(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame, DataFrame]], DataFrame]:
+def _contract_bare(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
     """(rounds, core) where links carry nothing and both kinds of ends are raked.
 
-    A round's tables: the links before it, the nodes that could go (`_ends`) and the unary ones that went (`_chosen`).
+    A round's tables: the links before it and the nodes that went (`_going`).
     """
-    rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     e, n = cut_counted(links.select("src", "dst"))
     while n:
-        low, some = cut_counted(_ends(e, len(rounds), True))
-        if not some:  # of several that could go one always does
+        low = _ends(e, len(rounds), True)
+        went, some = cut_counted(_going(low, _chosen(low)))
+        if not some:
             break
-        made = cut(_chosen(low))
-        rounds.append((e, low, made))
-        gone = low.where("end").select("id").unionByName(made.select(F.col("v").alias("id")))
-        e, n = cut_counted(_without(e, gone).select("src", "dst").unionByName(made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
+        rounds.append((e, went))
+        new = went.where("not end and u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))
+        e, n = cut_counted(_without(e, went.select(F.col("v").alias("id"))).select("src", "dst").unionByName(new).distinct())
     return rounds, e
 
 
-def _cycles(rounds: list[tuple[DataFrame, DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
+def _cycles(rounds: list[tuple[DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
     parts = [cut(core_parts(core))]
-    for _, _, rec in reversed(rounds):
-        part = _union(parts)
+    for _, went in reversed(rounds):
+        rec, part = went.where("not end"), _union(parts)
         pu, pw = (part.select(F.col("id").alias(a), F.col("part").alias(f"p{a}")) for a in ("u", "w"))
         got = rec.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
         # v is new; u is as well where it had no part
@@ -159,10 +169,10 @@ def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = core.join(front, core.src == front.id).select(core.dst.alias("id"), "anc").where("id <> anc").distinct()
         front, fresh = cut_counted(step.join(_union(above), ["id", "anc"], "left_anti"))
         above.append(front)
-    for e, low, made in reversed(rounds):
-        known = _union(above)
-        tops = low.where("end and top").select(F.col("id").alias("src"))
-        leaves = low.where("end and not top").select(F.col("id").alias("dst"))
+    for e, went in reversed(rounds):
+        known, made = _union(above), went.where("not end")
+        tops = went.where("end and top").select(F.col("v").alias("src"))
+        leaves = went.where("end and not top").select(F.col("v").alias("dst"))
         # nodes that come back above others: those, and what is below them, gain them
         over = made.select(F.col("w").alias("at"), F.col("v").alias("new")).unionByName(
             e.join(tops, "src", "left_semi").join(leaves, "dst", "left_anti").select(F.col("dst").alias("at"), F.col("src").alias("new"))
@@ -185,15 +195,15 @@ def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]]
     rounds: list[tuple[DataFrame, DataFrame]] = []
     e, n = cut_counted(links.select("src", "dst", F.lit(1).alias("len"), F.expr(f"{_NONE} mid")))
     while n:
-        low, some = cut_counted(_ends(e, len(rounds), False))
+        low = _ends(e, len(rounds), False)
+        inn, on = (e.select(F.col(a).alias("v"), F.col("len").alias(f"l{i}"), F.col("mid").alias(f"m{i}")) for i, a in ((1, "dst"), (2, "src")))
+        went, some = cut_counted(_going(low, _chosen(low).join(inn, "v").join(on, "v")))
         if not some:
             break
-        inn, on = (e.select(F.col(a).alias("v"), F.col("len").alias(f"l{i}"), F.col("mid").alias(f"m{i}")) for i, a in ((1, "dst"), (2, "src")))
-        made = cut(_chosen(low).join(inn, "v").join(on, "v"))
-        leaves = low.where("end").select("id")
+        made, leaves = went.where("not end"), went.where("end").select(F.col("v").alias("id"))
         rounds.append((e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "len", "mid"), made.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("l1").alias("len"), F.col("m1").alias("mid"))))
         new = made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"), (F.col("l1") + F.col("l2")).alias("len"), F.concat("m1", F.array("v"), "m2").alias("mid"))
-        left = _without(e, leaves.unionByName(made.select(F.col("v").alias("id")))).select(*new.columns)
+        left = _without(e, went.select(F.col("v").alias("id"))).select(*new.columns)
         e, n = cut_counted(left.unionByName(new).groupBy("src", "dst").agg(F.min(F.struct("len", "mid")).alias("m")).select("src", "dst", "m.len", "m.mid"))
     return rounds, e
 
