@@ -39,16 +39,17 @@ _MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Okt
 
 # Blank characters, fixed values (white space of the Unicode standard and the separators of ASCII).
 _SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_BLANK = f"[{_SPACES}]"
+_BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # the same as ranges, which match faster
+_OWN = r"[\x{F0000}-\x{F0033}]"  # any placeholder
 _NUMBER = r"[ \t]{0,8}\d{1,3}[.)][ \t]"
 _ITEM = rf"(?:[ \t]{{0,8}}[-*•‣▪+][ \t]+|{_NUMBER})"
 _BLOCKS = (
-    r"(?ms)(^[ \t]{0,3}(`{3,}|~{3,})[^\n]*(?:\n.*?)??(?:^[ \t]{0,3}\2[`~]*[ \t]*\r?$|\z))"
-    r"|(^[ \t]{0,3}#{1,6}(?:[ \t][^\n]*)?$)"
-    r"|(^[ \t]{0,8}[-*•‣▪+][ \t]+[^\n]*$"
+    r"(?ms)^(?:([ \t]{0,3}(`{3,}|~{3,})[^\n]*(?:\n.*?)??(?:^[ \t]{0,3}\2[`~]*[ \t]*\r?$|\z))"
+    r"|([ \t]{0,3}#{1,6}(?:[ \t][^\n]*)?$)"
+    r"|([ \t]{0,8}[-*•‣▪+][ \t]+[^\n]*$"
     # a numbered item comes first, after a blank line or after another one
-    rf"|^(?={_NUMBER})(?:(?<=\A)|(?<=\n[ \t]{{0,8}}\r?\n)|(?<={_NUMBERED_LINE}\n)){_NUMBER}[^\n]*$)"
-    r"|(^[ \t]*\r?\n)"
+    rf"|(?={_NUMBER})(?:(?<=\A)|(?<=\n[ \t]{{0,8}}\r?\n)|(?<={_NUMBERED_LINE}\n)){_NUMBER}[^\n]*$)"
+    r"|([ \t]*\r?\n))"
 )
 _OPENERS = "“„«「『（(\\[‘¿¡‹" + _OPEN
 _CLOSERS = "”»」』）)\\]’›" + _CLOSE + _DE
@@ -85,8 +86,11 @@ def _placeholder(c: str) -> str:
 
 
 # What asks for more than the rules of Latin, Cyrillic and the like without quotations: quotation marks, other scripts.
+# Tests of a block come before patterns, since a class of many characters is slow to search.
+_BEYOND = r"[^\x00-\x7F]"
 _QUOTED = "[“„«「『\"]"
-_SCRIPT = rf"[{_OUT}’‘।؟。！？｡॥۔\x{{0E00}}-\x{{0E7F}}]"
+_EAST = r"[\x{0E00}-\x{0E7F}。！？｡]"
+_MARKED = rf"[{_OUT}’‘।؟॥۔]"
 _GROUP = 32  # lengths that are summed at once
 
 
@@ -101,7 +105,7 @@ def _masked(p: Column, quoted: bool) -> Column:
 def _quotes(p: Column) -> Column:
     """German closing quotes and straight ones told apart from opening ones."""
     p = F.regexp_replace(p, rf"„([^„“”]*+)“", f"„$1{_DE}")
-    p = F.regexp_replace(p, rf"(?<![\p{{L}}\p{{N}}_{{\[,:\\])\"(?=\S)([^\"]++)(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
+    p = F.regexp_replace(p, r"\"(?<![\p{L}\p{N}_{\[,:\\]\")(?=\S)([^\"]++)(?<=\S)\"", f"{_OPEN}$1{_CLOSE}")
     return p
 
 
@@ -111,23 +115,30 @@ def _inside(p: Column) -> Column:
 
     def mask(q: Column) -> Column:
         tail = F.regexp_extract(q, rf"([\s{_TERMINATORS}…]*[{_OUT}])$", 1)
-        return F.concat(F.translate(q.substr(F.lit(1), F.length(q) - F.length(tail)), _TERMINATORS, _MASKS), tail)
+        return _let(tail, lambda x: F.concat(F.translate(q.substr(F.lit(1), F.length(q) - F.length(x)), _TERMINATORS, _MASKS), x))
 
     parts = F.split(p, rf"(?=[{_IN}])|(?<=[{_OUT}])")
     return F.array_join(F.transform(parts, lambda q: F.when(q.rlike(quoted), mask(q)).otherwise(q)), "")
 
 
-def _parted(p: Column, quoted: bool, script: bool) -> Column:
+def _parted(p: Column, quoted: bool = False, marks: bool = False, east: bool = False) -> Column:
     """A paragraph with CUT at the ends of its sentences, placeholders turned back."""
     p = _masked(p, quoted)
-    p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+[)\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
-    if quoted or script:
+    ends = "[.!?…।॥؟۔]+" if quoted or marks or east else "[.!?…]+"
+    p = F.regexp_replace(p, rf"({ends}[)\]）]*)(?={_BLANK}+{_STARTS})", f"$1{CUT}")
+    if quoted or marks or east:
         # after a closing quote, a letter without case tells nothing: most often the sentence that holds the quote goes on
         p = F.regexp_replace(p, rf"([.!?…।॥؟۔]+(?:[\x{{A0}}\x{{202F}} ]?[»›]|[{_CLOSERS}\"'])+)(?={_BLANK}+{_STARTS})(?!{_BLANK}+\p{{Lo}})(?<=[^)\]）])", f"$1{CUT}")
+    if east:
         p = F.regexp_replace(p, rf"([。！？｡]+[{_CLOSERS}]*)(?={_BLANK})", f"$1{CUT}")
         p = F.regexp_replace(p, rf"([。！？｡]+)(?![。！？｡{_CLOSERS}\s{CUT}])", f"$1{CUT}")
         p = F.regexp_replace(p, r"(?<=[\x{0E00}-\x{0E7F}])(?=\s+[\x{0E00}-\x{0E7F}])", CUT)
-    return F.translate(p, _MASKS + _OPEN + _CLOSE + _DE, _TERMINATORS + '""“')
+    return _let(p, lambda x: F.when(x.rlike(r"[\x{F0010}-\x{F0032}]"), F.translate(x, _MASKS + _OPEN + _CLOSE + _DE, _TERMINATORS + '""“')).otherwise(x))
+
+
+def _let(c: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def _sum(lengths: Column) -> Column:
@@ -144,13 +155,15 @@ def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_no bigint from 0, end_pos bigint, sentence) of every unit that is not blank."""
     own = "".join(chr(c) for c in (0xF0000, 0xF0030, 0xF0031, 0xF0032, 0xF0033)) + _MASKS
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null and t <> ''")
-    rows = src.select("k", F.when(F.col("t").rlike(f"[{own}]"), F.col("t")).alias("own"), F.translate("t", own, "�" * len(own)).alias("t"))
-    marked = F.regexp_replace("t", rf"((?:\A|(?<=\n)){_NUMBER}[^\n]*+)(?=\n)", f"$1{_NUMBERED_LINE}")
+    rows = src.select("k", F.when(F.col("t").rlike(_OWN), F.col("t")).alias("own"), "t").select("k", "own", F.when(F.col("own").isNull(), F.col("t")).otherwise(F.translate("t", own, "�" * len(own))).alias("t"))
+    marked = F.regexp_replace("t", rf"(?md)^({_NUMBER}[^\n]*+)(?=\n)", f"$1{_NUMBERED_LINE}")
     parted = F.translate(F.regexp_replace(marked, _BLOCKS, f"{CUT}$1$3$4{CUT}$5"), _NUMBERED_LINE, "")
 
     def parts(b: Column) -> Column:
         whole = b.rlike(rf"^(?:[ \t]{{0,3}}(?:`{{3}}|~{{3}}|#{{1,6}}(?:\s|$)))|^{_ITEM}[^\n]*\r?$")
-        cut = F.when(b.rlike(_QUOTED), _parted(b, True, True)).when(b.rlike(_SCRIPT), _parted(b, False, True)).otherwise(_parted(b, False, False))
+        cut = F.when(~b.rlike(_BEYOND) & ~F.contains(b, F.lit('"')), _parted(b))
+        cut = cut.when(b.rlike(_QUOTED), F.when(b.rlike(_EAST), _parted(b, True, True, True)).otherwise(_parted(b, True, True)))
+        cut = cut.when(b.rlike(_EAST), _parted(b, False, True, True)).when(b.rlike(_MARKED), _parted(b, False, True)).otherwise(_parted(b))
         return F.when(whole, F.array(b)).otherwise(F.split(cut, CUT))
 
     pieces = rows.select("k", "own", F.flatten(F.transform(F.split(parted, CUT), parts)).alias("p"))
