@@ -106,6 +106,24 @@ def first_of(df: DataFrame, key: str, ts: str) -> DataFrame:
     return df.join(bounded(again, n), (F.col(key) == F.col("__k")) & (F.col(ts) > F.col("__first")), "left_anti")
 
 
+SPREAD = 4096  # rows of a key that one task may hold
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, spread: int = SPREAD) -> DataFrame:
+    """left joined to right on a key that may hold many rows of either.
+
+    Keys with more than `spread` rows of right have them spread over buckets by a hash of the column `by`, and left's rows meet
+    each of the buckets, so that what a key yields is made in many tasks.
+    """
+    hot, n = cut_counted(right.groupBy(key).agg(F.ceil(F.count("*") / spread).cast("int").alias("__n")).where("__n > 1"))
+    if not n:
+        return left.join(right, key)
+    many = bounded(hot, n)
+    spreaded = right.join(many, key, "left").withColumn("__b", F.pmod(F.xxhash64(by), F.coalesce("__n", F.lit(1)))).drop("__n")
+    met = left.join(many, key, "left").withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__n", F.lit(1)).cast("bigint") - 1))).drop("__n")
+    return met.join(spreaded.withColumn("__b", F.col("__b").cast("bigint")), [key, "__b"]).drop("__b")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalize_cwe, strip_fences
@@ -193,13 +193,16 @@ def memory_context(findings: DataFrame, neighbours: DataFrame) -> DataFrame:
 
     findings(run_id, id, ord, function_name, vulnerability_found, cwe_id, severity, explanation), neighbours(id, pos,
     neighbour). Of a neighbour's earlier findings the latest counts. Nothing earlier: no row.
+
+    Findings and questions of a neighbour stand in one order, and each question takes the last finding before it: no finding
+    meets all later questions.
     """
-    me = findings.select("run_id", "id", "ord").join(neighbours, "id")
-    before = findings.select("run_id", F.col("id").alias("neighbour"), F.col("ord").alias("o"), "function_name", "vulnerability_found", "cwe_id", "severity", "explanation")
-    j = me.join(before, ["run_id", "neighbour"]).where("o < ord")
     said = F.when(F.coalesce("vulnerability_found", F.lit(False)), F.concat(F.lit("VULNERABLE ("), F.coalesce("cwe_id", F.lit("None")), F.lit(", "), F.coalesce("severity", F.lit("None")), F.lit(")"))).otherwise("clean")
     line = F.concat(F.lit("  "), F.coalesce("function_name", F.lit("")), F.lit(": "), said, F.lit(" — "), F.substring(F.coalesce("explanation", F.lit("")), 1, SUMMARY_CHARS))
-    last = j.groupBy("run_id", "id", "ord", "pos").agg(F.max_by(line, "o").alias("line"))
+    told = findings.select("run_id", F.col("id").alias("neighbour"), F.col("ord").alias("at"), F.lit(1).alias("kind"), line.alias("line"), *[F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("pos", "int"))])
+    asked = findings.select("run_id", "id", "ord").join(neighbours, "id").select("run_id", "neighbour", F.col("ord").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line"), "id", F.col("pos").cast("int").alias("pos"))
+    w = Window.partitionBy("run_id", "neighbour").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = told.unionByName(asked).withColumn("line", F.last("line", True).over(w)).where("kind = 0 and line is not null").select("run_id", "id", F.col("at").alias("ord"), "pos", "line")
     return last.groupBy("run_id", "id", "ord").agg(F.concat(F.lit("Prior findings for related functions:\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("context"))
 
 

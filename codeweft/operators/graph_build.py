@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.core import cut
+from codeweft.core import cut, spread_join
 from codeweft.functions import text as T
 
 # Objects whose methods are the runtime's, fixed values.
@@ -69,7 +69,7 @@ def resolve_imports(unresolved: DataFrame, imports: DataFrame, functions: DataFr
     stem = F.regexp_extract(F.regexp_replace("source", "/+$", ""), r"([^/]+?)(?:\.[^./]*)?$", 1)
     via = dotted.join(first, ["file_path", "alias"]).withColumn("stem", stem)
     f = functions.select(F.col("function_name").alias("method"), F.col("file_path").alias("to_path"), T.node_id("file_path", "function_name").alias("dst")).distinct()
-    hit = via.join(f, "method").where(F.col("to_path").contains(F.col("stem"))).where("dst <> src")
+    hit = spread_join(via, f, "method", "dst").where(F.col("to_path").contains(F.col("stem"))).where("dst <> src")
     return hit.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "raw_call", "dst").distinct()
 
 
@@ -141,7 +141,7 @@ def salvage_target(entry: dict, candidates: list[str]) -> str | None:
 def internal_edges(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst): fan-out to every node of the resolved name but the caller."""
     want = resolved.where("name is not null").select("src", "name").distinct()
-    return want.join(nodes.select(F.col("function_name").alias("name"), F.col("id").alias("dst")), "name").where("dst <> src").select("src", "dst").distinct()
+    return spread_join(want, nodes.select(F.col("function_name").alias("name"), F.col("id").alias("dst")), "name", "dst").where("dst <> src").select("src", "dst").distinct()
 
 
 def external_edges(resolved: DataFrame, via_imports: DataFrame | None = None) -> DataFrame:

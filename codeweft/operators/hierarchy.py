@@ -122,10 +122,10 @@ def core_parts(core: DataFrame) -> DataFrame:
     return every.join(many, "part", "left_semi").select("id", "part")
 
 
-def _contract_bare(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+def _contract_bare(links: DataFrame, keep: bool = True) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
     """(rounds, core) where links carry nothing and both kinds of ends are raked.
 
-    A round's tables: the links before it and the nodes that went (`_going`).
+    A round's tables: the links before it (without `keep` they are deleted) and the nodes that went (`_going`).
     """
     rounds: list[tuple[DataFrame, DataFrame]] = []
     e, n = cut_counted(links.select("src", "dst"))
@@ -136,7 +136,10 @@ def _contract_bare(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]],
             break
         rounds.append((e, went))
         new = went.where("not end and u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))
-        e, n = cut_counted(_without(e, went.select(F.col("v").alias("id"))).select("src", "dst").unionByName(new).distinct())
+        left, n = cut_counted(_without(e, went.select(F.col("v").alias("id"))).select("src", "dst").unionByName(new).distinct())
+        if not keep:
+            discard(e)
+        e = left
     return rounds, e
 
 
@@ -157,7 +160,7 @@ def cycle_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
     """
-    return _cycles(*_contract_bare(clean_links(nodes, links)))
+    return _cycles(*_contract_bare(clean_links(nodes, links), keep=False))
 
 
 def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:

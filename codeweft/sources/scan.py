@@ -77,7 +77,7 @@ def read_call_graph(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in path and not Path(path).is_file():
         return spark.createDataFrame([], schemas.NODE)
     texts = "map<string,string>"  # values as they are written
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", texts).alias("d"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", texts).alias("d"))
     entries = doc.select(F.explode(F.when(F.map_contains_key("d", "nodes"), F.from_json(F.col("d")["nodes"], texts)).otherwise(F.col("d"))).alias("id", "j"))
     return entries.where(F.col("j").startswith("{")).select("id", F.from_json("j", schemas.NODE).alias("n")).select("id", *[f"n.{f.name}" for f in schemas.NODE.fields if f.name != "id"])
 

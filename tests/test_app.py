@@ -6,8 +6,10 @@ import sys
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from codeweft import cli
-from codeweft.core import cut, latest, load, numbered, shared_folder
+from codeweft.core import bounded, cut, cut_counted, discard, first_of, latest, load, numbered, shared_folder, spread_join
 from codeweft.sources import scan, sinks
 from codeweft.streaming import ingest
 
@@ -115,3 +117,23 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).where("kind = 'fan-out'").count() == 10
+
+
+def test_joins_of_hot_keys_and_counted_tables(spark):
+    left = spark.createDataFrame([(k, i) for i, k in enumerate("aaabbc")] + [("z", 9), (None, 1)], "k string, i int")
+    right = spark.createDataFrame([("a", j) for j in range(50)] + [("b", 1), ("d", 2), (None, 3)], "k string, j int")
+    want = sorted((r.k, r.i, r.j) for r in left.join(right, "k").collect())
+    for spread in (3, 1000):
+        assert sorted((r.k, r.i, r.j) for r in spread_join(left, right, "k", "j", spread).collect()) == want
+    table, n = cut_counted(right.where("j > 1"))
+    assert n == table.count() == 50 and cut_counted(right, F.col("j") > 40)[1] == 9
+    assert bounded(table, n).count() == 50
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    discard(table, right)
+    assert not folder.exists()
+
+
+def test_first_of_repeats(spark):
+    d = spark.createDataFrame([(1, 5, "x"), (1, 4, "x"), (2, 1, "y"), (None, 3, "n"), (None, 3, "n")], "k int, t int, v string")
+    assert sorted((str(r.k), r.t) for r in first_of(d, "k", "t").collect()) == [("1", 4), ("2", 1), ("None", 3), ("None", 3)]
+    assert first_of(d.limit(0), "k", "t").count() == 0

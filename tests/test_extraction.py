@@ -127,7 +127,7 @@ def test_environment_file(tmp_path, monkeypatch):
 def test_call_graph_documents(spark, tmp_path):
     node = {"function_name": "f", "file_path": "a", "callers": ["x"], "callees": [], "is_entry_point": True}
     for name, text in (("flat", {"a::f": node, "note": 3}), ("nested", {"nodes": {"a::f": node}, "at": "now"}), ("list", [1])):
-        (tmp_path / name).write_text(__import__("json").dumps(text))
+        (tmp_path / name).write_text(__import__("json").dumps(text, indent=1))
     (tmp_path / "bad").write_text("{")
     for name, n in (("flat", 1), ("nested", 1), ("list", 0), ("bad", 0), ("missing", 0)):
         got = scan.read_call_graph(spark, str(tmp_path / name)).collect()
