@@ -11,7 +11,8 @@ Cycles and descendants rake nodes without children and nodes without parents ali
 node v between u and w comes back, w and all below it gain v, and v gains u and all above it. Paths rake nodes without
 children only, and a link remembers the nodes it stands for, since they are part of the result.
 
-Everything is joins and aggregates on node ids; no task and no driver variable holds a tree. Each round's rows are written
+Ids are numbered in their order first, so the rounds carry two numbers a link, whatever the ids' length, and paths compare
+as their ids would. Everything is joins and aggregates on those numbers; no task and no driver variable holds a tree. Each round's rows are written
 once and never again: what later rounds add has ids of its own, so results are unions of the rounds.
 
 Inputs: nodes(id), links(parent, child). Links with a null side, to ids without a node and from a node to itself are
@@ -25,18 +26,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.core import cut, cut_counted, discard
+from codeweft.core import cut, cut_counted, discard, numbered
 
-_NONE = "cast(array() as array<string>)"
+_NONE = "cast(array() as array<bigint>)"
 
 
-def clean_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct (src, dst) with both sides among the nodes, without self links."""
-    ids = nodes.select("id").where("id is not null").distinct()
-    pairs = links.select(F.col("parent").alias("src"), F.col("child").alias("dst")).where("src <> dst").distinct()
-    return pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    ).select("src", "dst")
+def indexed(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, links): index(id, n) numbers the nodes in the order of their ids; distinct (src, dst) numbers with both sides among them, without self links."""
+    index = cut(numbered(nodes.select("id").where("id is not null").distinct(), ["id"], "n"))
+    pairs = links.select("parent", "child").where("parent <> child")
+    pairs = pairs.join(index.select(F.col("id").alias("parent"), F.col("n").alias("src")), "parent").select("child", "src")
+    return index, pairs.join(index.select(F.col("id").alias("child"), F.col("n").alias("dst")), "child").select("src", "dst").distinct()
+
+
+def _named(df: DataFrame, index: DataFrame, *columns: str) -> DataFrame:
+    """df with the ids in place of the numbers in some columns."""
+    for c in columns:
+        df = df.join(index.select(F.col("n").alias(c), F.col("id").alias("__id")), c).drop(c).withColumnRenamed("__id", c)
+    return df
 
 
 def call_links(graph: DataFrame) -> DataFrame:
@@ -52,7 +59,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _ends(e: DataFrame, salt: int, roots: bool) -> DataFrame:
     """(id, p, c, top, end, r) of nodes that may go: ends (without children, with `roots` also without parents: `top`) and unary nodes with their parent and child."""
-    link = lambda i, p, c: F.struct(F.col(i).alias("id"), F.lit(None).cast("string").alias("p") if p is None else F.col(p).alias("p"), F.lit(None).cast("string").alias("c") if c is None else F.col(c).alias("c"))
+    none = F.lit(None).cast(e.schema["src"].dataType)
+    link = lambda i, p, c: F.struct(F.col(i).alias("id"), (none if p is None else F.col(p)).alias("p"), (none if c is None else F.col(c)).alias("c"))
     both = e.select(F.explode(F.array(link("src", None, "dst"), link("dst", "src", None))).alias("x")).select("x.*")
     deg = both.groupBy("id").agg(F.count("p").alias("i"), F.count("c").alias("o"), F.min("p").alias("p"), F.min("c").alias("c"))
     end = (F.col("o") == 0) | ((F.col("i") == 0) & F.lit(roots))
@@ -160,12 +168,14 @@ def cycle_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
     """
-    return _cycles(*_contract_bare(clean_links(nodes, links), keep=False))
+    index, e = indexed(nodes, links)
+    return _named(_cycles(*_contract_bare(e, keep=False)), index, "id", "part")
 
 
 def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, descendant): every node below a node, itself left out."""
-    rounds, core = _contract_bare(clean_links(nodes, links))
+    index, links = indexed(nodes, links)
+    rounds, core = _contract_bare(links)
     front, fresh = cut_counted(core.select(F.col("dst").alias("id"), F.col("src").alias("anc")))
     above = [front]
     while fresh:  # within the core, step by step
@@ -187,7 +197,7 @@ def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
         under = made.select(F.col("v").alias("new"), F.col("u").alias("by")).unionByName(e.join(leaves, "dst", "left_semi").select(F.col("dst").alias("new"), F.col("src").alias("by")))
         below = under.select(F.col("new").alias("id"), F.col("by").alias("anc")).unionByName(under.join(known, F.col("by") == F.col("id")).select(F.col("new").alias("id"), "anc"))
         above.append(cut(below.where("id <> anc").distinct()))
-    return _union(above).select(F.col("anc").alias("id"), F.col("id").alias("descendant"))
+    return _named(_union(above).select(F.col("anc").alias("id"), F.col("id").alias("descendant")), index, "id", "descendant").select("id", "descendant")
 
 
 def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
@@ -216,10 +226,10 @@ def shortest_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Nodes that only cycles lead to have no row.
     """
-    ids = nodes.select("id").where("id is not null").distinct()
-    e0 = cut(clean_links(nodes, links))
+    index, e0 = indexed(nodes, links)
+    e0 = cut(e0)
     rounds, core = _contract_paths(e0)
-    roots = ids.join(e0.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    roots = index.select(F.col("n").alias("id")).join(e0.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     best = cut(roots.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")))
 
     def through(rec: DataFrame, known: DataFrame) -> DataFrame:
@@ -237,7 +247,9 @@ def shortest_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
     for raked, squeezed in reversed(rounds):
         known = _union(parts)
         parts.append(cut(through(raked.unionByName(squeezed), known)))
-    return _union(parts)
+    steps = _union(parts).select("id", F.posexplode("path").alias("at", "n")).join(index.withColumnRenamed("id", "name"), "n")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])  # a node's own path
+    return steps.groupBy("id").agg(F.max("at").alias("depth"), whole.alias("path")).select(F.element_at("path", -1).alias("id"), "depth", "path")
 
 
 def paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
