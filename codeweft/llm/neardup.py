@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.core import cut, is_empty
+from codeweft.core import cut, cut_counted, discard, spread_join
 
 BITS = 512
 BLOCK = 1024
@@ -329,11 +329,14 @@ def similar(df: DataFrame, key: str = "sample_id", text: str = "code", t: float
 
 
 def found_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sample_a, sample_b): all similar pairs of texts, classes expanded, the smaller id first."""
+    """(sample_a, sample_b): all similar pairs of texts, classes expanded, the smaller id first.
+
+    A class of many equal texts is expanded in many tasks.
+    """
     a = members.select(F.col("id").alias("x"), F.col("rep").alias("rep_a"))
     b = members.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
-    across = pairs.join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    inside = a.join(b, F.col("rep_a") == F.col("rep_b")).where("x < y").select("x", "y")
+    across = spread_join(spread_join(pairs, a, "rep_a", "x"), b, "rep_b", "y").select("x", "y")
+    inside = spread_join(a.withColumnRenamed("rep_a", "rep_b"), b, "rep_b", "y").where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b"))
 
 
@@ -342,15 +345,16 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     links = pairs.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
     links = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     degree = links.groupBy("u").agg(F.count("*").alias("n_links"))
-    label = cut(links.select("u").distinct().withColumn("g", F.col("u")))
+    held = label = cut(links.select("u").distinct().withColumn("g", F.col("u")))
     while True:  # the least id within reach, with a jump to the label's label each round
         near = links.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("g").alias("m"))
         step = label.join(near, "u").select("u", F.least("g", "m").alias("g2"), "g")
         hop = step.join(label.select(F.col("u").alias("g2"), F.col("g").alias("gg")), "g2", "left").select("u", F.least("g2", F.coalesce("gg", "g2")).alias("n"), "g")
-        nxt = cut(hop)
-        if is_empty(nxt.where("n <> g")):
+        nxt, moved = cut_counted(hop, F.col("n") != F.col("g"))
+        if not moved:
             break
-        label = nxt.select("u", F.col("n").alias("g"))
+        discard(held)
+        held, label = nxt, nxt.select("u", F.col("n").alias("g"))
     return members.join(label, F.col("rep") == F.col("u"), "left").join(degree.withColumnRenamed("u", "d"), F.col("rep") == F.col("d"), "left").select(
         "id", F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
