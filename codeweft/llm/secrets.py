@@ -100,11 +100,12 @@ _WORD = re.compile(r"(?:[^\s'\"`;&,()<>{}\[\]\\]|\\(?![nrt]))++")
 # The next literal joined to one that ends, or in a list behind it; the seam of two; values in blocks.
 _JOIN = re.compile(r"[\"'`](?:[ \t]*\\?\r?\n?[ \t]*|\s*\+\s*(?:\\\r?\n\s*)?)[rbfuLR]{0,2}[\"'`](?P<v>[^\"'`\n]+)(?=[\"'`])")
 _NEXT = re.compile(r"[\"'`]\s*,\s*[rbfuLR]{0,2}[\"'`](?P<v>[^\"'`\n]+)(?=[\"'`])")
-_SEAM = re.compile(r"(?<=[A-Za-z0-9+/=_%-])[\"'`](?=(?:[ \t]*\\?\r?\n?[ \t]*|\s*\+\s*(?:\\\r?\n\s*)?)[rbfuLR]{0,2}[\"'`][A-Za-z0-9+/=_%-])")
+_SEAM = re.compile(r"[\"'`](?<=[A-Za-z0-9+/=_%-].)(?=(?:[ \t]*\\?\r?\n?[ \t]*|\s*\+\s*(?:\\\r?\n\s*)?)[rbfuLR]{0,2}[\"'`][A-Za-z0-9+/=_%-])")
 _BLOCK_VALUE = re.compile(
-    r"(?m)(?<![\w.-])(?P<n>[A-Za-z]\w*)[\"']?\s{0,3}[:=]\s{0,3}[rbfuLR]{0,2}(?P<q>\"{3}|'{3})\s*\n\s*(?P<v>[^\s\"'][^\"']*?)\s*(?P=q)"
-    r"|^[ \t]*(?:- )?[\"']?(?P<k>[A-Za-z][\w.-]*)[\"']?:[ \t]+[|>][-+\d]*[ \t]*\r?\n(?P<i>[ \t]+)(?P<w>\S[^\n]*(?:\n(?P=i)\S[^\n]*)*)"
+    r"[:=]\s{0,3}[rbfuLR]{0,2}(?P<q>\"{3}|'{3})\s*\n\s*(?P<v>[^\s\"'][^\"']*?)\s*(?P=q)"
+    r"|:[ \t]+[|>][-+\d]*[ \t]*\r?\n(?P<i>[ \t]+)(?P<w>\S[^\n]*(?:\n(?P=i)\S[^\n]*)*)"
 )
+_NAME_BEFORE = re.compile(r"(?<![\w.-])([A-Za-z][\w.-]*)[\"']?\s{0,3}$")
 _SECOND = re.compile(r"[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,})[\"'`]\s*[)\]}]")  # the second literal of a pair
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
@@ -336,14 +337,14 @@ def _plain(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), stop, "private_key"
     for a, b in _near(text):
         yield from ((a + x, a + y, kind) for x, y, kind in _lines(text[a:b], text, a))
-    if '"""' in text or "'''" in text or "|" in text or ">" in text:
-        for m in _BLOCK_VALUE.finditer(text):
-            v = m["v"] or m["w"]
-            if names_credential(m["n"] or m["k"]) and _told(m["n"] or m["k"], "".join(v.split("\n")) if "\n" not in v else "".join(x.strip() for x in v.split("\n"))):
-                at = m.start("v") if m["v"] else m.start("w")
-                lines = [x for x in re.finditer(r"\S[^\n]*", v)]
-                yield at + lines[0].start(), at + lines[0].end(), "block"
-                yield from ((at + x.start(), at + x.end(), "part") for x in lines[1:])
+    for m in _BLOCK_VALUE.finditer(text):
+        name = _NAME_BEFORE.search(text, text.rfind("\n", 0, m.start()) + 1, m.start())
+        group = "v" if m["v"] else "w"
+        lines = list(re.finditer(r"\S[^\n]*", m[group]))
+        if name and names_credential(name[1]) and _told(name[1], "".join(x[0].strip() for x in lines)):
+            at = m.start(group)
+            yield at + lines[0].start(), at + lines[0].end(), "block"
+            yield from ((at + x.start(), at + x.end(), "part") for x in lines[1:])
 
 
 def _holds(run: str) -> bool:
