@@ -87,10 +87,15 @@ def _without(e: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def core_parts(core: DataFrame) -> DataFrame:
-    """(id, part): strongly connected parts with two or more nodes of the core (no node of which is an end), by colour propagation and trimming."""
+    """(id, part): strongly connected parts with two or more nodes of the core, by trimming and colour propagation."""
     e, n = cut_counted(core.select("src", "dst").distinct())
-    found = []
+    found, before = [], 0
     while n:
+        while n and n != before:  # nodes without parents or without children lie on no cycle
+            before = n
+            e, n = cut_counted(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        if not n:
+            break
         colour = e.select(F.col("src").alias("id"), F.col("src").alias("part")).distinct()  # every node has a child
 
         def further(c: DataFrame) -> DataFrame:
@@ -120,9 +125,6 @@ def core_parts(core: DataFrame) -> DataFrame:
         found += back
         e, n = cut_counted(_without(e, _union(back).select("id")))
         before = 0
-        while n and n != before:  # nodes without parents or without children lie on no cycle
-            before = n
-            e, n = cut_counted(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
     if not found:
         return core.select(F.col("src").alias("id"), F.col("src").alias("part")).limit(0)
     every = _union(found)
@@ -151,10 +153,14 @@ def _contract_bare(links: DataFrame, keep: bool = True) -> tuple[list[tuple[Data
     return rounds, e
 
 
-def _cycles(rounds: list[tuple[DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
+def _cycles(rounds: list[DataFrame], core: DataFrame) -> DataFrame:
+    """(id, part) of the core's parts and of the nodes (v, u, w) that went in rounds.
+
+    A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
+    """
     parts = [cut(core_parts(core))]
-    for _, went in reversed(rounds):
-        rec, part = went.where("not end"), _union(parts)
+    for rec in reversed(rounds):
+        part = _union(parts)
         pu, pw = (part.select(F.col("id").alias(a), F.col("part").alias(f"p{a}")) for a in ("u", "w"))
         got = rec.join(pu, "u", "left").join(pw, "w", "left").where("u = w or pu = pw")
         # v is new; u is as well where it had no part
@@ -164,12 +170,10 @@ def _cycles(rounds: list[tuple[DataFrame, DataFrame]], core: DataFrame) -> DataF
 
 
 def cycle_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, part): every node that lies on a cycle of two or more nodes; `part` names its strongly connected part.
-
-    A unary node that went between u and w belongs to their part if u is w, or if both belong to the same part.
-    """
+    """(id, part): every node that lies on a cycle of two or more nodes; `part` names its strongly connected part."""
     index, e = indexed(nodes, links)
-    return _named(_cycles(*_contract_bare(e, keep=False)), index, "id", "part")
+    rounds, core = _contract_bare(e, keep=False)
+    return _named(_cycles([went.where("not end") for _, went in rounds], core), index, "id", "part")
 
 
 def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,12 +204,12 @@ def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return _named(_union(above).select(F.col("anc").alias("id"), F.col("id").alias("descendant")), index, "id", "descendant").select("id", "descendant")
 
 
-def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame, DataFrame]], DataFrame]:
     """(rounds, core) where a link (src, dst, len, mid) stands for the shortest, then first way through the nodes `mid`.
 
-    A round's tables: the links to the nodes it raked, and (v, u, w, ...) of the unary ones that went.
+    A round's tables: the links to the nodes it raked, those to the unary ones that went, and (v, u, w) of these.
     """
-    rounds: list[tuple[DataFrame, DataFrame]] = []
+    rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     e, n = cut_counted(links.select("src", "dst", F.lit(1).alias("len"), F.expr(f"{_NONE} mid")))
     while n:
         low = _ends(e, len(rounds), False)
@@ -214,21 +218,15 @@ def _contract_paths(links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]]
         if not some:
             break
         made, leaves = went.where("not end"), went.where("end").select(F.col("v").alias("id"))
-        rounds.append((e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "len", "mid"), made.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("l1").alias("len"), F.col("m1").alias("mid"))))
+        rounds.append((e.join(leaves.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "len", "mid"), made.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("l1").alias("len"), F.col("m1").alias("mid")), made.select("v", "u", "w")))
         new = made.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"), (F.col("l1") + F.col("l2")).alias("len"), F.concat("m1", F.array("v"), "m2").alias("mid"))
         left = _without(e, went.select(F.col("v").alias("id"))).select(*new.columns)
         e, n = cut_counted(left.unionByName(new).groupBy("src", "dst").agg(F.min(F.struct("len", "mid")).alias("m")).select("src", "dst", "m.len", "m.mid"))
     return rounds, e
 
 
-def shortest_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, depth, path): the shortest path from a node without parents, of several the first by its ids; a root has depth 0.
-
-    Nodes that only cycles lead to have no row.
-    """
-    index, e0 = indexed(nodes, links)
-    e0 = cut(e0)
-    rounds, core = _contract_paths(e0)
+def _shortest(index: DataFrame, e0: DataFrame, rounds: list[tuple[DataFrame, DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
+    """(id, path) in numbers: the shortest path from a node without parents, of several the first. Nodes that only cycles lead to have no row."""
     roots = index.select(F.col("n").alias("id")).join(e0.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     best = cut(roots.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")))
 
@@ -244,22 +242,24 @@ def shortest_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if fresh:
             best = cut(best.join(front, "id", "left_anti").unionByName(front))
     parts = [best]
-    for raked, squeezed in reversed(rounds):
-        known = _union(parts)
-        parts.append(cut(through(raked.unionByName(squeezed), known)))
-    steps = _union(parts).select("id", F.posexplode("path").alias("at", "n")).join(index.withColumnRenamed("id", "name"), "n")
-    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])  # a node's own path
-    return steps.groupBy("id").agg(F.max("at").alias("depth"), whole.alias("path")).select(F.element_at("path", -1).alias("id"), "depth", "path")
+    for raked, squeezed, _ in reversed(rounds):
+        parts.append(cut(through(raked.unionByName(squeezed), _union(parts))))
+    return _union(parts).select("id", "path")
 
 
 def paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, root, depth, path, on_cycle) of every node: its shortest path from a node without parents (`shortest_paths`).
+    """(id, root, depth, path, on_cycle) of every node: its shortest path from a node without parents, of several the first by its ids; a root has depth 0.
 
     A node that only cycles lead to has null root, depth and path.
     """
-    ids = nodes.select("id").where("id is not null").distinct()
-    back = cycle_members(nodes, links).select("id", F.lit(True).alias("back"))
-    found = ids.join(shortest_paths(nodes, links), "id", "left").join(back, "id", "left")
+    index, e0 = indexed(nodes, links)
+    e0 = cut(e0)
+    rounds, core = _contract_paths(e0)
+    back = _cycles([made for _, _, made in rounds], core).select("id", F.lit(True).alias("back"))
+    steps = _shortest(index, e0, rounds, core).select("id", F.posexplode("path").alias("at", "n")).join(index.withColumnRenamed("id", "name"), "n")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])  # a node's own path
+    named = steps.groupBy("id").agg(F.max("at").alias("depth"), whole.alias("path"))
+    found = index.select("id", F.col("n")).join(named.withColumnRenamed("id", "n"), "n", "left").join(back.withColumnRenamed("id", "n"), "n", "left")
     return found.select("id", F.element_at("path", 1).alias("root"), "depth", "path", F.coalesce("back", F.lit(False)).alias("on_cycle"))
 
 
