@@ -77,3 +77,9 @@ def strip_fences(c: Column | str) -> Column:
 def missing(c: Column | str) -> Column:
     """Null for null or empty text."""
     return F.nullif(_col(c), F.lit(""))
+
+
+def without_fences(text: str) -> str:
+    """A model's answer without the code fence around it."""
+    text = text.strip()
+    return "\n".join(x for x in text.splitlines() if not x.startswith("```")).strip() if text.startswith("```") else text

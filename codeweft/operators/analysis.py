@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import normalize_cwe, strip_fences
+from codeweft.functions.text import normalize_cwe, strip_fences, without_fences
 from codeweft.schemas import REPORT
 
 # The CWE table of prompts, fixed values: id, severity and the mode that names it.
@@ -148,7 +148,7 @@ def parse_report(text: str, sample: dict) -> dict:
     """One verdict on the driver's side, for the agent."""
     base = {"function_name": sample.get("function_name"), "file_path": sample.get("file_path"), "language": sample.get("language"), "analysis_mode": None, "error": None}
     try:
-        d = json.loads(_plain(text))
+        d = json.loads(without_fences(text))
         if not isinstance(d, dict):
             raise ValueError("no object")
     except ValueError:
@@ -164,11 +164,6 @@ def parse_report(text: str, sample: dict) -> dict:
     }
 
 
-def _plain(text: str) -> str:
-    text = text.strip()
-    return "\n".join(x for x in text.splitlines() if not x.startswith("```")).strip() if text.startswith("```") else text
-
-
 Model = Callable[[str], str]
 
 
@@ -296,7 +291,7 @@ class Agent:
                 history.append({"tool": "system", "args": {}, "result": f"Max steps ({self.max_steps}) reached. You MUST emit a final answer now."})
             text = self.model(json.dumps({"function": sample["function_name"], "code": sample.get("code"), "rules": rules_text(self.rules), "history": history_text(history) or "(none yet)"}))
             try:
-                d = json.loads(_plain(text))
+                d = json.loads(without_fences(text))
             except ValueError:
                 d = {}
             if isinstance(d, dict) and d.get("action") == "tool" and step < self.max_steps:

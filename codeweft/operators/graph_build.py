@@ -8,6 +8,7 @@ aggregates; calls are reduced to distinct (src, name) before the fan-out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,7 +74,7 @@ def resolve_imports(unresolved: DataFrame, imports: DataFrame, functions: DataFr
     return hit.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "raw_call", "dst").distinct()
 
 
-Resolver = Callable[[dict], dict]
+Resolver = Callable[[dict], dict | str]
 CODE_CHARS = 1500  # of the caller's code that a resolver is shown
 
 
@@ -87,7 +88,8 @@ def resolve_cached(unresolved: DataFrame, candidates: list[str], cache: DataFram
 
     A cached null counts as an answer. Errors of the resolver give a null target. Without a resolver the rest stays null.
     The resolver is asked with the first CODE_CHARS characters of the caller's code where `code`(id, code) is given; only
-    rows that need it reach it, and columns are cut before they leave the JVM.
+    rows that need it reach it, and columns are cut before they leave the JVM. It answers with a dict, or with a text that is one
+    in JSON, fenced or not.
     """
     cand = F.array(*[F.lit(c) for c in sorted(set(candidates))]) if candidates else F.expr("cast(array() as array<string>)")
     d = unresolved.select("src", "raw_call").distinct().withColumn("key", cache_key(F.col("src"), F.col("raw_call"), cand))
@@ -112,7 +114,7 @@ def resolve_cached(unresolved: DataFrame, candidates: list[str], cache: DataFram
             for i in f.index:
                 try:
                     got = resolver({"caller": f.at[i, "src"], "raw_call": f.at[i, "raw_call"], "caller_code": f.at[i, "caller_code"] or "", "candidates": allowed}) or {}
-                    f.at[i, "target"] = salvage_target(got, allowed)
+                    f.at[i, "target"] = salvage_target(json.loads(T.without_fences(got)) if isinstance(got, str) else got, allowed)
                 except Exception:  # noqa: BLE001 - a failing service leaves the call unresolved
                     f.at[i, "target"] = None
             yield f[["src", "raw_call", "key", "target", "resolved_by"]]

@@ -218,6 +218,19 @@ def edge_cache_lookup(spark, d):
     return graph_build.resolve_cached(rest, ["main", "audit"], cache)
 
 
+def _answer(question: dict) -> str:
+    """A stand-in for the service: answers calls of even length, fenced; the others get no JSON."""
+    return '```json\n{"edges": [{"callee": "audit"}]}\n```' if len(question["raw_call"]) % 2 == 0 else "unsure"
+
+
+@query(f"""WITH {_RESOLVED}, {_CACHED} SELECT src, raw_call, key, CASE WHEN split_part(raw_call, '.', 1) IN ({', '.join(repr(x) for x in graph_build.EXTERNAL_OBJECTS)}) AND contains(raw_call, '.') THEN NULL WHEN length(raw_call) % 2 = 0 THEN 'audit' END AS target,
+CASE WHEN split_part(raw_call, '.', 1) IN ({', '.join(repr(x) for x in graph_build.EXTERNAL_OBJECTS)}) AND contains(raw_call, '.') THEN 'static' ELSE 'resolver' END AS resolved_by FROM key""")
+def edge_resolver(spark, d):
+    """G12, G12d: every call that nothing else settles is put to a resolver; the cache is empty."""
+    rest = _resolved(spark, d)[0].where("name is null")
+    return graph_build.resolve_cached(rest, ["main", "audit"], spark.createDataFrame([], "key string, target string"), _answer)
+
+
 @query(f"""WITH {_RESOLVED}, nodes AS (SELECT id, min(file_path) AS file_path, min(function_name) AS function_name FROM fnc GROUP BY id),
 s AS (SELECT src, bool_or({_words("regexp_extract(substr(dst, 11), '([^.]*)$', 1)", T.SINK_EXTERNAL)}) AS hit FROM ee GROUP BY src)
 SELECT id, {_ENTRY} AS is_taint_source, {_words('function_name', T.SINK_NAME)} OR coalesce(hit, false) AS is_taint_sink FROM nodes LEFT JOIN s ON s.src = id""")

@@ -139,3 +139,10 @@ def test_empty_graph(spark):
     graph, edges = G.build(fn, spark.createDataFrame([], "src string, pos int, raw_call string"), spark.createDataFrame([], "method string, path string, handlers array<string>"))
     assert graph.count() == 0 and edges.count() == 0 and Q.summary(graph).first().total_edges == 0
     assert list(itertools.islice(Q.paths_from(spark.createDataFrame([], "id string"), edges).collect(), 1)) == []
+
+
+def test_resolver_answers_in_text(spark):
+    rest = spark.createDataFrame([("s", c) for c in ("a.ok", "a.bare", "a.prose", "a.list")], "src string, raw_call string")
+    said = {"a.ok": '```json\n{"edges": [{"callee": "x"}]}\n```', "a.bare": '{"target": "y"}', "a.prose": "it is x", "a.list": '["x"]'}
+    got = {r.raw_call: r.target for r in G.resolve_cached(rest, ["x", "y"], spark.createDataFrame([], "key string, target string"), lambda q: said[q["raw_call"]]).collect()}
+    assert got == {"a.ok": "x", "a.bare": "y", "a.prose": None, "a.list": None}
