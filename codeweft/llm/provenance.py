@@ -54,7 +54,7 @@ _NAME = re.compile(r"(?<![\w$\"'.])[A-Za-z_$][\w$]*")
 _FOREIGN = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|vendored|third[_-]?party|3rdparty|extern|externals|deps|(?:contrib|src|lib)/bundled|(?:static|public|assets)/(?:libs?|vendors?))/")
 # Statements of origin, fixed values: how tools and people say it.
 _GENERATED = re.compile(
-    r"(?i)@generated\b|\bgenerated (?:file|code|section) (?:ends?|starts?|begins?)\b|<auto-?generated|\bauto-?generated (?:file|source|code|by|from|on)|\b(?:file|code|source|module|header|content)s? (?:is|was|has been|were|are)? ?(?:automatically |auto-?|machine )?generated (?:by|from|with|using|on)"
+    r"(?i)@generated\b|\bgenerated (?:file|code|section) (?:ends?|starts?|begins?)\b|\b(?:end|start|begin(?:ning)?) of (?:the )?(?:auto-?)?generated (?:file|code|section)\b|<auto-?generated|\bauto-?generated (?:file|source|code|by|from|on)|\b(?:file|code|source|module|header|content)s? (?:is|was|has been|were|are)? ?(?:automatically |auto-?|machine )?generated (?:by|from|with|using|on)"
     r"|^\W*(?:code |file |source )?generated (?:by|from|with|automatically|on) |this is an? (?:auto-?|automatically |machine-?)?generated (?:source|file|code)|\bmachine[- ]generated ?:|automatically generated (?:from|by|on|file|source)|g[ée]n[ée]r[ée]e? (?:par|automatiquement|à partir|depuis|avec)|fichier g[ée]n[ée]r[ée]"
     r"|archivo (?:generado|producido|creado autom)|generado (?:por|autom|desde|a partir)|automatisch (?:erzeugt|generiert|erstellt)|(?:erzeugt|generiert) (?:aus|von|mit)\b|arquivo gerado|gerado (?:por|automaticamente)|сгенерирован|自动生成|自動生成|자동 생성"
 )

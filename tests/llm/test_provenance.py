@@ -163,3 +163,8 @@ def test_lone_signs(line, listed):
 
 def test_empty(spark):
     assert P.found(spark.createDataFrame([], "file_path string, repo string, raw_content string")).count() == 0
+
+
+@pytest.mark.parametrize(("note", "yes"), [("# generated file ends here", True), ("# end of generated code", True), ("# end of the code that reads generated files", False), ("# Checks that generated files are skipped at the end of the run.", False)])
+def test_generated_sections_said_at_the_foot(note, yes):
+    assert bool(P._judge_notes(hand(40) + "\n" + note + "\n")) == yes
