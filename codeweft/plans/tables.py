@@ -39,8 +39,9 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """(src, pos, raw_call) by a plain pattern over the code (SQL can follow it; the parser's calls are `extract_functions`)."""
     t = load(spark, d, "code_samples").where(missing("function_name").isNotNull()).where("code is not null")
-    found = t.select("sample_id", node_id("file_path", "function_name").alias("src"), F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("calls")).where("size(calls) > 0")
-    return found.distinct().select("src", F.posexplode("calls").alias("pos", "raw_call"))  # of repeated rows, what they call
+    found = t.select("sample_id", node_id("file_path", "function_name").alias("src"), F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("calls"))
+    # of repeated rows, what they call; an outer explode, or the planner would run the pattern once more to drop empty lists first
+    return found.distinct().select("src", F.posexplode_outer("calls").alias("pos", "raw_call")).where("raw_call is not null")
 
 
 def file_imports(spark: SparkSession, d: str) -> DataFrame:
